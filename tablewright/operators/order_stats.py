@@ -109,8 +109,9 @@ def order_statistics(
             F.count(value).alias(f"n{i}"),
             F.min(value).alias(f"lo{i}"),
             F.max(value).alias(f"hi{i}"),
-            F.percentile_approx(value, probes, accuracy).alias(f"q{i}"),
         ]
+        if probes:
+            parts.append(F.percentile_approx(value, probes, accuracy).alias(f"q{i}"))
     first = df.agg(*parts).first()
 
     targets: dict[str, list[_Target]] = {}
@@ -122,7 +123,7 @@ def order_statistics(
         if n == 0:
             continue
         low, high = first[f"lo{i}"], first[f"hi{i}"]
-        at = dict(zip(probes, first[f"q{i}"]))
+        at = dict(zip(probes, first[f"q{i}"])) if probes else {}
         wanted = []
         for rank in sorted(set(ranks(n))):
             if n <= small or low == high:
