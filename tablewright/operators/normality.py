@@ -98,7 +98,6 @@ def _small_table(df: DataFrame, names: Sequence[str]) -> list[tuple]:
     return rows
 
 
-@F.pandas_udf("struct<lower double, upper double>")
 def _log_tails(z: pd.Series) -> pd.DataFrame:
     """Logarithms of the lower and upper normal tail; Spark has no error function."""
     scaled = z.to_numpy() / math.sqrt(2.0)
@@ -117,9 +116,10 @@ def anderson_darling(df: DataFrame, column: str, mean: float, std: float) -> flo
     prefix = value_prefix(df, col(column))
     n = prefix.n
     b, c = F.col("before_n").cast("double"), F.col("n").cast("double")
+    log_tails = F.pandas_udf(_log_tails, "lower double, upper double")
     weighted = prefix.table.select(
         b.alias("b"), c.alias("c"),
-        _log_tails((F.col("value") - F.lit(mean)) / F.lit(std)).alias("t"),
+        log_tails((F.col("value") - F.lit(mean)) / F.lit(std)).alias("t"),
     )
     low = F.col("c") * (2 * F.col("b") + F.col("c"))
     high = F.col("c") * (2.0 * n) - low
