@@ -32,6 +32,12 @@ def sample_kurtosis(n: Column, g2: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson r over rows where both are present; NULL when either side is constant."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def interpolated_bucket(value: Column, edges: Sequence[float], closed: str) -> Column:
     """Index of the bin of ``value`` between inner ``edges``; NULL stays NULL.
 

@@ -24,7 +24,7 @@ from tablewright.core import (
     require_columns,
     resolve_task,
 )
-from tablewright.functions.expressions import interpolated_bucket
+from tablewright.functions.expressions import interpolated_bucket, safe_corr
 from tablewright.functions.special import f_upper_tail
 from tablewright.operators.lookup import attach, build_lookup
 from tablewright.operators.order_stats import exact_quantiles, medians
@@ -43,11 +43,32 @@ def _clean(r: float | None) -> float | None:
 
 
 def _corr_of_pairs(df: DataFrame, pairs: Sequence[Pair]) -> dict[Pair, float | None]:
+    """One expression per pair. Complete, varying columns use the built-in correlation; the
+    others a form that yields NULL where the common rows of a pair are constant."""
+    names = sorted({c for p in pairs for c in p})
+    plain: set[str] = set()
+    for start in range(0, len(names), 100):
+        group = names[start : start + 100]
+        row = df.agg(
+            *[
+                (
+                    (F.count(col(c)) == F.count(F.lit(1)))
+                    & (F.min(as_double(c)) < F.max(as_double(c)))
+                ).alias(f"k{i}")
+                for i, c in enumerate(group)
+            ]
+        ).first()
+        plain.update(c for i, c in enumerate(group) if row[f"k{i}"])
     out: dict[Pair, float | None] = {}
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         block = pairs[start : start + PAIRS_PER_JOB]
         row = df.agg(
-            *[F.corr(as_double(a), as_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(block)]
+            *[
+                (F.corr if a in plain and b in plain else safe_corr)(
+                    as_double(a), as_double(b)
+                ).alias(f"r{i}")
+                for i, (a, b) in enumerate(block)
+            ]
         ).first()
         out.update({p: _clean(row[f"r{i}"]) for i, p in enumerate(block)})
     return out
@@ -598,7 +619,7 @@ def _missing_correlations(df: DataFrame) -> tuple[str, float, list[tuple[str, st
         exprs = []
         for i, (a, b) in enumerate(block):
             exprs += [
-                F.corr(col(a).isNull().cast("double"), as_double(b)).alias(f"r{i}"),
+                safe_corr(col(a).isNull().cast("double"), as_double(b)).alias(f"r{i}"),
                 F.count(col(b)).alias(f"n{i}"),
             ]
         row = df.agg(*exprs).first()

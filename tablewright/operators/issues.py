@@ -82,6 +82,11 @@ def constant_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return found
 
 
+def _short_hash(c: str):
+    """52 bits of the value's hash, which the sketch can hold as a double."""
+    return F.shiftright(F.xxhash64(col(c)), 12)
+
+
 def majority_values(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, float]]:
     """Value and share of columns in which one value holds more than half of the non-null rows.
 
@@ -94,14 +99,14 @@ def majority_values(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[st
     hashes = df.agg(
         *[
             F.percentile_approx(
-                F.when(col(c).isNotNull(), F.xxhash64(col(c))), 0.5, 1_000
+                F.when(col(c).isNotNull(), _short_hash(c)), 0.5, 1_000
             ).alias(f"h{i}")
             for i, c in enumerate(names)
         ]
     ).first()
     exprs = []
     for i, c in enumerate(names):
-        hit = F.xxhash64(col(c)) == F.lit(hashes[f"h{i}"]).cast("long")
+        hit = _short_hash(c) == F.lit(hashes[f"h{i}"]).cast("long")
         hit = hit & col(c).isNotNull()
         exprs += [
             F.max(F.when(hit, col(c).cast("string"))).alias(f"v{i}"),

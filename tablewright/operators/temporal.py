@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.core import categorical_columns, col, local_rows, numeric_columns, require_columns
+from tablewright.functions.expressions import safe_corr
 from tablewright.functions.special import correlation_p_value
 from tablewright.operators.ordering import global_row_index, lagged_products
 
@@ -113,7 +114,7 @@ def temporal_patterns(
         exprs += [
             F.count(x).alias(f"n{i}"),
             F.regr_slope(x, index).alias(f"slope{i}"),
-            F.corr(index, x).alias(f"r{i}"),
+            safe_corr(index, x).alias(f"r{i}"),
             F.avg(x).alias(f"mean{i}"),
             F.var_pop(x).alias(f"var{i}"),
         ]

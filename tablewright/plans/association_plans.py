@@ -432,7 +432,7 @@ def light_fingerprint_profile(spark, folder):
     "light_fingerprint_file", "D19",
     f"""WITH {LI}, base AS (SELECT count(*) AS n_rows, (avg(CASE WHEN l_discount IS NULL THEN
  1.0e0 ELSE 0 END) + avg(CASE WHEN l_tax IS NULL THEN 1.0e0 ELSE 0 END)) / 11 AS m FROM li)
- SELECT {_SIZE} AS size_class, 'regression' AS task, 'mostly_numeric' AS feature_mix, n_rows,
+ SELECT {_SIZE} AS size_class, 'regression' AS task, 'mixed' AS feature_mix, n_rows,
  11 AS n_cols, CASE WHEN m > 0.05 THEN 'missing_values' ELSE '' END AS issues FROM base""",
 )
 def light_fingerprint_file(spark, folder):
