@@ -242,8 +242,8 @@ def frequency_encode(spark, folder):
 
 @plan(
     "groupby_aggregate", "E11",
-    f"""SELECT o_orderkey, o_custkey, o_totalprice, {r('m')} AS o_custkey_mean_o_totalprice,
- {r('s')} AS o_custkey_std_o_totalprice, n AS n_orders, lo AS cheapest, hi AS dearest
+    f"""SELECT o_orderkey, o_custkey, o_totalprice, {r('m', 6)} AS o_custkey_mean_o_totalprice,
+ {r('s', 6)} AS o_custkey_std_o_totalprice, n AS n_orders, lo AS cheapest, hi AS dearest
  FROM orders JOIN (SELECT o_custkey, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s,
  count(o_totalprice) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders
  GROUP BY 1) USING (o_custkey)""",
@@ -259,7 +259,9 @@ def groupby_aggregate(spark, folder):
         {**base, "agg_func": "min", "new_name": "cheapest"},
         {**base, "agg_func": "max", "new_name": "dearest"},
     )
-    return rounded(out, "o_custkey_mean_o_totalprice", "o_custkey_std_o_totalprice")
+    return rounded(
+        out, "o_custkey_mean_o_totalprice", "o_custkey_std_o_totalprice", digits=6
+    )
 
 
 def _quantile_bin(c, n):
