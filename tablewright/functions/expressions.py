@@ -96,6 +96,7 @@ def readable_size(total_bytes: Column) -> Column:
     for power, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")):
         divisor = float(1024**power)
         out = out.when(
-            total_bytes >= divisor, F.format_string(f"%.1f {unit}", total_bytes / divisor)
+            total_bytes >= divisor,
+            F.format_string(f"%.1f {unit}", F.bround(total_bytes / F.lit(divisor), 1)),
         )
     return out.otherwise(F.concat(total_bytes.cast("long").cast("string"), F.lit(" B")))

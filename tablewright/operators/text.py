@@ -38,7 +38,8 @@ Patterns = Sequence[tuple[str, str]]
 
 
 def matches(text: Column, pattern: str) -> Column:
-    return F.coalesce(text.rlike("(?i)" + pattern), F.lit(False))
+    """Search without case; letters of every script count as word characters."""
+    return F.coalesce(text.rlike("(?iU)" + pattern), F.lit(False))
 
 
 def mentions(text: Column, patterns: Patterns = MODEL_PATTERNS) -> Column:

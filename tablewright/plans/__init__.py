@@ -5,6 +5,7 @@ from tablewright.plans import (  # noqa: F401
     error_plans,
     evaluation_plans,
     feature_plans,
+    model_plans,
     profile_plans,
     run_plans,
     split_plans,

@@ -254,7 +254,8 @@ def threshold_sweep(spark, folder):
 
 @plan(
     "prediction_ranges", "I13",
-    f"""WITH {REGRESSION_PREDICTIONS}, o AS (SELECT avg(abs(label - prediction)) AS o,
+    f"""WITH reg AS (SELECT value AS label, value * 0.6e0 AS prediction FROM events),
+ o AS (SELECT avg(abs(label - prediction)) AS o,
  count(*) AS total FROM reg), s AS ({_segments(('prediction',), 'abs(label - prediction)', 'reg')})
  SELECT 'error_profiling' AS category, {r('metric')} AS current_metric, {r('o')} AS target_metric,
  count AS sample_count, {r('(metric - o) * count / total')} AS estimated_impact,
@@ -262,7 +263,10 @@ def threshold_sweep(spark, folder):
  FROM s, o WHERE count >= 5 AND metric > o * 1.3e0""",
 )
 def prediction_ranges(spark, folder):
-    out = _insights(spark, errors.prediction_ranges(regression_predictions(spark, folder)))
+    df = table(spark, folder, "events").select(
+        F.col("value").alias("label"), (F.col("value") * 0.6).alias("prediction")
+    )
+    out = _insights(spark, errors.prediction_ranges(df))
     return rounded(out, "current_metric", "target_metric", "estimated_impact")
 
 

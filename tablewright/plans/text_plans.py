@@ -18,8 +18,8 @@ PATTERNS = (
 )
 WEIGHT = r"\b(?:with|pour)\b"
 HINTS = (
-    ("alpha", r"\bwith\b.*?(\w+)", "0.01-0.3"),
-    ("beta", r"\bfrom\b.*?(\w+)", "3-10"),
+    ("alpha", r"\bwith\s+(\w+)", "0.01-0.3"),
+    ("beta", r"\bfrom\s+(\w+)", "3-10"),
 )
 TIPS = (("first", r"\bof\s+the\b"), ("second", r"\bde\s+la\b"))
 
@@ -34,20 +34,31 @@ DOCS = "d AS (SELECT doc_id, source AS title, text AS abstract, lang FROM docume
 BODY = "(title || ' ' || abstract)"
 
 
+def _match(column, pattern):
+    """The pattern in SQL, with word boundaries and word characters of every script."""
+    edge = r"[^\pL\pN\pM_]"
+    wide = pattern.replace(r"\w", r"[\pL\pN\pM_]")
+    if wide.startswith(r"\b"):
+        wide = f"(?:^|{edge})" + wide[2:]
+    if wide.endswith(r"\b"):
+        wide = wide[:-2] + f"(?:$|{edge})"
+    return f"regexp_matches({column}, '(?i){wide}')"
+
+
 def _found(patterns, column=BODY):
     return (
         "list_filter(["
         + ", ".join(
-            f"CASE WHEN regexp_matches({column}, '(?i){p}') THEN '{n}' END" for n, p in patterns
+            f"CASE WHEN {_match(column, p)} THEN '{n}' END" for n, p in patterns
         )
-        + "], x -> x IS NOT NULL)"
+        + "], lambda x: x IS NOT NULL)"
     )
 
 
 @plan(
     "document_mentions", "K1 K2",
     f"""WITH {DOCS} SELECT doc_id, unnest({_found(PATTERNS)}) AS family,
- CASE WHEN regexp_matches({BODY}, '(?i){WEIGHT}') THEN 2 ELSE 1 END AS weight FROM d""",
+ CASE WHEN {_match(BODY, WEIGHT)} THEN 2 ELSE 1 END AS weight FROM d""",
 )
 def document_mentions(spark, folder):
     body = text.combined_text()
@@ -73,7 +84,7 @@ def mention_counts(spark, folder):
 @plan(
     "default_mentions", "K1",
     f"""WITH {DOCS} SELECT doc_id, unnest({_found(text.MODEL_PATTERNS)}) AS family,
- CASE WHEN regexp_matches({BODY}, '(?i){text.SOTA_PATTERN}') THEN 2 ELSE 1 END AS weight FROM
+ CASE WHEN {_match(BODY, text.SOTA_PATTERN)} THEN 2 ELSE 1 END AS weight FROM
  (SELECT doc_id, title, CASE WHEN doc_id % 3 = 0 THEN abstract || ' a Random Forest benchmark'
  WHEN doc_id % 3 = 1 THEN abstract || ' gradient boosted XGBoost' ELSE abstract END AS abstract
  FROM d)""",
@@ -94,7 +105,7 @@ def default_mentions(spark, folder):
 
 _HINT_ROWS = " UNION ALL ".join(
     f"SELECT doc_id, m[1] AS model, {i} AS position, '{n}' AS param, '{s}' AS suggested_range "
-    f"FROM h WHERE regexp_matches(abstract, '(?i){p}')"
+    f"FROM h WHERE {_match('abstract', p)}"
     for i, (n, p, s) in enumerate(HINTS)
 )
 
@@ -110,7 +121,7 @@ def hyperparameter_hints(spark, folder):
 
 _TIP_ROWS = " UNION ALL ".join(
     f"SELECT doc_id, 'Referenced in: ' || substr(title, 1, 80) AS reason, {i} AS position, "
-    f"'{n}' AS technique FROM d WHERE regexp_matches({BODY}, '(?i){p}')"
+    f"'{n}' AS technique FROM d WHERE {_match(BODY, p)}"
     for i, (n, p) in enumerate(TIPS)
 )
 
@@ -189,6 +200,7 @@ def model_recommendations(spark, folder):
 
 @plan(
     "readable_sizes", "A6",
+    # text formatting of an exact tie goes to the even digit on both sides
     """WITH s AS (SELECT doc_id, n_chars * n_chars * (doc_id % 1000) AS b FROM documents)
  SELECT doc_id, CASE WHEN b <= 0 THEN 'unknown'
  WHEN b >= 1099511627776 THEN printf('%.1f TB', b / 1099511627776.0e0)
