@@ -8,8 +8,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +26,10 @@ from tablewright.functions.expressions import interpolated_bucket, safe_corr
 from tablewright.functions.special import f_upper_tail
 from tablewright.operators.lookup import attach, build_lookup
 from tablewright.operators.order_stats import exact_quantiles, medians
-from tablewright.operators.ordering import average_rank, value_prefix
+from tablewright.operators.ordering import average_ranks, value_prefix
 
-PAIRS_PER_JOB = 150
-MATRIX_JOB_PAIRS = 1_000
+# beyond this many expressions one aggregate becomes too large for the JIT compiler
+FEW_PAIRS = 6
 MI_BINS = 16
 INFORMATIVE = 0.01
 
@@ -43,69 +41,87 @@ def _clean(r: float | None) -> float | None:
 
 
 def _corr_of_pairs(df: DataFrame, pairs: Sequence[Pair]) -> dict[Pair, float | None]:
-    """One expression per pair. Complete, varying columns use the built-in correlation; the
-    others a form that yields NULL where the common rows of a pair are constant."""
-    names = sorted({c for p in pairs for c in p})
-    plain: set[str] = set()
-    for start in range(0, len(names), 100):
-        group = names[start : start + 100]
-        row = df.agg(
-            *[
-                (
-                    (F.count(col(c)) == F.count(F.lit(1)))
-                    & (F.min(as_double(c)) < F.max(as_double(c)))
-                ).alias(f"k{i}")
-                for i, c in enumerate(group)
-            ]
-        ).first()
-        plain.update(c for i, c in enumerate(group) if row[f"k{i}"])
-    out: dict[Pair, float | None] = {}
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        block = pairs[start : start + PAIRS_PER_JOB]
+    if not pairs:
+        return {}
+    if len(pairs) <= FEW_PAIRS:
         row = df.agg(
-            *[
-                (F.corr if a in plain and b in plain else safe_corr)(
-                    as_double(a), as_double(b)
-                ).alias(f"r{i}")
-                for i, (a, b) in enumerate(block)
-            ]
+            *[safe_corr(as_double(a), as_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
         ).first()
-        out.update({p: _clean(row[f"r{i}"]) for i, p in enumerate(block)})
+        return {p: _clean(row[f"r{i}"]) for i, p in enumerate(pairs)}
+    return _corr_by_products(df, pairs)
+
+
+def _corr_by_products(df: DataFrame, pairs: Sequence[Pair]) -> dict[Pair, float | None]:
+    """All pairs in one scan: every task multiplies its rows as matrices (values, squares and
+    presence flags), which gives the pairwise-complete sums; Spark adds them per pair.
+
+    Values are shifted by a rough centre first, so the sums keep their precision.
+    """
+    names = sorted({c for p in pairs for c in p})
+    at = {c: i for i, c in enumerate(names)}
+    first = np.array([at[a] for a, _ in pairs])
+    second = np.array([at[b] for _, b in pairs])
+    narrow = df.select(*[as_double(c).alias(f"x{i}") for i, c in enumerate(names)])
+    head = narrow.limit(1_000).agg(*[F.avg(f"x{i}") for i in range(len(names))]).first()
+    centre = np.array([v if v is not None else 0.0 for v in head])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = len(centre)
+        total = np.zeros((3 * k, 3 * k))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) - centre
+            present = ~np.isnan(x)
+            x = np.where(present, x, 0.0)
+            z = np.hstack([x, x * x, present.astype(float)])
+            total += z.T @ z
+        xs, sq, on = slice(0, k), slice(k, 2 * k), slice(2 * k, 3 * k)
+        sums, squares = total[xs, on], total[sq, on]
+        yield pd.DataFrame(
+            {
+                "p": np.arange(len(first)),
+                "n": total[on, on][first, second],
+                "sx": sums[first, second],
+                "sy": sums[second, first],
+                "sxx": squares[first, second],
+                "syy": squares[second, first],
+                "sxy": total[xs, xs][first, second],
+            }
+        )
+
+    parts = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    schema = "p int, " + ", ".join(f"{c} double" for c in parts)
+    rows = (
+        narrow.mapInPandas(products, schema)
+        .groupBy("p")
+        .agg(*[F.sum(c).alias(c) for c in parts])
+        .collect()
+    )
+    out: dict[Pair, float | None] = {p: None for p in pairs}
+    for r in rows:
+        n = r["n"]
+        if n < 2:
+            continue
+        vx = r["sxx"] - r["sx"] ** 2 / n
+        vy = r["syy"] - r["sy"] ** 2 / n
+        if vx <= 1e-12 * r["sxx"] or vy <= 1e-12 * r["syy"]:
+            continue
+        out[pairs[r["p"]]] = _clean((r["sxy"] - r["sx"] * r["sy"] / n) / math.sqrt(vx * vy))
     return out
 
 
 def pairwise_correlations(
     df: DataFrame, columns: Sequence[str], against: str | None = None
 ) -> dict[Pair, float | None]:
-    """Pearson r of all column pairs (or of each column with ``against``), pairwise complete.
-
-    Wide tables without missing values use one pass over assembled vectors instead of one
-    expression per pair.
-    """
-    pairs = [(c, against) for c in columns] if against else list(combinations(columns, 2))
-    if len(pairs) > MATRIX_JOB_PAIRS and not against:
-        complete = df.agg(
-            *[F.count(F.when(col(c).isNull(), 1)).alias(f"m{i}") for i, c in enumerate(columns)]
-        ).first()
-        if not any(complete):
-            vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(
-                df.select(*[as_double(c).alias(c) for c in columns])
-            )
-            matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-            at = {c: i for i, c in enumerate(columns)}
-            return {(a, b): _clean(float(matrix[at[a], at[b]])) for a, b in pairs}
-    return _corr_of_pairs(df, pairs)
+    """Pearson r of all column pairs (or of each column with ``against``), pairwise complete."""
+    return _corr_of_pairs(
+        df, [(c, against) for c in columns] if against else list(combinations(columns, 2))
+    )
 
 
 def with_average_ranks(df: DataFrame, columns: Sequence[str], suffix: str) -> DataFrame:
     """Add the average rank of each column; NULL keeps a NULL rank."""
     for c in columns:
-        table = value_prefix(df, col(c)).table.select(
-            F.col("value"), F.col("n").alias("_w"), average_rank().alias(f"{c}{suffix}")
-        )
-        lookup = build_lookup(table, ["value"], weight="_w")
-        keyed = df.withColumn("_rank_key", as_double(c))
-        df = attach(keyed, lookup, ["_rank_key"]).drop("_rank_key", "_w")
+        df = average_ranks(df, c, f"{c}{suffix}")
     return df
 
 
@@ -161,7 +177,7 @@ def kendall_tau(df: DataFrame, x: str, y: str, codes_per_bucket: int = 100_000)
     coded = cells
     levels = 0
     for name in ("x", "y"):
-        prefix = value_prefix(cells, F.col(name))
+        prefix = value_prefix(cells, F.col(name), dense=True)
         codes = prefix.table.select(
             "value", F.col("n").alias("_w"), F.col("distinct_before").alias(f"{name}_code")
         )
@@ -613,20 +629,18 @@ def _missing_correlations(df: DataFrame) -> tuple[str, float, list[tuple[str, st
     if not any((shares[f"m{i}"] or 0) > 0 for i in range(len(names))):
         return "none", 0.0, []
     pairs = [(a, b) for a in gappy for b in numeric if a != b]
-    rows: list[tuple[str, str, float]] = []
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        block = pairs[start : start + PAIRS_PER_JOB]
-        exprs = []
-        for i, (a, b) in enumerate(block):
-            exprs += [
-                safe_corr(col(a).isNull().cast("double"), as_double(b)).alias(f"r{i}"),
-                F.count(col(b)).alias(f"n{i}"),
-            ]
-        row = df.agg(*exprs).first()
-        for i, (a, b) in enumerate(block):
-            r = _clean(row[f"r{i}"])
-            if r is not None and row[f"n{i}"] >= 10:
-                rows.append((a, b, r))
+    flagged = df.select(
+        *[as_double(b).alias(b) for b in numeric],
+        *[col(a).isNull().cast("double").alias(f"{a}__missing") for a in gappy],
+    )
+    found = _corr_of_pairs(flagged, [(f"{a}__missing", b) for a, b in pairs])
+    observed = flagged.agg(*[F.count(col(b)).alias(f"n{i}") for i, b in enumerate(numeric)]).first()
+    enough = {b for i, b in enumerate(numeric) if observed[f"n{i}"] >= 10}
+    rows = [
+        (a, b, r)
+        for (a, b) in pairs
+        if (r := found[(f"{a}__missing", b)]) is not None and b in enough
+    ]
     strongest = max((abs(r[2]) for r in rows), default=0.0)
     pattern = "MCAR" if strongest < 0.1 else "MAR" if strongest < 0.5 else "MNAR"
     return pattern, strongest, rows

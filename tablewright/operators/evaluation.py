@@ -157,7 +157,7 @@ def roc_curve(
     ``drop_collinear`` removes points on a straight line between their neighbours, by joining
     each point to the next lower score through its dense rank.
     """
-    t = score_table(df, score, positive)
+    t = score_table(df, score, positive, dense=drop_collinear)
     p, n = float(t.totals["pos"]), float(t.totals["neg"])
     if p == 0 or n == 0:
         raise ValueError("a ROC curve needs both classes")

@@ -15,7 +15,12 @@ from tablewright.operators.features.base import FeatureOperation, feature_operat
 from tablewright.operators.features.scalar import replace_columns
 from tablewright.operators.lookup import Lookup, attach, build_lookup
 from tablewright.operators.order_stats import exact_quantiles
-from tablewright.operators.ordering import average_rank, global_row_index, value_prefix
+from tablewright.operators.ordering import (
+    average_rank,
+    average_ranks,
+    global_row_index,
+    value_prefix,
+)
 
 MAX_INDICATORS = 2_000
 SORT_IN_ONE_TASK = 100_000
@@ -252,22 +257,23 @@ def rank_transform(params: dict[str, Any]) -> FeatureOperation:
     columns = params.get("columns", [])
 
     def learn(df: DataFrame):
-        tables = {
-            c: build_lookup(
-                value_prefix(df, col(c)).table.select(
+        tables: dict[str, Lookup] = {}
+
+        def ranks_elsewhere(d: DataFrame, c: str) -> DataFrame:
+            """Ranks the training values had, for a table other than the training table."""
+            if c not in tables:
+                ranks = value_prefix(df, col(c)).table.select(
                     "value", average_rank().alias("_rank"), F.col("n").alias("_w")
-                ),
-                ["value"],
-                weight="_w",
-            )
-            for c in columns
-        }
+                )
+                tables[c] = build_lookup(ranks, ["value"], weight="_w")
+            keyed = attach(d.withColumn("_value", as_double(c)), tables[c], ["_value"])
+            return keyed.drop("_w", "_value")
 
         def apply(d: DataFrame) -> DataFrame:
-            order = d.columns
+            order, same = d.columns, d is df or d.sameSemantics(df)
             for c in columns:
-                d = attach(d.withColumn("_value", as_double(c)), tables[c], ["_value"])
-                d = d.withColumn(c, F.col("_rank")).drop("_rank", "_w", "_value")
+                d = average_ranks(d, c, "_rank") if same else ranks_elsewhere(d, c)
+                d = d.withColumn(c, F.col("_rank")).drop("_rank")
             return d.select(*[col(c) for c in order])
 
         return apply

@@ -138,7 +138,7 @@ def test_normality(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     names = [c for c in numeric_columns(df) if not columns or c in columns]
     if not names:
         return local_rows(df.sparkSession, [], SCHEMA)
-    moments = numeric_moments(df, names)
+    moments = numeric_moments(df, names, shape=False)
     if next(iter(moments.values()))["rows"] < SMALL_TABLE:
         return local_rows(df.sparkSession, _small_table(df, names), SCHEMA)
     rows = []

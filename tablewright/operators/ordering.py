@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablewright.core import cut_lineage, local_rows
+from tablewright.core import as_double, col, cut_lineage, local_rows
 
 ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 4_096
@@ -30,13 +31,113 @@ class PrefixTable:
         return int(self.totals["n"])
 
 
+def _cuts(rows: DataFrame, rows_per_bucket: int) -> tuple[int, list[float], list[float]]:
+    """Row count, range boundaries for about ``rows_per_bucket`` rows each, and heavy values.
+
+    An evenly spaced sketch quantile that repeats marks a value holding about 1/256 of all rows.
+    """
+    probes = [k / 256 for k in range(1, 256)]
+    head = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", probes, 2_048).alias("q")
+    ).first()
+    n, cuts = head["n"], list(head["q"] or [])
+    hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    buckets = min(max(math.ceil(n / rows_per_bucket), 1), MAX_BUCKETS)
+    if buckets == 1:
+        return n, [], hot
+    if buckets > 256:
+        finer = [k / buckets for k in range(1, buckets)]
+        cuts = rows.agg(F.percentile_approx("value", finer, 4 * buckets)).first()[0]
+    step = max(len(cuts) // buckets, 1)
+    return n, [e for e in cuts[step - 1 :: step] if math.isfinite(e)], hot
+
+
+def _bucketed(rows: DataFrame, edges: list[float]) -> DataFrame:
+    """Add the index of the half-open range ``[edge, next edge)`` that holds ``value``."""
+    if not edges:
+        return rows.withColumn("bucket", F.lit(0))
+    splitter = Bucketizer(
+        splits=[-math.inf, *edges, math.inf], inputCol="value", outputCol="_bucket",
+        handleInvalid="keep",
+    )
+    return splitter.transform(rows).withColumn("bucket", F.col("_bucket").cast("int")).drop(
+        "_bucket"
+    )
+
+
+def _by_bucket(values: dict[int, float], size: int) -> Column:
+    """Per-bucket constant (at most MAX_BUCKETS entries) as an indexed array literal."""
+    slots, last = [], 0
+    for b in range(size):
+        last = values.get(b, last)
+        slots.append(F.lit(last if isinstance(last, int) else float(last)))
+    return F.element_at(F.array(*slots), F.col("bucket") + 1)
+
+
+def average_ranks(
+    df: DataFrame, column: str, name: str, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Add the 1-based average rank of ``column`` as ``name``; NULL keeps NULL.
+
+    Ranges that turn out to hold a single value, such as every frequent value, need no sorting:
+    their rank is a constant. The other rows are ranked in a window per range, so ranks cost at
+    most one shuffle of the rows and no join, and nothing at all for few-valued columns.
+    """
+    value = df.select(as_double(column).alias("value")).where(F.col("value").isNotNull())
+    _, cuts, hot = _cuts(value, rows_per_bucket)
+    edges = sorted({*cuts, *hot, *[math.nextafter(h, math.inf) for h in hot]})
+    totals = (
+        _bucketed(value, edges)
+        .groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"), (F.min("value") == F.max("value")).alias("one"))
+        .collect()
+    )
+    size, offsets, constant, seen = len(edges) + 1, {}, {}, 0
+    for r in sorted(totals, key=lambda r: r["bucket"]):
+        offsets[r["bucket"]] = seen
+        constant[r["bucket"]] = seen + (r["n"] + 1) / 2.0 if r["one"] else -1.0
+        seen += r["n"]
+    rows = _bucketed(df.withColumn("value", as_double(column)), edges)
+    present = F.col("value").isNotNull()
+    fixed = _by_bucket({b: constant.get(b, -1.0) for b in range(size)}, size)
+    if all(r["one"] for r in totals):
+        return rows.withColumn(name, F.when(present, fixed)).drop("value", "bucket")
+    # constant-rank and NULL rows only pass through; spread them over many groups
+    rows = rows.withColumn("_fixed", F.when(present, fixed))
+    spread = F.pmod(F.xxhash64(*[col(c) for c in _hashable(df)]), F.lit(256)).cast("int")
+    passing = F.col("_fixed").isNull() | (F.col("_fixed") >= 0)
+    rows = rows.withColumn("_group", F.when(passing, -1 - spread).otherwise(F.col("bucket")))
+    order = Window.partitionBy("_group").orderBy("value")
+    ties = Window.partitionBy("_group", "value")
+    ranked = (
+        F.rank().over(order)
+        + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+        + _by_bucket(offsets, size)
+    )
+    return rows.withColumn(
+        name, F.when(passing, F.col("_fixed")).otherwise(ranked)
+    ).drop("value", "bucket", "_fixed", "_group")
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    return [
+        f.name
+        for f in df.schema.fields
+        if not isinstance(f.dataType, (T.MapType, T.VariantType))
+    ]
+
+
 def value_prefix(
     df: DataFrame,
     value: Column,
     measures: dict[str, Column] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    dense: bool = False,
 ) -> PrefixTable:
-    """Columns ``value, n, before_n, distinct_before`` plus ``m, before_m`` for every measure m.
+    """Columns ``value, n, before_n`` plus ``m, before_m`` for every measure m.
+
+    ``dense`` adds ``distinct_before``, the 0-based dense rank, at the cost of one more shuffle of
+    the distinct values.
 
     Rows are first reduced to distinct values (map-side combine, so a heavy value is one row),
     then cut into value ranges at sketch quantiles. Range totals are at most ``MAX_BUCKETS`` rows;
@@ -47,45 +148,21 @@ def value_prefix(
         value.cast("double").alias("value"), *[m.alias(k) for k, m in measures.items()]
     ).where(F.col("value").isNotNull())
 
-    probes = [k / 256 for k in range(1, 256)]
-    head = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", probes, 4_096).alias("q")
-    ).first()
-    n, cuts = head["n"], list(head["q"] or [])
-    # an evenly spaced quantile that repeats marks a value holding at least about 1/256 of all rows
-    hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-    buckets = min(max(math.ceil(n / rows_per_bucket), 1), MAX_BUCKETS)
-    if buckets > 256:
-        finer = [k / buckets for k in range(1, buckets)]
-        cuts = rows.agg(F.percentile_approx("value", finer, 4 * buckets)).first()[0]
-    step = max(len(cuts) // buckets, 1)
-    edges = sorted(set(cuts[step - 1 :: step])) if buckets > 1 else []
-    edges = [e for e in edges if math.isfinite(e)]
-
-    if edges:
-        splitter = Bucketizer(
-            splits=[-math.inf, *edges, math.inf], inputCol="value", outputCol="bucket"
-        )
-        rows = splitter.transform(rows).withColumn("bucket", F.col("bucket").cast("int"))
-    else:
-        rows = rows.withColumn("bucket", F.lit(0))
+    n, cuts, hot = _cuts(rows, rows_per_bucket)
+    edges = sorted(set(cuts))
+    rows = _bucketed(rows, edges)
 
     sums = {"n": F.count(F.lit(1)), **{k: F.sum(k) for k in measures}}
     per_value = rows.groupBy("bucket", "value").agg(*[s.alias(k) for k, s in sums.items()])
-    tracked = [*sums, "distinct_n"]
-    if edges:
-        totals_by_bucket = (
-            per_value.groupBy("bucket")
-            .agg(*[F.sum(k).alias(k) for k in sums], F.count(F.lit(1)).alias("distinct_n"))
-            .orderBy("bucket")
-            .collect()
+    tracked = [*sums, "distinct_n"] if dense else [*sums]
+    if dense:
+        totals = per_value.groupBy("bucket").agg(
+            *[F.sum(k).alias(k) for k in sums], F.count(F.lit(1)).alias("distinct_n")
         )
     else:
-        totals_by_bucket = per_value.agg(
-            F.lit(0).alias("bucket"),
-            *[F.sum(k).alias(k) for k in sums],
-            F.count(F.lit(1)).alias("distinct_n"),
-        ).collect()
+        # straight from the rows: only bucket sums are shuffled
+        totals = rows.groupBy("bucket").agg(*[s.alias(k) for k, s in sums.items()])
+    totals_by_bucket = sorted(totals.collect(), key=lambda r: r["bucket"])
     running = {k: 0 for k in tracked}
     offsets = []
     for r in totals_by_bucket:
@@ -94,27 +171,18 @@ def value_prefix(
             running[k] += r[k] or 0
 
     w = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    here = per_value.withColumn("distinct_n", F.lit(1))
+    here = per_value.withColumn("distinct_n", F.lit(1)) if dense else per_value
     for k in tracked:
         here = here.withColumn(f"before_{k}", F.coalesce(F.sum(k).over(w), F.lit(0)))
     if edges:
-        def literal(x):
-            return F.lit(x if isinstance(x, int) else float(x))
-
         for i, k in enumerate(tracked, start=1):
-            # at most MAX_BUCKETS entries, kept as one array literal indexed by the range number
-            by_bucket = {o[0]: o[i] for o in offsets}
-            slots, last = [], 0
-            for b in range(len(edges) + 1):
-                last = by_bucket.get(b, last)
-                slots.append(literal(last))
-            lookup = F.element_at(F.array(*slots), F.col("bucket") + 1)
-            here = here.withColumn(f"before_{k}", F.col(f"before_{k}") + lookup)
+            start = _by_bucket({o[0]: o[i] for o in offsets}, len(edges) + 1)
+            here = here.withColumn(f"before_{k}", F.col(f"before_{k}") + start)
     out = here.select(
         "value",
         *sums,
         *[f"before_{k}" for k in sums],
-        F.col("before_distinct_n").alias("distinct_before"),
+        *([F.col("before_distinct_n").alias("distinct_before")] if dense else []),
     )
     return PrefixTable(out, running, hot)
 

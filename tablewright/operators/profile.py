@@ -21,6 +21,7 @@ from tablewright.functions.expressions import sample_kurtosis, sample_skewness
 from tablewright.operators.order_stats import OrderStatistics, exact_quantiles
 
 COLUMNS_PER_JOB = 40
+MOMENTS_PER_JOB = 6
 DISTINCTS_PER_JOB = 10
 TOP_VALUES = 10
 COLUMN_TOP_VALUES = 20
@@ -31,10 +32,16 @@ def chunks(items: Sequence, size: int):
         yield items[start : start + size]
 
 
-def numeric_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
-    """Count, moments and range of every column; one aggregate per COLUMNS_PER_JOB columns."""
+def numeric_moments(
+    df: DataFrame, columns: Sequence[str], shape: bool = True
+) -> dict[str, dict]:
+    """Count, moments and range of every column (``shape`` adds skewness and kurtosis).
+
+    Aggregates are cut into groups of a few columns: each group reads only its own columns, and
+    its generated code stays small enough for the JIT compiler.
+    """
     out: dict[str, dict] = {}
-    for group in chunks(list(columns), COLUMNS_PER_JOB):
+    for group in chunks(list(columns), 2 if shape else MOMENTS_PER_JOB):
         structs = []
         for i, c in enumerate(group):
             x = as_double(c)
@@ -45,11 +52,16 @@ def numeric_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
                     n.alias("n"),
                     F.avg(x).alias("mean"),
                     F.stddev_samp(x).alias("std"),
-                    F.var_pop(x).alias("var_pop"),
                     F.min(x).alias("min"),
                     F.max(x).alias("max"),
-                    sample_skewness(n, F.skewness(x)).alias("skew"),
-                    sample_kurtosis(n, F.kurtosis(x)).alias("kurtosis"),
+                    *(
+                        [
+                            sample_skewness(n, F.skewness(x)).alias("skew"),
+                            sample_kurtosis(n, F.kurtosis(x)).alias("kurtosis"),
+                        ]
+                        if shape
+                        else []
+                    ),
                 ).alias(f"s{i}")
             )
         row = df.agg(*structs).first()
@@ -132,7 +144,7 @@ def outlier_counts(
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column: distribution, missing share, distinct values, outliers."""
     names = list(columns or numeric_columns(df))
-    moments = numeric_moments(df, names)
+    moments = numeric_moments(df, names, shape=False)
     quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75])
     distinct = cardinalities(df, names) if names else {}
     outliers = outlier_counts(df, names, quartiles)
