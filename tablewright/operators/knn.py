@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from tablewright.core import cut_lineage
 
 CHUNK_ROWS = 20_000
-QUERY_ROWS = 2_000
+QUERY_ROWS = 20_000
+BLOCK_ROWS = 500
 MAX_PIVOTS = 1_024
 CANDIDATES = "qid long, dist double, tid long, y double"
 
@@ -59,29 +60,53 @@ def _nearest_pivot(df: DataFrame, pivots: np.ndarray, power: float) -> DataFrame
     return df.mapInPandas(assign, schema)
 
 
-def _search(queries: DataFrame, train: DataFrame, k: int, power: float) -> DataFrame:
-    """Best k training rows per query and chunk; both sides carry ``cell, chunk, slice``."""
+def _search(
+    queries: DataFrame, train: DataFrame, chunks: dict[int, int], k: int, power: float,
+    query_rows: int,
+) -> DataFrame:
+    """Best k training rows per query and chunk.
+
+    ``queries`` has ``qid, x, cell``; ``train`` has ``cell, chunk``. The queries of a crowded cell
+    are cut into slices, and the chunks of that cell are repeated once per slice.
+    """
+    load = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}
+    slices = {c: max(1, -(-load.get(c, 0) // query_rows)) for c in chunks}
+
+    def per_cell(values: dict[int, int]):
+        pairs = [x for c, v in values.items() for x in (F.lit(c), F.lit(v))]
+        return F.create_map(*pairs)[F.col("cell")]  # at most MAX_PIVOTS entries
+
+    known = queries.where(F.col("cell").isin(list(chunks)))
+    asked = known.withColumn(
+        "slice", F.pmod(F.xxhash64("qid"), per_cell(slices)).cast("int")
+    ).withColumn("chunk", F.explode(F.sequence(F.lit(0), per_cell(chunks) - 1)))
+    placed = train.withColumn("slice", F.explode(F.sequence(F.lit(0), per_cell(slices) - 1)))
 
     def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame(columns=["qid", "dist", "tid", "y"])
-        d = _distances(np.stack(q["x"].to_numpy()), np.stack(t["x"].to_numpy()), power)
-        tid, y, qid = t["tid"].to_numpy(), t["y"].to_numpy(), q["qid"].to_numpy()
-        take = min(k, d.shape[1])
-        order = np.argsort(tid, kind="stable")
-        d, tid, y = d[:, order], tid[order], y[order]
-        pick = np.argsort(d, axis=1, kind="stable")[:, :take]
-        return pd.DataFrame(
-            {
-                "qid": np.repeat(qid, take),
-                "dist": np.take_along_axis(d, pick, 1).ravel(),
-                "tid": tid[pick].ravel(),
-                "y": y[pick].ravel(),
-            }
-        )
+        t = t.sort_values("tid", kind="stable")
+        points, tid, y = np.stack(t["x"].to_numpy()), t["tid"].to_numpy(), t["y"].to_numpy()
+        take = min(k, len(tid))
+        found = []
+        for start in range(0, len(q), BLOCK_ROWS):
+            block = q.iloc[start : start + BLOCK_ROWS]
+            d = _distances(np.stack(block["x"].to_numpy()), points, power)
+            pick = np.argsort(d, axis=1, kind="stable")[:, :take]
+            found.append(
+                pd.DataFrame(
+                    {
+                        "qid": np.repeat(block["qid"].to_numpy(), take),
+                        "dist": np.take_along_axis(d, pick, 1).ravel(),
+                        "tid": tid[pick].ravel(),
+                        "y": y[pick].ravel(),
+                    }
+                )
+            )
+        return pd.concat(found)
 
     keys = ["cell", "chunk", "slice"]
-    return queries.groupBy(*keys).cogroup(train.groupBy(*keys)).applyInPandas(best, CANDIDATES)
+    return asked.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(best, CANDIDATES)
 
 
 def _keep_best(candidates: DataFrame, k: int) -> DataFrame:
@@ -120,7 +145,7 @@ def nearest_neighbours(
     ``queries`` has ``qid long, x array<double>``; ``train`` has ``tid long, x, y double``. Equal
     distances are ordered by ``tid``.
     """
-    n_train, n_query = train.count(), queries.count()
+    n_train = train.count()
     wanted = pivots or max(1, min(MAX_PIVOTS, int((n_train / 1_000) ** 0.5) * 4))
     centres = choose_pivots(train, n_train, wanted, seed)
     cells = cut_lineage(_nearest_pivot(train.select("tid", "x", "y"), centres, power))
@@ -132,27 +157,16 @@ def nearest_neighbours(
     }
     chunks = {c: max(1, -(-n // chunk_rows)) for c, (n, _) in sizes.items()}
     used = sorted(sizes)
-    # per-cell constants, at most MAX_PIVOTS entries
     n_chunks = F.create_map(*[x for c in used for x in (F.lit(c), F.lit(chunks[c]))])
-
-    asked = _nearest_pivot(queries.select("qid", "x"), centres, power)
-    load = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
-    slices = max(1, -(-max(load.values(), default=1) // query_rows))
-    slice_of = F.pmod(F.xxhash64("qid"), F.lit(slices)).cast("int")
-
-    placed = cells.withColumn(
-        "chunk", F.pmod(F.xxhash64("tid"), n_chunks[F.col("cell")]).cast("int")
-    ).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    placed = placed.select("tid", "x", "y", "cell", "chunk", "slice")
-
-    def to_chunks(q: DataFrame) -> DataFrame:
-        known = q.where(F.col("cell").isin(used))
-        every = F.sequence(F.lit(0), n_chunks[F.col("cell")] - 1)
-        return known.withColumn("chunk", F.explode(every)).withColumn("slice", slice_of)
-
-    first = cut_lineage(
-        _keep_best(_search(to_chunks(asked.select("qid", "x", "cell")), placed, k, power), k)
+    placed = cells.select(
+        "tid", "x", "y", "cell",
+        F.pmod(F.xxhash64("tid"), n_chunks[F.col("cell")]).cast("int").alias("chunk"),
     )
+    asked = cut_lineage(_nearest_pivot(queries.select("qid", "x"), centres, power))
+    candidates = _search(
+        asked.select("qid", "x", "cell"), placed, chunks, k, power, query_rows
+    )
+    first = cut_lineage(_keep_best(candidates, k))
     if len(used) == 1:
         return first.select("qid", "place", "dist", "tid", "y")
     bound = first.groupBy("qid").agg(
@@ -182,8 +196,10 @@ def nearest_neighbours(
                     }
                 )
 
-    more = bounded.mapInPandas(other_cells, "qid long, x array<double>, cell int")
-    second = _search(to_chunks(more), placed, k, power)
+    more = cut_lineage(
+        bounded.mapInPandas(other_cells, "qid long, x array<double>, cell int")
+    )
+    second = _search(more, placed, chunks, k, power, query_rows)
     union = first.select("qid", "dist", "tid", "y").unionByName(second)
     return _keep_best(union, k).select("qid", "place", "dist", "tid", "y")
 

@@ -55,7 +55,7 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
         if y >= gamma:
             return w, 0.0
         y = -math.log(gamma - y)
-        mean = np.polyval([0.0006714, -0.025054, 0.39978, 0.5440], n)
+        mean = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n)
         sd = math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
     else:
         log_n = math.log(n)

@@ -111,6 +111,10 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = TOP_VALUES) -> Da
     The rank filter becomes a per-partition group limit, so at most k rows per column and
     partition are shuffled however many distinct values a column has.
     """
+    if not columns:
+        return local_rows(
+            df.sparkSession, [], "column string, value string, count long, rank int"
+        )
     w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value"))
     return (
         value_counts(df, columns)
