@@ -268,7 +268,6 @@ def compute_correlations(
     pairs = [(a, b, r) for (a, b), r in found.items() if r is not None]
     rows += [("pair", a, b, r) for a, b, r in sorted(pairs, key=lambda p: -abs(p[2]))]
     if include_matrix and found:
-        spread = constant = None
         spread = df.agg(
             *[(F.min(as_double(c)) < F.max(as_double(c))).alias(f"s{i}")
               for i, c in enumerate(names)]
@@ -276,7 +275,7 @@ def compute_correlations(
         for i, a in enumerate(names):
             for b in names:
                 if a == b:
-                    rows.append(("matrix", a, a, 1.0 if spread[f"s{i}"] else constant))
+                    rows.append(("matrix", a, a, 1.0 if spread[f"s{i}"] else None))
                 else:
                     rows.append(("matrix", a, b, found.get((a, b), found.get((b, a)))))
     return local_rows(
@@ -508,10 +507,11 @@ def variance_inflation(df: DataFrame, target: str, top_n: int = 20) -> DataFrame
 
 
 def _ratio_sums(
-    block: pd.DataFrame, start: np.ndarray, n: np.ndarray, mean: np.ndarray, var: np.ndarray
+    ids: np.ndarray, n: np.ndarray, mean: np.ndarray, var: np.ndarray
 ) -> tuple[float, int]:
+    """Fisher ratios of the given classes with all later classes: their sum and number."""
     total, pairs = 0.0, 0
-    for i in start:
+    for i in ids:
         if n[i] < 2:
             continue
         spread = var[i] + var[i + 1 :]
@@ -559,7 +559,7 @@ def separability(df: DataFrame, target: str) -> DataFrame:
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (i, *_ratio_sums(batch, batch["id"].to_numpy(), *arrays[i])) for i in arrays
+                (i, *_ratio_sums(batch["id"].to_numpy(), *arrays[i])) for i in arrays
             ]
             yield pd.DataFrame(rows, columns=["f", "total", "pairs"])
 

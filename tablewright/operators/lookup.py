@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,20 @@ def _salt(df: DataFrame):
     return F.pmod(F.xxhash64(*usable), F.lit(SALTS)).cast("int")
 
 
+def _is_hot(columns: list[Column], hot: list[tuple]) -> Column:
+    if not hot:
+        return F.lit(False)
+    if len(columns) == 1:
+        return F.coalesce(columns[0].isin([k[0] for k in hot]), F.lit(False))
+    found = F.lit(False)
+    for key in hot:
+        same = F.lit(True)
+        for c, v in zip(columns, key):
+            same = same & c.eqNullSafe(F.lit(v))
+        found = found | same
+    return found
+
+
 def attach(df: DataFrame, lookup: Lookup, on: Sequence[str]) -> DataFrame:
     """Left join: every row of ``df`` is kept and gains the non-key columns of the table.
 
@@ -78,18 +92,8 @@ def attach(df: DataFrame, lookup: Lookup, on: Sequence[str]) -> DataFrame:
     spread = F.lit(False)
     for c in on:
         spread = spread | col(c).isNull()
-    is_hot = F.lit(False)
-    for key in lookup.hot:
-        same = F.lit(True)
-        for m, v in zip(match_names, key):
-            same = same & (F.col(m) == F.lit(v))
-        is_hot = is_hot | same
-    row_hot = F.lit(False)
-    for key in lookup.hot:
-        same = F.lit(True)
-        for c, v in zip(on, key):
-            same = same & (col(c) == F.lit(v))
-        row_hot = row_hot | same
+    is_hot = _is_hot([F.col(m) for m in match_names], lookup.hot)
+    row_hot = _is_hot([col(c) for c in on], lookup.hot)
     left = df.withColumn("_salt", F.when(spread | row_hot, _salt(df)).otherwise(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = renamed.withColumn("_tsalt", F.explode(copies))

@@ -396,23 +396,23 @@ def categorical_interaction(spark, folder):
 @plan(
     "auto_preprocess", "E21",
     f"""WITH {LI}, t AS (SELECT l_quantity, l_discount, 1 AS fixed, CASE WHEN l_partkey % 5 <> 0
- THEN l_linestatus END AS l_linestatus, CAST(l_suppkey AS VARCHAR) AS supplier, l_returnflag
- FROM li), k AS {_codes('supplier', 't')},
+ THEN l_linestatus END AS l_linestatus, CAST(l_partkey AS VARCHAR) AS part_text, l_returnflag
+ FROM li), k AS {_codes('part_text', 't')},
  m AS (SELECT l_linestatus AS top FROM t WHERE l_linestatus IS NOT NULL GROUP BY 1
  ORDER BY count(*) DESC, 1 LIMIT 1)
  SELECT l_quantity, coalesce(l_discount, {sql_quantile('t', 'l_discount', 0.5)}) AS l_discount,
- code AS supplier, l_returnflag, """
+ code AS part_text, l_returnflag, """
     + ", ".join(
         f"CAST(coalesce(l_linestatus, top) = '{v}' AS INTEGER) AS \"l_linestatus_{v}\""
         for v in ("F", "O")
     )
-    + " FROM t JOIN k ON supplier = v, m",
+    + " FROM t JOIN k ON part_text = v, m",
 )
 def auto_preprocess_plan(spark, folder):
     df = lineitem_nulls(spark, folder).select(
         "l_quantity", "l_discount", F.lit(1).alias("fixed"),
         F.when(F.col("l_partkey") % 5 != 0, F.col("l_linestatus")).alias("l_linestatus"),
-        F.col("l_suppkey").cast("string").alias("supplier"), "l_returnflag",
+        F.col("l_partkey").cast("string").alias("part_text"), "l_returnflag",
     )
     return auto_preprocess(df, "l_returnflag")[0]
 
