@@ -174,36 +174,45 @@ def polynomial_features(params: dict[str, Any]) -> FeatureOperation:
     return FeatureOperation("polynomial_features", lambda df: apply, columns)
 
 
-def yeo_johnson(x: Column, lam: float) -> Column:
-    positive = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1, F.lit(lam)) - 1) / lam
-    two = 2.0 - lam
-    negative = -F.log1p(-x) if abs(two) < 1e-12 else -(F.pow(1 - x, F.lit(two)) - 1) / two
-    return F.when(x >= 0, positive).otherwise(negative)
+def _power(x: Column, lam: Column) -> Column:
+    """(x^lam - 1) / lam with its limit log x at zero."""
+    return F.when(F.abs(lam) < 1e-12, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam)
 
 
-def box_cox(x: Column, lam: float) -> Column:
-    return F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / lam
+def yeo_johnson(x: Column, lam: Column) -> Column:
+    return F.when(x >= 0, _power(x + 1, lam)).otherwise(-_power(1 - x, 2 - lam))
 
 
 def likeliest_lambda(df: DataFrame, column: str, method: str) -> float:
-    """Maximum-likelihood exponent by repeated grids: each round is one aggregate of variances."""
-    x = as_double(column)
-    transform = yeo_johnson if method == "yeo-johnson" else box_cox
-    jacobian = F.signum(x) * F.log1p(F.abs(x)) if method == "yeo-johnson" else F.log(x)
+    """Maximum-likelihood exponent by repeated grids.
+
+    A round is one scan: rows are expanded to the grid in memory and combined map-side, so only
+    one variance per grid point is shuffled.
+    """
+    yeo = method == "yeo-johnson"
+    transform = yeo_johnson if yeo else _power
+    rows = df.select(as_double(column).alias("x")).where(F.col("x").isNotNull())
+    x = F.col("x")
+    jacobian = F.signum(x) * F.log1p(F.abs(x)) if yeo else F.log(x)
     low, high, points = -5.0, 5.0, 41
     best = 1.0
     for _ in range(5):
         step = (high - low) / (points - 1)
         grid = [low + k * step for k in range(points)]
-        r = df.agg(
-            F.count(x).alias("n"),
-            F.sum(jacobian).alias("j"),
-            *[F.var_pop(transform(x, g)).alias(f"v{k}") for k, g in enumerate(grid)],
-        ).first()
+        found = (
+            rows.select("x", F.explode(F.array(*[F.lit(g) for g in grid])).alias("g"))
+            .groupBy("g")
+            .agg(
+                F.count(F.lit(1)).alias("n"),
+                F.sum(jacobian).alias("j"),
+                F.var_pop(transform(x, F.col("g"))).alias("v"),
+            )
+            .collect()
+        )
         scores = [
-            (-r["n"] / 2 * math.log(r[f"v{k}"]) + (g - 1) * r["j"], g)
-            for k, g in enumerate(grid)
-            if r[f"v{k}"] and math.isfinite(r[f"v{k}"])
+            (-r["n"] / 2 * math.log(r["v"]) + (r["g"] - 1) * r["j"], r["g"])
+            for r in found
+            if r["v"] and math.isfinite(r["v"])
         ]
         if not scores:
             return 1.0
@@ -218,7 +227,7 @@ def power_transform(params: dict[str, Any]) -> FeatureOperation:
     fixed = params.get("lambdas", {})
     if method not in ("yeo-johnson", "box-cox"):
         raise ValueError(f"power_transform: unknown method '{method}'")
-    transform = yeo_johnson if method == "yeo-johnson" else box_cox
+    transform = yeo_johnson if method == "yeo-johnson" else _power
 
     def learn(df: DataFrame):
         if method == "box-cox" and columns:
@@ -228,7 +237,7 @@ def power_transform(params: dict[str, Any]) -> FeatureOperation:
         new = {}
         for c in columns:
             lam = fixed[c] if c in fixed else likeliest_lambda(df, c, method)
-            y = transform(as_double(c), lam)
+            y = transform(as_double(c), F.lit(float(lam)))
             r = df.agg(F.avg(y).alias("m"), F.stddev_pop(y).alias("s")).first()
             new[c] = (y - F.lit(r["m"])) / F.lit(r["s"] or 1.0)
         return lambda d: replace_columns(d, new)

@@ -17,31 +17,41 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return ";" if line.count(";") > line.count(",") else ","
 
 
-def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether every line of a text file is valid UTF-8; stops at the first bad line."""
+def inspect_text(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether a text file is valid UTF-8 and whether a quoted field spans lines; one scan."""
     # latin-1 keeps every byte, encoding back restores the original bytes
-    raw = spark.read.option("encoding", "ISO-8859-1").option("header", False).option(
-        "sep", "\u0001").option("quote", "").csv(path, schema="line string")
-    return raw.where(~F.is_valid_utf8(F.encode("line", "ISO-8859-1").cast("string"))).isEmpty()
+    raw = (
+        spark.read.option("encoding", "ISO-8859-1")
+        .option("header", False)
+        .option("sep", "\u0001")
+        .option("quote", "")
+        .csv(path, schema="line string")
+    )
+    valid = F.is_valid_utf8(F.encode("line", "ISO-8859-1").cast("string"))
+    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
+    row = raw.agg(F.bool_and(valid).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("open")).first()
+    return row["utf8"] is not False, bool(row["open"])
 
 
 def load_csv(
     spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None,
     schema: str | None = None,
 ) -> DataFrame:
-    """CSV with a header; separator and encoding are detected and types inferred if not given.
+    """CSV with a header; separator, encoding and line layout are detected, types inferred.
 
-    Giving a schema avoids the extra inference pass over large files.
+    Only files with line breaks inside quotes are read in multi-line mode, which cannot split a
+    file. Giving a schema avoids the extra inference pass over large files.
     """
     if not path.rstrip("/").lower().endswith((".csv", ".csv.gz")):
         raise ValueError(f"Expected a CSV file, got: {path}")
+    utf8, multi_line = inspect_text(spark, path)
     reader = (
         spark.read.option("header", True)
         .option("sep", separator or sniff_separator(spark, path))
-        .option("encoding", encoding or ("UTF-8" if is_utf8(spark, path) else "ISO-8859-1"))
+        .option("encoding", encoding or ("UTF-8" if utf8 else "ISO-8859-1"))
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
     )
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return normalise_missing(reader.csv(path))

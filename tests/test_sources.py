@@ -19,6 +19,12 @@ def test_csv_detection(spark, tmp_path):
     utf = tmp_path / "c.csv"
     utf.write_text("id;name\n1;café\n", encoding="utf-8")
     assert tables.load_csv(spark, str(utf)).first()["name"] == "café"
+    lines = tmp_path / "d.csv"
+    lines.write_text('id,note\n1,"two\nlines"\n2,one\n', encoding="utf-8")
+    assert tables.inspect_text(spark, str(lines)) == (True, True)
+    assert tables.inspect_text(spark, str(plain)) == (True, False)
+    notes = tables.load_csv(spark, str(lines))
+    assert {r["note"] for r in notes.collect()} == {"two\nlines", "one"}
     with pytest.raises(ValueError, match="Expected a CSV"):
         tables.load_csv(spark, "x.txt")
     with pytest.raises(ValueError, match="Unknown format"):
