@@ -108,8 +108,15 @@ def training_set(
             same = F.col("label") == F.lit(c)
             weights = F.when(same, w) if weights is None else weights.when(same, w)
         balance = weights if weights is not None else balance
+    # every fit scans these rows many times: spread them evenly by key before writing them
+    spark = df.sparkSession
+    parts = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
     rows = cut_lineage(
-        rows.select("row_key", "features", "label", "fold", balance.alias("weight"))
+        rows.select(
+            "row_key", "features", "label", "fold", balance.alias("weight")
+        ).repartition(parts, "row_key")
     )
     return TrainingSet(rows, list(features), task, classes, rows.count(), folds)
 
