@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tablewright.llm import byte_bpe, packing, sharding, token_counts
+from pyspark.sql import functions as F
+
+from tablewright.llm import byte_bpe, packing, sharding, simhash, token_counts
 from tablewright.llm.registry import query, table
 
 
@@ -27,6 +29,13 @@ def op7_jump_sharding(spark, folder):
     return sharding.shard(table(spark, folder, "documents"), shards=24)
 
 
+@query("op8_simhash")
+def op8_simhash(spark, folder):
+    found = simhash.near_components(
+        table(spark, folder, "documents"), words=3, bits=64, radius=2)
+    return found.withColumn("fingerprint", F.lower(F.hex("fingerprint")))
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark, folder):
     return token_counts.token_counts(
