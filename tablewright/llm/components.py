@@ -1,7 +1,8 @@
-"""Connected components of an edge table by alternating star contraction."""
+"""Connected components: of an edge table by star contraction, of arrays within one task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,23 @@ def components(edges: DataFrame) -> DataFrame:
             break
     roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return loops.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest label reachable over the links a-b."""
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star links with the same components as the links a-b."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    label = settle(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]

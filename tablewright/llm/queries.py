@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import byte_bpe, packing, sharding, simhash, token_counts
+from tablewright.llm import byte_bpe, embedding_links, packing, sharding, simhash, token_counts
 from tablewright.llm.registry import query, table
 
 
@@ -36,6 +36,11 @@ def op8_simhash(spark, folder):
     return found.withColumn("fingerprint", F.lower(F.hex("fingerprint")))
 
 
+@query("op9_embedding_links")
+def op9_embedding_links(spark, folder):
+    return embedding_links.near_vectors(table(spark, folder, "embeddings"), cosine=0.98)
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark, folder):
     return token_counts.token_counts(

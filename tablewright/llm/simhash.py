@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tablewright.core import cut_lineage
 from tablewright.llm.common import map_rows, text_bytes
-from tablewright.llm.components import components
+from tablewright.llm.components import components, settle, spanning
 
 #: Distinct fingerprints that the cost model looks at. They only steer the choice of partitions and
 #: thresholds; any choice finds the same pairs.
@@ -190,18 +190,6 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1)
 
 
-def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest label reachable over the links a-b."""
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def link_run(words: np.ndarray, radius: int) -> np.ndarray:
     """Component labels (row numbers) of one long run of equal keys, in linear memory.
 
@@ -236,7 +224,7 @@ def link_run(words: np.ndarray, radius: int) -> np.ndarray:
         for i in range(0, n, block):
             near = _distance(words[i : i + block, None, :], words[None, :, :]) <= radius
             a, b = np.nonzero(near)
-            label = _settle(label, a + i, b)
+            label = settle(label, a + i, b)
         if (label == before).all():
             return label
 
@@ -265,21 +253,13 @@ def find_links(key: np.ndarray, own: np.ndarray, words: np.ndarray, radius: int)
         near = at[_distance(words[at], words[at + gap]) <= radius]
         a, b = np.r_[a, near], np.r_[b, near + gap]
         if len(a) > 1 << 20:
-            a, b = _spanning(a, b, len(key))
+            a, b = spanning(a, b, len(key))
     if len(a):
-        found.append(np.stack(_spanning(a, b, len(key)), axis=1))
+        found.append(np.stack(spanning(a, b, len(key)), axis=1))
     pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
     return order[pairs]
 
 
-def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links with the same components as the links a-b."""
-    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
-    label = _settle(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[moved], nodes[label[moved]]
-
-
 def near_links(
     distinct: DataFrame, radius: int, guarantee: int | None = None, bits: int = 64
 ) -> DataFrame:
