@@ -109,14 +109,16 @@ def links_in_run(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one cell (or of two blocks of it) that link and met in no earlier code.
 
-    The rows are sorted along the first direction; the window around each row gives its
-    partners, whose collisions in all directions are counted before the cosine is taken.
+    The rows are sorted along the first direction, where a linked pair is no further apart than
+    the vectors are; the collisions of such pairs in all directions are counted, and those that
+    have enough are verified by their cosine.
     """
     window, need = cut
     along = units @ directions(units.shape[1], 0)[0]
     order = np.argsort(along[:, 0], kind="stable")
     first = along[order, 0]
-    ends = np.searchsorted(first, first + window, side="right")
+    length = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9  # no projection of the gap is longer
+    ends = np.searchsorted(first, first + length, side="right")
     n = len(order)
     found_a, found_b = [], []
     steps = np.maximum(ends - np.arange(n) - 1, 0)
