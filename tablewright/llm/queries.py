@@ -6,10 +6,32 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import byte_bpe, embedding_links, packing, sharding, simhash, token_counts
+from tablewright.llm import (
+    byte_bpe,
+    embedding_links,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash,
+    token_counts,
+)
 from tablewright.llm.registry import query, table
 
 
+@query("op1_quality_rules")
+def op1_quality_rules(spark, folder):
+    good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.judge(table(spark, folder, "documents"), good, keep=["doc_id"])
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark, folder):
+    labels = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return quality_classifier.classify(table(spark, folder, "documents"), labels)
+
+
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark, folder):
     return packing.pack(
