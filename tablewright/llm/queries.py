@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablewright.llm import (
     byte_bpe,
     embedding_links,
+    html_text,
     packing,
     quality_classifier,
     quality_rules,
@@ -46,6 +47,11 @@ def op5_byte_bpe(spark, folder):
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+@query("op6_html_text")
+def op6_html_text(spark, folder):
+    return html_text.extract(table(spark, folder, "pages"), keep=["page_id", "url"])
+
+
 @query("op7_jump_sharding")
 def op7_jump_sharding(spark, folder):
     return sharding.shard(table(spark, folder, "documents"), shards=24)
