@@ -13,6 +13,7 @@ from tablewright.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    repeats,
     sharding,
     simhash,
     token_counts,
@@ -33,6 +34,11 @@ def op2_quality_classifier(spark, folder):
     return quality_classifier.classify(table(spark, folder, "documents"), labels)
 
 
+@query("op3_repeated_passages")
+def op3_repeated_passages(spark, folder):
+    return repeats.remove_repeats(table(spark, folder, "documents"), least=50)
+
+
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark, folder):
     return packing.pack(
