@@ -22,6 +22,9 @@ REACH = 6.0
 #: Widths of the log-density difference that is one unit of the logit.
 TEMPER = 0.2
 
+#: Labels up to this number are broadcast (some 30 MB).
+BROADCAST_LABELS = 1_000_000
+
 #: Byte classes, in this order: upper case, lower case, digits, white space, end of sentence,
 #: other marks of prose, symbols, bytes beyond ASCII.
 CLASSES = (
@@ -123,6 +126,7 @@ def fit(rows: DataFrame, width: int = WIDTH) -> Model:
         mean = (found[0][1] + found[1][1]) / max(n, 1)
         return n, mean, (found[0][2] + found[1][2]) / max(n, 1) - np.outer(mean, mean)
 
+    rows = cut_lineage(rows)  # statistics of labelled texts, read twice
     _, centre, spread = pooled(moments(rows, width))
     scale = np.sqrt(np.maximum(np.diag(spread), 1e-6))
     blank = Model(centre, scale, (np.zeros(width),) * 2, (np.eye(width),) * 2, 0.0)
@@ -151,32 +155,46 @@ SCORE = T.StructType([
 
 def with_statistics(df: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
     """The ``keep`` columns and `_stats`; a null text has the statistics of the empty one."""
-    return map_rows(df, [text_column], STATS,
-                    lambda columns: [[statistics(t) for t in text_bytes(columns[0])]], keep)
 
+    def compute(columns):
+        return [[statistics(t) for t in text_bytes(columns[0])]]
+
+    return map_rows(df, [text_column], STATS, compute, keep)
 
-def with_scores(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, score and predicted from `_stats`."""
+
+def with_scores(
+    df: DataFrame, model: Model, keep: list[str], text_column: str = "text", prefix: str = ""
+) -> DataFrame:
+    """The ``keep`` columns, score and predicted (their names after ``prefix``)."""
+    outputs = T.StructType([T.StructField(prefix + f.name, f.dataType) for f in SCORE.fields])
+    if clash := set(keep) & set(outputs.names):
+        raise ValueError(f"rename these columns first: {sorted(clash)}")
 
     def compute(columns):
-        x = columns[0].flatten().to_numpy().reshape(len(columns[0]), -1)
-        score = model.score(x) if len(x) else np.zeros(0)
+        x = np.array([statistics(t) for t in text_bytes(columns[0])]).reshape(-1, WIDTH)
+        score = model.score(x)
         return [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
 
-    return map_rows(rows, ["_stats"], SCORE, compute, keep)
+    return map_rows(df, [text_column], outputs, compute, keep)
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, id_column: str) -> DataFrame:
+def training_rows(
+    df: DataFrame, labels: DataFrame, id_column: str, text_column: str
+) -> DataFrame:
     """(stats, label) of labelled documents that are not held out.
 
     Held out: crc32 of the id as text, modulo 3, is 1. Labels other than 0 and 1 and null ids are
-    left out; a document labelled twice counts twice.
+    left out; a document labelled twice counts twice. Up to a checked number of labels they are
+    broadcast and only labelled texts are read closely; beyond, statistics are joined by a shuffle.
     """
-    known = labels.where(F.col("label").isin(0, 1)).select(
+    known = labels.where(F.col("label").isin(0, 1) & F.col("id").isNotNull()).select(
         F.col("id").alias("_lid"), F.col("label").cast("int").alias("_label"))
-    own = stats.select(F.col(f"`{id_column}`").alias("_id"), "_stats")
-    return own.where(~held_out("_id")).join(known, F.col("_id") == F.col("_lid")).select(
-        "_stats", "_label")
+    own = df.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text_column}`").alias("_text"))
+    own, match = own.where(~held_out("_id")), F.col("_id") == F.col("_lid")
+    if known.count() <= BROADCAST_LABELS:
+        labelled = own.join(F.broadcast(known), match)
+        return with_statistics(labelled, ["_label"], "_text").select("_stats", "_label")
+    return with_statistics(own, ["_id"], "_text").join(known, match).select("_stats", "_label")
 
 
 def held_out(id_column: str):
@@ -184,18 +202,23 @@ def held_out(id_column: str):
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 3 == 1, F.lit(False))
 
 
+def learn(
+    df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+) -> Model:
+    """Model from all labelled rows of ``df`` that are not held out; see :func:`fit`."""
+    return fit(training_rows(df, labels, id_column, text_column))
+
+
 def classify(
     df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """Id, held_out, score and predicted (1 from 0.5 on) of every row.
 
-    ``labels`` has columns id and label (0 or 1). Statistics come from the text alone, null as
-    empty. They are computed once and checkpointed, so the model sees every labelled row without
-    moving texts; the driver sees sums of the width of the statistics. Null and repeated ids are
-    rows like any other; an empty table gives no rows. Other columns are not read.
+    ``labels`` has columns id and label (0 or 1). Scores come from the text alone, null as empty;
+    the driver sees sums of the width of the statistics. Null and repeated ids are rows like any
+    other; an empty table gives no rows. Other columns are not read.
     """
-    ids = df.select(F.col(f"`{id_column}`").alias("_key"), F.col(f"`{text_column}`").alias("_text"))
-    stats = cut_lineage(with_statistics(ids, ["_key"], "_text"))
-    model = fit(training_rows(stats, labels, "_key"))
-    return with_scores(stats, model, ["_key"]).select(
-        F.col("_key").alias(id_column), held_out("_key").alias("held_out"), "score", "predicted")
+    model = learn(df, labels, id_column, text_column)
+    rows = df.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text_column}`").alias("_text"))
+    return with_scores(rows, model, ["_id"], "_text").select(
+        F.col("_id").alias(id_column), held_out("_id").alias("held_out"), "score", "predicted")

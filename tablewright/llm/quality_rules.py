@@ -150,6 +150,7 @@ def judge(
     buckets: int = BUCKETS,
     smoothing: float = SMOOTHING,
     threshold: float = THRESHOLD,
+    prefix: str = "",
 ) -> DataFrame:
     """The ``keep`` columns of every row, the base statistics, log_ratio and the verdict ``kept``.
 
@@ -158,11 +159,12 @@ def judge(
     the base rules pass (20 words or more, at most 30 % of them in repeated windows) and log_ratio
     reaches ``threshold``. Null texts count as empty and fail; null and repeated ids are rows like
     any other, a null id is never trusted; an empty table gives no rows. Names in ``keep`` may not
-    be those of the result; other columns are not read.
+    be those of the result, which follow ``prefix``; other columns are not read.
     """
     ratio = log_ratios(
         gram_counts(df, trusted, id_column, text_column, buckets), buckets, smoothing)
-    if clash := set(keep) & set(OUTPUT.names):
+    outputs = T.StructType([T.StructField(prefix + f.name, f.dataType) for f in OUTPUT.fields])
+    if clash := set(keep) & set(outputs.names):
         raise ValueError(f"rename these columns first: {sorted(clash)}")
 
     def compute(columns):
@@ -186,4 +188,4 @@ def judge(
                     column.append(x)
         return out
 
-    return map_rows(df, [text_column], OUTPUT, compute, keep)
+    return map_rows(df, [text_column], outputs, compute, keep)

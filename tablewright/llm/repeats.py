@@ -520,7 +520,7 @@ def merged(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def cut_texts(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
-    """By key of a text with spans: bytes removed, spans, digest and perhaps the kept bytes."""
+    """By key of a text with spans: bytes removed, spans, digest, perhaps the kept characters."""
     names = ["key", "n_removed", "n_spans", "kept_sha256", "kept"]
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
@@ -539,8 +539,9 @@ def cut_texts(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                 left_over.append(text[at:a])
                 at = b
             kept = b"".join([*left_over, text[at:]])
+            whole = kept.decode("utf-8", "ignore").encode() if with_text else None
             rows.append((key, len(text) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(),
-                         kept if with_text else None))
+                         whole))
         return pa.Table.from_batches([_rows(rows, names, kinds)])
 
     return texts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(
@@ -583,38 +584,58 @@ def _found(df: DataFrame, least: int, id_column: str, text_column: str) -> tuple
     return narrow, first, blocks, spans
 
 
-def remove_repeats(
-    df: DataFrame,
-    least: int = 50,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    with_text: bool = False,
-) -> DataFrame:
-    """Remove each byte covered by a ``least``-byte string that a smaller id holds too.
-
-    One row per input row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
-    and, if asked for, the kept bytes. Strings are judged on the input, and matches never cross
-    texts. Equal texts are one text with the smallest of their ids: the row of that id (or rows,
-    if it repeats) keeps what no smaller id has, later rows lose everything if they are long
-    enough. Rows of equal id and different text do not take from each other. A null id is later
-    than any other, and null ids do not take from each other; a null text is empty. An empty
-    table gives no rows. Other columns are not read.
-    """
-    narrow, first, blocks, spans = _found(df, least, id_column, text_column)
-    cut = cut_texts(blocks, spans, with_text)
+def _row_results(narrow: DataFrame, first: DataFrame, cut: DataFrame, least: int) -> DataFrame:
+    """Result columns of every row of ``narrow`` (_id, _sha, n_bytes)."""
     owners = first.select("_sha", F.col("id").alias("_first"),
                           F.unhex(F.substring("_sha", 1, 32)).alias("key"))
-    owners = owners.join(cut, "key", "left").drop("key")
-    rows = narrow.join(owners, "_sha")
+    rows = narrow.join(owners.join(cut, "key", "left").drop("key"), "_sha")
     later = ~F.col("_id").eqNullSafe(F.col("_first")) & (F.col("n_bytes") >= least)
-    out = rows.select(
-        F.col("_id").alias(id_column), "n_bytes",
+    return rows.select(
+        "_id", "_sha", "n_bytes",
         F.when(later, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
         .cast("long").alias("n_removed"),
         F.when(later, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(later, hashlib.sha256(b"").hexdigest())
         .otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
-        *([F.when(later, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-           (later | F.col("n_removed").isNotNull()).alias("changed")] if with_text else []),
+        F.when(later, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
     )
-    return out
+
+
+def remove_repeats(
+    df: DataFrame, least: int = 50, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """Remove each byte covered by a ``least``-byte string that a smaller id holds too.
+
+    One row per input row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
+    Strings are judged on the input, and matches never cross texts. Equal texts are one text with
+    the smallest of their ids: the row of that id (or rows, if it repeats) keeps what no smaller
+    id has, later rows lose everything if they are long enough. Rows of equal id and different
+    text do not take from each other. A null id is later than any other, and null ids do not take
+    from each other; a null text is empty. An empty table gives no rows. Other columns are not
+    read.
+    """
+    narrow, first, blocks, spans = _found(df, least, id_column, text_column)
+    rows = _row_results(narrow, first, cut_texts(blocks, spans, False), least)
+    return rows.select(
+        F.col("_id").alias(id_column), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def without_repeats(
+    df: DataFrame, least: int = 50, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``df`` with the kept bytes as its text, by the rules of :func:`remove_repeats`.
+
+    All rows and columns stay; a character of which a part was removed goes with it. A null text
+    stays null, a text that is wholly repeated becomes empty.
+    """
+    narrow, first, blocks, spans = _found(df, least, id_column, text_column)
+    rows = _row_results(narrow.distinct(), first, cut_texts(blocks, spans, True), least)
+    changed = rows.where("kept IS NOT NULL").select(
+        F.col("_id").alias("_rid"), F.col("_sha").alias("_rsha"), F.col("kept").alias("_kept"))
+    text = F.col(f"`{text_column}`")
+    sha = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    same = F.col(f"`{id_column}`").eqNullSafe(F.col("_rid")) & (sha == F.col("_rsha"))
+    joined = df.join(changed, same, "left")
+    return joined.select(*[
+        F.when(F.col("_kept").isNotNull(), F.col("_kept").cast("string")).otherwise(text)
+        .alias(c) if c == text_column else F.col(f"`{c}`") for c in df.columns])
