@@ -3,7 +3,8 @@
 A text is seen as windows of ``least`` bytes. Each window names the leftmost smallest hash among
 its shorter byte strings, so equal windows name equal strings (anchors) wherever they occur.
 
-1. Anchors that occur in two different texts are found by hash; the rest of the corpus is done.
+1. Anchors that two different texts have, with the same bytes before or after, are found by hash;
+   the rest of the corpus is done.
 2. The windows of such an anchor, one run of bytes per occurrence, go to the task of the anchor.
 3. That task sorts all suffixes of its runs into a suffix array, computes common prefixes, and
    scans them with a stack: intervals of the prefix tree that cannot be extended to the left in
@@ -43,20 +44,45 @@ _BASE = 0x9E3779B97F4A7C15
 
 
 def _pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(arrays, protocol=5))
 
 
 def _unpack(block: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(block))
 
 
-def string_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of every ``k`` consecutive bytes, by doubling the length."""
-    power = {1: _TABLE[data]}
+def _planes(values: np.ndarray) -> tuple[int, bytes]:
+    """Whole numbers byte by byte, the last bytes of all first: zeros and repeats lie together."""
+    wide = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return len(values), wide[:, : max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)].T.tobytes()
+
+
+def _from_planes(planes: tuple[int, bytes]) -> np.ndarray:
+    n, data = planes
+    wide = np.zeros((n, 8), dtype=np.uint8)
+    if n:
+        own = np.frombuffer(data, dtype=np.uint8).reshape(-1, n).T
+        wide[:, : own.shape[1]] = own
+    return wide.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def _steps(rising: np.ndarray) -> tuple[int, bytes]:
+    """Rising numbers as planes of their differences."""
+    return _planes(np.diff(rising, prepend=np.uint64(0)))
+
+
+def _from_steps(planes: tuple[int, bytes]) -> np.ndarray:
+    return np.cumsum(_from_planes(planes), dtype=np.uint64)
+
+
+def string_hashes(data: np.ndarray, k: int, power: dict[int, np.ndarray]) -> np.ndarray:
+    """64-bit hash of every ``k`` consecutive bytes, by doubling; ``power`` keeps the doublings."""
+    power.setdefault(1, _TABLE[data])
     m = 1
     while 2 * m <= k:
-        factor = np.uint64(pow(_BASE, m, 1 << 64))
-        power[2 * m] = power[m][:-m] * factor + power[m][m:]
+        if 2 * m not in power:
+            factor = np.uint64(pow(_BASE, m, 1 << 64))
+            power[2 * m] = power[m][:-m] * factor + power[m][m:]
         m *= 2
     out, done = None, 0
     for b in sorted(power, reverse=True):
@@ -74,21 +100,27 @@ def string_hashes(data: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchored_runs(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, anchor hash) of every run of windows with one anchor.
+    """(text, first window, last window, anchor hash, left, right) of the runs of all windows.
 
-    Positions count within the text. Every window of ``least`` bytes lies in exactly one run.
+    The windows of a run share an anchor; positions count within the text, and every window of
+    ``least`` bytes lies in exactly one run. ``left`` and ``right`` are hashes (16 bits, above 0)
+    of the anchor with half of a window's other bytes before or after it; 0 if the text has not so
+    many. A window holds one of these two strings, whatever its place about the anchor.
     """
     none = np.zeros(0, dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     if len(data) < least:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none, none
     k = min(ANCHOR, least // 2)
-    value = string_hashes(data, k)
+    power: dict[int, np.ndarray] = {}
+    value = string_hashes(data, k, power)
+    half = (least - k + 1) // 2
+    wide = string_hashes(data, k + half, power)
     window = least - k + 1
     low, at = value, np.arange(len(value), dtype=np.int32)
     m = 1
-    for step in [1 << i for i in range(window.bit_length() - 1)] + [window]:
+    for step in [1 << i for i in range(window.bit_length())] + [window]:
         shift = m if step != window else window - m
         if step == 1 or not shift:
             continue
@@ -107,7 +139,17 @@ def anchored_runs(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]) if len(
         text) else none
     last = np.r_[new[1:], len(text)] - 1
-    return text[new], inside[new], inside[last], value[anchor[new]]
+    anchor, own = anchor[new].astype(np.int64), text[new]
+
+    def side(at: np.ndarray) -> np.ndarray:
+        fits = (at >= starts[own]) & (at + k + half <= ends[own])
+        hashed = wide[np.clip(at, 0, len(wide) - 1)] >> np.uint64(48)
+        return np.where(fits, np.maximum(hashed, np.uint64(1)), np.uint64(0)).astype(np.int64)
+
+    # the smallest hashes of windows crowd at zero; mixed again they fill their range evenly
+    mixed = (value[anchor] ^ (value[anchor] >> np.uint64(31))) * np.uint64(_BASE)
+    mixed ^= mixed >> np.uint64(29)
+    return own, inside[new], inside[last], mixed, side(anchor - half), side(anchor)
 
 
 def _homes(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -115,8 +157,35 @@ def _homes(keys: np.ndarray, parts: int) -> np.ndarray:
     return (keys[:, 0] % np.uint64(parts)).astype(np.int64)
 
 
-def _bucket(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+def _bucket(marks: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Range of each mark, a number of ``bits`` bits."""
+    return (marks >> np.uint64(bits - 32) if bits > 32 else marks).astype(np.int64) * parts >> min(
+        bits, 32)
+
+
+def _shared(mark: np.ndarray, side: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Rows whose mark and side hash a row with another key (low, high) has as well."""
+    at = np.flatnonzero(side)
+    code = mark[at] ^ (side[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    order = np.argsort(code, kind="stable")
+    out = np.zeros(len(mark), dtype=bool)
+    if len(at):
+        starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+        many = np.zeros(len(starts), dtype=bool)
+        for part in (low, high):
+            own = part[at[order]]
+            many |= np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)
+        out[at[order]] = np.repeat(many, np.diff(np.r_[starts, len(order)]))
+    return out
+
+
+def _first_of(mark: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Rows that are the first with their mark and side hash."""
+    at = np.flatnonzero(side)
+    code = mark[at] ^ (side[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    out = np.zeros(len(mark), dtype=bool)
+    out[at[np.unique(code, return_index=True)[1]]] = True
+    return out
 
 
 def _keys(texts: list[bytes]) -> np.ndarray:
@@ -163,71 +232,77 @@ def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.R
 def _all_runs(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     found = []
     for part in slices([len(t) for t in texts]):
-        text, first, last, anchor = anchored_runs(texts[part], least)
-        found.append((text + part.start, first, last, anchor))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 4
+        text, *rest = anchored_runs(texts[part], least)
+        found.append((text + part.start, *rest))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 6
 
 
 BLOCK = "kind int, part long, size long, block binary"
 BLOCK_NAMES, BLOCK_KINDS = ["kind", "part", "size", "block"], [
     pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-#: Kinds of blocks: anchors asked about, anchors known to be shared, runs of bytes, spans.
+#: Kinds of blocks: marks asked about, marks known to be shared, runs of bytes, spans.
 ASKED, SHARED, RUNS, SPANS = range(4)
 
 
-def ask(texts: DataFrame, least: int, parts: int) -> DataFrame:
-    """Blocks of anchors: each different anchor of a task once, and those it shares already."""
+def _shared_blocks(keys: np.ndarray, text: np.ndarray, mark: np.ndarray,
+                   parts: int) -> list[tuple]:
+    """Rows of marks (rising) known to be shared, for the blocks of their texts."""
+    rows = []
+    for p, at in _deal(_homes(keys, parts)[text], parts):
+        few, again = _few(keys, text[at])
+        rows.append((SHARED, p, 0, _pack(few, _planes(again), _steps(mark[at]))))
+    return rows
+
+
+def ask(texts: DataFrame, least: int, parts: int, bits: int) -> DataFrame:
+    """Blocks of marks, the first ``bits`` bits of anchor hashes, with their side hashes.
+
+    What a task's own texts share is said at once. Of rows with equal mark and side hashes one
+    goes on to be compared with other tasks, so a passage in every text costs a row per task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _gathered(batches):
             keys, rows = _keys(own), []
-            text, _, _, anchor = _all_runs(own, least)
-            order = np.lexsort((text, anchor))
-            text, anchor = text[order], anchor[order]
-            once = np.flatnonzero(np.r_[
-                True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]) if len(text) else text
-            text, anchor = text[once], anchor[once]
-            first = np.r_[True, anchor[1:] != anchor[:-1]] if len(text) else np.zeros(0, bool)
-            shared = np.zeros(len(text), dtype=bool)
-            shared[1:] |= ~first[1:]
-            shared[:-1] |= ~first[1:]
-            lead = np.flatnonzero(first)
-            for p, at in _deal(_bucket(anchor[lead], parts), parts):
-                few, again = _few(keys, text[lead[at]])
-                rows.append((ASKED, p, 0, _pack(few, again, anchor[lead[at]])))
-            local = np.flatnonzero(shared)
-            for p, at in _deal(_homes(keys, parts)[text[local]], parts):
-                few, again = _few(keys, text[local[at]])
-                rows.append((SHARED, p, 0, _pack(few, again, anchor[local[at]])))
+            text, _, _, anchor, left, right = _all_runs(own, least)
+            mark = anchor >> np.uint64(64 - bits)
+            order = np.argsort(mark, kind="stable")
+            text, mark, left, right = (x[order] for x in (text, mark, left, right))
+            number = text.astype(np.uint64)
+            local = np.flatnonzero(_shared(mark, left, number, number)
+                                   | _shared(mark, right, number, number))
+            rows += _shared_blocks(keys, text[local], mark[local], parts)
+            lead = np.flatnonzero(_first_of(mark, left) | _first_of(mark, right))
+            for p, at in _deal(_bucket(mark[lead], parts, bits), parts):
+                at = lead[at]
+                few, again = _few(keys, text[at])
+                rows.append((ASKED, p, 0, _pack(
+                    few, _planes(again), _steps(mark[at]), _planes(left[at]), _planes(right[at]))))
             yield _rows(rows, BLOCK_NAMES, BLOCK_KINDS)
 
     return texts.mapInArrow(run, BLOCK)
 
 
 def answer(asked: DataFrame, parts: int) -> DataFrame:
-    """Blocks of the anchors that different texts share, for the blocks of these texts."""
+    """Blocks of the marks that different texts share, for the blocks of these texts."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py() == SHARED:
+            return table
         blocks = [_unpack(b) for b in table.column("block").to_pylist()]
         shift = np.cumsum([0] + [len(b[0]) for b in blocks])
         keys = np.concatenate([b[0] for b in blocks])
-        text = np.concatenate([b[1] + s for b, s in zip(blocks, shift)])
-        anchor = np.concatenate([b[2] for b in blocks])
-        order = np.argsort(anchor, kind="stable")
-        text, anchor = text[order], anchor[order]
-        starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        text = np.concatenate([_from_planes(b[1]).astype(np.int64) + s
+                               for b, s in zip(blocks, shift)])
+        mark = np.concatenate([_from_steps(b[2]) for b in blocks])
+        left, right = (np.concatenate([_from_planes(b[i]) for b in blocks]) for i in (3, 4))
         low, high = keys[text, 0], keys[text, 1]
-        many = np.zeros(len(starts), dtype=bool)
-        for half in (low, high):
-            many |= np.minimum.reduceat(half, starts) != np.maximum.reduceat(half, starts)
-        at = np.flatnonzero(np.repeat(many, np.diff(np.r_[starts, len(anchor)])))
-        rows = []
-        for p, own in _deal(_homes(keys, parts)[text[at]], parts):
-            few, again = _few(keys, text[at[own]])
-            rows.append((SHARED, p, 0, _pack(few, again, anchor[at[own]])))
+        at = np.flatnonzero(_shared(mark, left, low, high) | _shared(mark, right, low, high))
+        at = at[np.argsort(mark[at], kind="stable")]
+        rows = _shared_blocks(keys, text[at], mark[at], parts)
         return pa.Table.from_batches([_rows(rows, BLOCK_NAMES, BLOCK_KINDS)])
 
-    return asked.groupBy("part").applyInArrow(run, BLOCK)
+    return asked.groupBy("kind", "part").applyInArrow(run, BLOCK)
 
 
 def text_blocks(texts: DataFrame, parts: int) -> DataFrame:
@@ -266,7 +341,9 @@ def _spans(keys: np.ndarray, text: np.ndarray, start: np.ndarray, length: np.nda
     return rows
 
 
-def collect_runs(texts: DataFrame, notes: DataFrame, least: int, parts: int) -> DataFrame:
+def collect_runs(
+    texts: DataFrame, notes: DataFrame, least: int, parts: int, bits: int
+) -> DataFrame:
     """Runs of the shared anchors for the anchors' tasks; spans that a block can tell itself.
 
     Of equal runs in a block only that of the smallest id goes on, the others are repeats of it.
@@ -284,10 +361,12 @@ def collect_runs(texts: DataFrame, notes: DataFrame, least: int, parts: int) ->
                 if key in number and i is not None:
                     ids[number[key]] = i
                 continue
-            few, again, anchor = _unpack(block)
+            few, again, mark = _unpack(block)
             place = np.array([number.get(k.tobytes(), -1) for k in few], dtype=np.int64)
-            wanted.append(_ask_code(place[again], anchor))
-        text, first, last, anchor = _all_runs(own, least)
+            wanted.append(_ask_code(
+                place[_from_planes(again).astype(np.int64)], _from_steps(mark)))
+        text, first, last, anchor, _, _ = _all_runs(own, least)
+        anchor = anchor >> np.uint64(64 - bits)
         if not wanted or not len(text):
             return pa.Table.from_batches([_rows([], BLOCK_NAMES, BLOCK_KINDS)])
         code = _ask_code(text, anchor)
@@ -312,7 +391,8 @@ def collect_runs(texts: DataFrame, notes: DataFrame, least: int, parts: int) ->
                       np.array(again_first, dtype=np.int64),
                       np.array(again_length, dtype=np.int64), parts)
         keep = np.array(keep, dtype=np.int64)
-        for p, at in _deal(_bucket(anchor[keep], parts), parts):
+        keep = keep[np.argsort(anchor[keep], kind="stable")]
+        for p, at in _deal(_bucket(anchor[keep], parts, bits), parts):
             mine = keep[at]
             few, again = _few(keys, text[mine])
             used = np.unique(text[mine])
@@ -320,15 +400,15 @@ def collect_runs(texts: DataFrame, notes: DataFrame, least: int, parts: int) ->
                 text[mine].tolist(), first[mine].tolist(), (last[mine] + least).tolist())]
             data = b"".join(strings)
             rows.append((RUNS, p, len(data), _pack(
-                few, ids[used], again, first[mine], anchor[mine],
-                np.array([len(s) for s in strings], dtype=np.int32), data)))
+                few, ids[used], _planes(again), _planes(first[mine]), _steps(anchor[mine]),
+                np.array([len(s) for s in strings], dtype=np.uint16), data)))
         return pa.Table.from_batches([_rows(rows, BLOCK_NAMES, BLOCK_KINDS)])
 
     return texts.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(run, BLOCK)
 
 
 def _ask_code(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """One number for (text of the block, anchor); a chance match only adds a run to compare."""
+    """One number for (text of the block, mark); a chance match only adds a run to compare."""
     return anchor ^ ((text.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -417,11 +497,12 @@ def read_runs(blocks: list[bytes]) -> tuple:
     loaded = [_unpack(b) for b in blocks]
     shift = np.cumsum([0] + [len(b[0]) for b in loaded])
     keys, ids = (np.concatenate([b[i] for b in loaded]) for i in (0, 1))
-    text = np.concatenate([b[2] + s for b, s in zip(loaded, shift)])
-    start, anchor = (np.concatenate([b[i] for b in loaded]) for i in (3, 4))
+    text = np.concatenate([_from_planes(b[2]).astype(np.int64) + s for b, s in zip(loaded, shift)])
+    start = np.concatenate([_from_planes(b[3]).astype(np.int64) for b in loaded])
+    anchor = np.concatenate([_from_steps(b[4]) for b in loaded])
     strings = []
     for b in loaded:
-        edge = np.r_[0, np.cumsum(b[5])].tolist()
+        edge = np.r_[0, np.cumsum(b[5], dtype=np.int64)].tolist()
         strings += [b[6][a:e] for a, e in zip(edge, edge[1:])]
     return keys, ids, text, start, anchor, strings
 
@@ -563,7 +644,7 @@ def _found(df: DataFrame, least: int, id_column: str, text_column: str) -> tuple
     parts = max(min(parallel, total // (1 << 18) + 1), -(-total // BLOCK_BYTES))
     first = narrow.groupBy("_sha").agg(F.min("_id").alias("id"), F.first("n_bytes").alias("n"))
     texts = df.select(text.alias("_text")).where(F.octet_length("_text") >= least)
-    asked = cut_lineage(ask(texts, least, parts))
+    bits = min(64, max(40, total.bit_length() + 12))
     key = F.unhex(F.substring("_sha", 1, 32))
     low = F.unhex(F.regexp_replace(F.substring("_sha", 1, 16), "(..)(..)(..)(..)(..)(..)(..)(..)",
                                    "$8$7$6$5$4$3$2$1"))
@@ -572,13 +653,12 @@ def _found(df: DataFrame, least: int, id_column: str, text_column: str) -> tuple
                   f"CAST({parts} AS DECIMAL(20, 0)) AS LONG)")
     known = first.where(F.col("n") >= least).withColumn("_low", low).select(
         home.alias("part"), F.lit(None).cast("binary").alias("block"), key.alias("key"), "id")
-    shared = asked.where(F.col("kind") == SHARED).select("part", "block").unionByName(
-        answer(asked.where(F.col("kind") == ASKED), parts).select("part", "block"))
+    shared = answer(ask(texts, least, parts, bits), parts).select("part", "block")
     notes = shared.select(
         "part", "block", F.lit(None).cast("binary").alias("key"),
         F.lit(None).cast("long").alias("id")).unionByName(known)
     blocks = text_blocks(texts, parts)
-    runs = cut_lineage(collect_runs(blocks, notes, least, parts))
+    runs = cut_lineage(collect_runs(blocks, notes, least, parts, bits))
     spans = runs.where(F.col("kind") == SPANS).select("part", "block").unionByName(
         compare(runs.where(F.col("kind") == RUNS), least, parts).select("part", "block"))
     return narrow, first, blocks, spans
