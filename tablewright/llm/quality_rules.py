@@ -20,7 +20,7 @@ from tablewright.llm.common import map_rows, slices, text_bytes
 #: Multiplier of the bucket hash; a product with a 32-bit n-gram stays below 2^63.
 MULTIPLIER = 1_103_515_245
 #: Buckets, smoothing of a bucket, and the least mean log ratio of a kept text.
-BUCKETS, SMOOTHING, THRESHOLD = 65_536, 5.0, -0.1
+BUCKETS, SMOOTHING, THRESHOLD = 65_536, 5.0, -0.4
 #: Base rules: words needed, and the percentage of words in repeated windows that is too much.
 LEAST_WORDS, MOST_REPEATED = 20, 30
 WINDOW = 8
@@ -129,16 +129,19 @@ def gram_counts(df: DataFrame, trusted: DataFrame, id_column: str, text_column:
 
 
 def log_ratios(counts: DataFrame, buckets: int, smoothing: float) -> np.ndarray:
-    """log(target share / raw share) of every bucket; all zero without trusted text."""
+    """log(target share / raw share) of every bucket; all zero without trusted text.
+
+    The raw counts are scaled to the size of the target before both are smoothed, so the two
+    multinomials have one total and a bucket with its expected share has ratio 0 at any size.
+    """
     rows = counts.toArrow()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     at = rows.column("bucket").to_numpy()
     raw[at], target[at] = rows.column("raw").to_numpy(), rows.column("target").to_numpy()
     if not target.sum():
         return np.zeros(buckets)
-    extra = smoothing * buckets
-    return (np.log((target + smoothing) / (target.sum() + extra))
-            - np.log((raw + smoothing) / (raw.sum() + extra)))
+    expected = raw * (target.sum() / raw.sum())
+    return np.log(target + smoothing) - np.log(expected + smoothing)
 
 
 def judge(

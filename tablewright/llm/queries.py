@@ -10,6 +10,7 @@ from tablewright.llm import (
     byte_bpe,
     embedding_links,
     html_text,
+    oracles,
     packing,
     quality_classifier,
     quality_rules,
@@ -21,7 +22,7 @@ from tablewright.llm import (
 from tablewright.llm.registry import query, table
 
 
-@query("op1_quality_rules")
+@query("op1_quality_rules", oracles.QUALITY_RULES)
 def op1_quality_rules(spark, folder):
     good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
     return quality_rules.judge(table(spark, folder, "documents"), good, keep=["doc_id"])
@@ -34,7 +35,7 @@ def op2_quality_classifier(spark, folder):
     return quality_classifier.classify(table(spark, folder, "documents"), labels)
 
 
-@query("op3_repeated_passages")
+@query("op3_repeated_passages", oracles.REPEATED_PASSAGES)
 def op3_repeated_passages(spark, folder):
     return repeats.remove_repeats(table(spark, folder, "documents"), least=50)
 
@@ -58,7 +59,7 @@ def op6_html_text(spark, folder):
     return html_text.extract(table(spark, folder, "pages"), keep=["page_id", "url"])
 
 
-@query("op7_jump_sharding")
+@query("op7_jump_sharding", oracles.JUMP_SHARDING)
 def op7_jump_sharding(spark, folder):
     return sharding.shard(table(spark, folder, "documents"), shards=24)
 
@@ -70,7 +71,7 @@ def op8_simhash(spark, folder):
     return found.withColumn("fingerprint", F.lower(F.hex("fingerprint")))
 
 
-@query("op9_embedding_links")
+@query("op9_embedding_links", oracles.EMBEDDING_LINKS)
 def op9_embedding_links(spark, folder):
     return embedding_links.near_vectors(table(spark, folder, "embeddings"), cosine=0.98)
 

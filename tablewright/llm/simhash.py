@@ -89,7 +89,7 @@ def _bits(packed: np.ndarray) -> np.ndarray:
 def correlated_parts(sample: np.ndarray, m: int) -> list[list[int]]:
     """Cut the bits into ``m`` parts of near equal width, bits that go together in one part."""
     width = sample.shape[1]
-    spread = sample - sample.mean(axis=0)
+    spread = sample - (sample.mean(axis=0) if len(sample) else 0.5)
     scale = np.sqrt((spread**2).sum(axis=0))
     scale[scale == 0] = 1
     together = np.abs((spread / scale).T @ (spread / scale)) if len(sample) else np.eye(width)
