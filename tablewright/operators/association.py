@@ -22,14 +22,12 @@ from tablewright.core import (
     require_columns,
     resolve_task,
 )
-from tablewright.functions.expressions import interpolated_bucket, safe_corr
+from tablewright.functions.expressions import interpolated_bucket
 from tablewright.functions.special import f_upper_tail
 from tablewright.operators.lookup import attach, build_lookup
 from tablewright.operators.order_stats import exact_quantiles, medians
 from tablewright.operators.ordering import average_ranks, value_prefix
 
-# beyond this many expressions one aggregate becomes too large for the JIT compiler
-FEW_PAIRS = 6
 MI_BINS = 16
 INFORMATIVE = 0.01
 
@@ -41,29 +39,21 @@ def _clean(r: float | None) -> float | None:
 
 
 def _corr_of_pairs(df: DataFrame, pairs: Sequence[Pair]) -> dict[Pair, float | None]:
-    if not pairs:
-        return {}
-    if len(pairs) <= FEW_PAIRS:
-        row = df.agg(
-            *[safe_corr(as_double(a), as_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-        ).first()
-        return {p: _clean(row[f"r{i}"]) for i, p in enumerate(pairs)}
-    return _corr_by_products(df, pairs)
-
-
-def _corr_by_products(df: DataFrame, pairs: Sequence[Pair]) -> dict[Pair, float | None]:
     """All pairs in one scan: every task multiplies its rows as matrices (values, squares and
     presence flags), which gives the pairwise-complete sums; Spark adds them per pair.
 
-    Values are shifted by a rough centre first, so the sums keep their precision.
+    An aggregate before it takes the mean of every column over all its values; values are shifted
+    by it, so the sums keep their precision whatever the offset and wherever the gaps are.
     """
+    if not pairs:
+        return {}
     names = sorted({c for p in pairs for c in p})
     at = {c: i for i, c in enumerate(names)}
     first = np.array([at[a] for a, _ in pairs])
     second = np.array([at[b] for _, b in pairs])
     narrow = df.select(*[as_double(c).alias(f"x{i}") for i, c in enumerate(names)])
-    head = narrow.limit(1_000).agg(*[F.avg(f"x{i}") for i in range(len(names))]).first()
-    centre = np.array([v if v is not None else 0.0 for v in head])
+    means = narrow.agg(*[F.avg(f"x{i}") for i in range(len(names))]).first()
+    centre = np.array([v if v is not None and math.isfinite(v) else 0.0 for v in means])
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = len(centre)
@@ -474,8 +464,11 @@ def anova_scores(df: DataFrame, target: str) -> DataFrame:
     return local_rows(df.sparkSession, rows, schema)
 
 
-def variance_inflation(df: DataFrame, target: str, top_n: int = 20) -> DataFrame:
-    """Variance inflation factor per numeric feature from the k x k correlation matrix."""
+def variance_inflation(df: DataFrame, target: str, top_n: int | None = None) -> DataFrame:
+    """Variance inflation factor per numeric feature from the k x k correlation matrix.
+
+    ``top_n`` restricts it to the features of largest variance.
+    """
     require_columns(df, [target])
     names = numeric_columns(df, exclude=[target])
     schema = "feature string, vif double, high boolean, severe boolean"
@@ -598,7 +591,7 @@ def separability_summary(df: DataFrame, target: str) -> DataFrame:
     )
 
 
-def missing_patterns(df: DataFrame, top: int = 20) -> DataFrame:
+def missing_patterns(df: DataFrame, top: int | None = None) -> DataFrame:
     """Correlation of missingness with observed numeric columns, strongest first.
 
     Every row also carries the overall verdict (``pattern``) and the largest absolute correlation.

@@ -17,7 +17,6 @@ from tablewright.operators.ordering import PrefixTable, global_row_index, value_
 from tablewright.operators.splits import row_key
 
 PROBABILITY_FLOOR = float(np.finfo(np.float64).eps)
-DENSE_CLASSES = 2_000
 
 
 def confusion_cells(df: DataFrame, label: str = "label", prediction: str = "prediction"):
@@ -94,14 +93,17 @@ def classification_report(
 
 
 def confusion_matrix(
-    df: DataFrame, label: str = "label", prediction: str = "prediction"
+    df: DataFrame, label: str = "label", prediction: str = "prediction", dense: bool = True
 ) -> DataFrame:
-    """All label pairs with their counts, zeros included (sparse beyond DENSE_CLASSES labels)."""
+    """All label pairs with their counts, zeros included; only occupied ones if not ``dense``.
+
+    The dense form has the square of the number of labels as its rows, by its definition.
+    """
     cells = confusion_cells(df, label, prediction)
-    labels = cells.select(F.explode(F.array("label", "prediction")).alias("label")).distinct()
-    found = [r[0] for r in labels.limit(DENSE_CLASSES + 1).collect()]
-    if len(found) > DENSE_CLASSES:
+    if not dense:
         return cells
+    labels = cells.select(F.explode(F.array("label", "prediction")).alias("label")).distinct()
+    found = [r[0] for r in labels.collect()]
     every = F.array(*[F.lit(v) for v in found])
     grid = labels.select("label", F.explode(every).alias("prediction"))
     return grid.join(cells, ["label", "prediction"], "left").select(
@@ -112,11 +114,18 @@ def confusion_matrix(
 def log_loss(
     df: DataFrame, classes: Sequence, label: str = "label", probability: str = "probability"
 ) -> DataFrame:
-    """Mean negative log probability of the true class; ``classes`` orders the probabilities."""
+    """Mean negative log probability of the true class; ``classes`` orders the probabilities.
+
+    A label outside ``classes`` is an error when the result is computed; rows without a label do
+    not count.
+    """
     index: Column | None = None
     for i, c in enumerate(classes):
         hit = col(label) == F.lit(c)
         index = F.when(hit, i + 1) if index is None else index.when(hit, i + 1)
+    strange = F.raise_error(F.concat(F.lit("label not among the classes: "),
+                                     col(label).cast("string"))).cast("int")
+    index = F.when(col(label).isNull(), None).otherwise(F.coalesce(index, strange))
     p = F.element_at(col(probability), index)
     p = F.greatest(F.lit(PROBABILITY_FLOOR), F.least(F.lit(1 - PROBABILITY_FLOOR), p))
     return df.agg((-F.avg(F.log(p))).alias("log_loss"))

@@ -131,15 +131,26 @@ def critical_value_5pct(n: int) -> float:
     return round(0.787 / (1.0 + 4.0 / n - 25.0 / n / n), 3)
 
 
-def test_normality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per numeric column with the test that suits the table size."""
+def test_normality(
+    df: DataFrame, columns: Sequence[str] | None = None, method: str = "auto"
+) -> DataFrame:
+    """One row per numeric column.
+
+    ``method`` is ``shapiro_wilk``, which is defined for fewer than 5,000 rows,
+    ``anderson_darling``, or ``auto``: the first below that size, else the second.
+    """
+    if method not in ("auto", "shapiro_wilk", "anderson_darling"):
+        raise ValueError(f"unknown normality test '{method}'")
     if columns:
         require_columns(df, columns)
     names = [c for c in numeric_columns(df) if not columns or c in columns]
     if not names:
         return local_rows(df.sparkSession, [], SCHEMA)
     moments = numeric_moments(df, names, shape=False)
-    if next(iter(moments.values()))["rows"] < SMALL_TABLE:
+    small = next(iter(moments.values()))["rows"] < SMALL_TABLE
+    if method == "shapiro_wilk" and not small:
+        raise ValueError(f"shapiro_wilk needs fewer than {SMALL_TABLE} rows")
+    if small and method != "anderson_darling":
         return local_rows(df.sparkSession, _small_table(df, names), SCHEMA)
     rows = []
     for c in names:

@@ -16,6 +16,7 @@ from tablewright.core import (
     REGRESSION,
     as_double,
     col,
+    cut_lineage,
     numeric_columns,
     require_columns,
     resolve_task,
@@ -56,17 +57,41 @@ def _hash_cuts(hashed: DataFrame, counts_to_ranks) -> list[float]:
 def class_cuts(df: DataFrame, strata: str, ranks: Column, n_ranks: int) -> Lookup:
     """Hash value at each wanted rank inside every class, as an array column ``cuts`` per class.
 
+    Every class and rank gets its cut: a band that misses it, since many rows share a key and so a
+    hash, is widened and read again.
+
     ``ranks`` is an array expression over the class size ``n``. Hashes are uniform, so rank r of n
     lies near r / n; only the few rows in a narrow band around that point are listed, all others
     are counted. The largest window therefore holds about the square root of the class size.
     """
     sizes = df.groupBy(col(strata).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = cut_lineage(
+        sizes.where(F.col("stratum").isNotNull())
+        .select("stratum", "n", F.posexplode(ranks).alias("i", "rank"))
+        .where((F.col("rank") >= 1) & (F.col("rank") <= F.col("n")))
+    )
+    found, missing, width = None, wanted, 1
+    while True:
+        own = cut_lineage(_cuts_in_bands(df, strata, missing, width))
+        found = own if found is None else found.unionByName(own)
+        missing = missing.join(own, ["stratum", "i"], "left_anti")
+        if missing.isEmpty():
+            break
+        missing, width = cut_lineage(missing), width * 64
+    sized = (
+        found.join(sizes, "stratum")
+        .groupBy("stratum", F.col("n").alias("_w"))
+        .agg(F.sort_array(F.collect_list(F.struct("i", "_u"))).alias("c"))
+        .select("stratum", F.transform("c", lambda x: x["_u"]).alias("cuts"), "_w")
+    )
+    return build_lookup(sized, ["stratum"], weight="_w")
+
+
+def _cuts_in_bands(df: DataFrame, strata: str, wanted: DataFrame, width: int) -> DataFrame:
+    """(stratum, i, _u) of the wanted ranks that lie in bands of ``width`` times the usual one."""
     n = F.col("n").cast("double")
-    wanted = sizes.select(
-        "stratum", "n", F.posexplode(ranks).alias("i", "rank")
-    ).where((F.col("rank") >= 1) & (F.col("rank") <= F.col("n")))
     centre = F.col("rank") / n
-    half = 8 * F.sqrt(centre * (1 - centre) / n + 1 / (n * n)) + 16 / n
+    half = width * (8 * F.sqrt(centre * (1 - centre) / n + 1 / (n * n)) + 16 / n)
     bands = build_lookup(
         wanted.withColumn("lo", (centre - half) * F.lit(HASH_SPAN))
         .withColumn("hi", (centre + half) * F.lit(HASH_SPAN))
@@ -91,14 +116,8 @@ def class_cuts(df: DataFrame, strata: str, ranks: Column, n_ranks: int) -> Looku
     inside = near.where(~F.col("below")).drop("below")
     w = Window.partitionBy("_s", "i").orderBy("_u")
     placed = inside.withColumn("place", F.row_number().over(w)).join(below, ["_s", "i"], "left")
-    cuts = (
-        placed.where(F.col("place") + F.coalesce("below", F.lit(0)) == F.col("rank"))
-        .groupBy(F.col("_s").alias("stratum"))
-        .agg(F.sort_array(F.collect_list(F.struct("i", "_u"))).alias("c"), F.lit(1).alias("_one"))
-        .select("stratum", F.transform("c", lambda x: x["_u"]).alias("cuts"))
-    )
-    sized = cuts.join(bands.table.select(F.col("stratum"), F.col("n").alias("_w")), "stratum")
-    return build_lookup(sized, ["stratum"], weight="_w")
+    return placed.where(F.col("place") + F.coalesce("below", F.lit(0)) == F.col("rank")).select(
+        F.col("_s").alias("stratum"), "i", "_u")
 
 
 def random_split(df: DataFrame, key: Sequence[str], fraction: float, seed: int) -> DataFrame:

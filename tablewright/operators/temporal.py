@@ -25,7 +25,6 @@ DATE_FORMATS = (
     "d MMM yyyy",
     "yyyyMMdd",
 )
-MAX_COLUMNS = 10
 
 
 def parse_date(c: Column) -> Column:
@@ -90,7 +89,6 @@ def temporal_patterns(
     )
     spark = df.sparkSession
     names = [c for c in (columns or numeric_columns(df)) if c not in (temporal, *tie_break)]
-    names = names[:MAX_COLUMNS]
     when = col(temporal) if _is_time(df, temporal) else parse_date(col(temporal))
     rows = df.select(
         when.alias("_when"),

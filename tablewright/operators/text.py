@@ -22,6 +22,7 @@ MODEL_PATTERNS = (
     ("Ensemble", r"\bensemble\b"),
     ("Stacking", r"\bstacking\b"),
 )
+# The phrases, hints and tips that are searched for.
 SOTA_PATTERN = r"\b(?:state[- ]of[- ]the[- ]art|SOTA|benchmark|best[- ]performing)\b"
 HINT_PATTERNS = (
     ("learning_rate", r"\blearning[_ ]rate\b.*?(\d+\.?\d*(?:e[+-]?\d+)?)", "0.01-0.3"),

@@ -15,7 +15,7 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.core import (
@@ -72,13 +72,26 @@ def encode_label(df: DataFrame, task: TaskSpec, classes: Sequence) -> DataFrame:
     return df.withColumn("label", index)
 
 
-def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def any_missing(features: Sequence[str]) -> Column:
+    """Whether a row lacks one of the features (NULL or NaN)."""
+    missing = F.lit(False)
+    for f in features:
+        missing = missing | as_double(f).isNull() | F.isnan(as_double(f))
+    return missing
+
+
+def numeric_features(df: DataFrame, features: Sequence[str]) -> None:
     require_columns(df, features)
     text = [f for f in features if f not in numeric_columns(df)]
     if text:
         raise ValueError(f"feature columns must be numeric; encode first: {text}")
+
+
+def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Add the feature vector; no row is left out, a missing feature is an error when read."""
+    numeric_features(df, features)
     return VectorAssembler(
-        inputCols=list(features), outputCol="features", handleInvalid="skip"
+        inputCols=list(features), outputCol="features", handleInvalid="error"
     ).transform(df)
 
 
@@ -89,11 +102,24 @@ def training_set(
     key: Sequence[str],
     folds: int = 5,
     seed: int = 42,
+    missing: str = "error",
 ) -> TrainingSet:
-    """Fold-assigned feature vectors, written once and then read by every fit."""
+    """Fold-assigned feature vectors, written once and then read by every fit.
+
+    ``missing`` says what happens to labelled rows without a value in some feature: ``error``
+    counts them and refuses, ``drop`` leaves them out before folds and weights are made.
+    """
     require_columns(df, [*features, task.target, *key])
+    if missing not in ("error", "drop"):
+        raise ValueError("missing must be 'error' or 'drop'")
+    if missing == "drop":
+        df = df.where(~any_missing(features))
     classes = target_classes(df, task.target) if task.is_classification else []
     labelled = encode_label(df, task, classes).where(F.col("label").isNotNull())
+    if missing == "error":
+        gaps = labelled.where(any_missing(features)).count()
+        if gaps:
+            raise ValueError(f"{gaps} rows lack a feature; impute them first or pass missing='drop'")
     assigned = assign_folds(
         labelled, key, folds, seed, task.target if task.is_classification else None
     )
@@ -263,8 +289,18 @@ def tune(
 
 
 def predict(model: Model, df: DataFrame, features: Sequence[str], classes: Sequence = ()):
-    """Score new rows; stateless, so ``df`` may also be a stream."""
-    out = apply_model(model, assemble(df, features)).drop("features")
+    """Score new rows; stateless, so ``df`` may also be a stream.
+
+    Every row comes back. One that lacks a feature has no prediction (NULL).
+    """
+    numeric_features(df, features)
+    held = df.withColumns({f"_x{i}": as_double(f) for i, f in enumerate(features)})
+    names = [f"_x{i}" for i in range(len(features))]
+    held = held.withColumn("_gap", any_missing(names)).withColumns(
+        {n: F.coalesce(F.nanvl(F.col(n), F.lit(0.0)), F.lit(0.0)) for n in names})
+    out = apply_model(model, assemble(held, names)).drop("features", *names)
+    results = [c for c in ("prediction", "probability") if c in out.columns]
+    out = out.withColumns({c: F.when(~F.col("_gap"), F.col(c)) for c in results}).drop("_gap")
     if classes:
         names = F.array(*[F.lit(c) for c in classes])
         out = out.withColumn("predicted_class", F.element_at(names, F.col("prediction").cast("int") + 1))

@@ -44,8 +44,8 @@ KEEP = ("feature", "bin", "metric", "count")
 @plan(
     "segment_error_rates", "I1 I2",
     f"""WITH {CLASS_PREDICTIONS}, s AS ({_segments(('value', 'user_id'), ERROR, 'mc')}
- UNION ALL SELECT 'label', CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER), avg({ERROR}),
- count(*) FROM mc GROUP BY label QUALIFY row_number() OVER (ORDER BY label) <= 4)
+ UNION ALL SELECT 'label', CAST(NULL AS INTEGER), avg({ERROR}), count(*)
+ FROM mc GROUP BY label HAVING count(*) >= 2)
  SELECT feature, bin, {r('metric')} AS metric, count FROM s""",
 )
 def segment_error_rates(spark, folder):

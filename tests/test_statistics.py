@@ -36,7 +36,7 @@ def test_pearson_both_ways(numbers):
     expected = pdf.corr()
     pairs = list(combinations(pdf.columns, 2))
     for found in (
-        association._corr_by_products(df, pairs),
+        association._corr_of_pairs(df, pairs),
         {p: association._corr_of_pairs(df, [p])[p] for p in pairs},
     ):
         for (x, y), r in found.items():
