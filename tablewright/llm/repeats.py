@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +32,9 @@ from tablewright.llm.common import slices, text_bytes
 
 #: Length of an anchor, text bytes of a block of texts, and run bytes above which the runs of a
 #: bucket are split over several tasks.
-ANCHOR, BLOCK_BYTES, BUCKET_BYTES = 24, 16 << 20, 64 << 20
+ANCHOR, BLOCK_BYTES, BUCKET_BYTES = 16, 12 << 20, 64 << 20
 #: Text bytes gathered in a task before they are dealt out.
-GATHER_BYTES = 16 << 20
+GATHER_BYTES = 12 << 20
 #: Id of a text whose ids are all null: later than any other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -372,6 +372,7 @@ def collect_runs(
         code = _ask_code(text, anchor)
         at = np.flatnonzero(np.isin(code, np.unique(np.concatenate(wanted))))
         text, first, last, anchor = text[at], first[at], last[at], anchor[at]
+        del code
         order = np.argsort(ids[text], kind="stable")  # of equal runs the first is the smallest id
         seen: dict[bytes, int] = {}
         keep, again_text, again_first, again_length = [], [], [], []
@@ -629,6 +630,11 @@ def cut_texts(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
         run, "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def _key(sha: Column | str) -> Column:
+    """Key of a text: the first 16 bytes of its digest, given in hexadecimal."""
+    return F.unhex(F.substring(sha, 1, 32))
+
+
 def _found(df: DataFrame, least: int, id_column: str, text_column: str) -> tuple:
     """Narrow rows, first ids of the texts, texts, number of parts and blocks with spans."""
     if not isinstance(df.schema[id_column].dataType, T.IntegralType):
@@ -645,14 +651,13 @@ def _found(df: DataFrame, least: int, id_column: str, text_column: str) -> tuple
     first = narrow.groupBy("_sha").agg(F.min("_id").alias("id"), F.first("n_bytes").alias("n"))
     texts = df.select(text.alias("_text")).where(F.octet_length("_text") >= least)
     bits = min(64, max(40, total.bit_length() + 12))
-    key = F.unhex(F.substring("_sha", 1, 32))
     low = F.unhex(F.regexp_replace(F.substring("_sha", 1, 16), "(..)(..)(..)(..)(..)(..)(..)(..)",
                                    "$8$7$6$5$4$3$2$1"))
     # home of a text: its key's first eight bytes, little-endian and unsigned, modulo the parts
     home = F.expr("CAST(CAST(conv(hex(_low), 16, 10) AS DECIMAL(20, 0)) % "
                   f"CAST({parts} AS DECIMAL(20, 0)) AS LONG)")
     known = first.where(F.col("n") >= least).withColumn("_low", low).select(
-        home.alias("part"), F.lit(None).cast("binary").alias("block"), key.alias("key"), "id")
+        home.alias("part"), F.lit(None).cast("binary").alias("block"), _key("_sha").alias("key"), "id")
     shared = answer(ask(texts, least, parts, bits), parts).select("part", "block")
     notes = shared.select(
         "part", "block", F.lit(None).cast("binary").alias("key"),
@@ -664,23 +669,6 @@ def _found(df: DataFrame, least: int, id_column: str, text_column: str) -> tuple
     return narrow, first, blocks, spans
 
 
-def _row_results(narrow: DataFrame, first: DataFrame, cut: DataFrame, least: int) -> DataFrame:
-    """Result columns of every row of ``narrow`` (_id, _sha, n_bytes)."""
-    owners = first.select("_sha", F.col("id").alias("_first"),
-                          F.unhex(F.substring("_sha", 1, 32)).alias("key"))
-    rows = narrow.join(owners.join(cut, "key", "left").drop("key"), "_sha")
-    later = ~F.col("_id").eqNullSafe(F.col("_first")) & (F.col("n_bytes") >= least)
-    return rows.select(
-        "_id", "_sha", "n_bytes",
-        F.when(later, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
-        .cast("long").alias("n_removed"),
-        F.when(later, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(later, hashlib.sha256(b"").hexdigest())
-        .otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
-        F.when(later, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-    )
-
-
 def remove_repeats(
     df: DataFrame, least: int = 50, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -695,9 +683,17 @@ def remove_repeats(
     read.
     """
     narrow, first, blocks, spans = _found(df, least, id_column, text_column)
-    rows = _row_results(narrow, first, cut_texts(blocks, spans, False), least)
+    cut = cut_texts(blocks, spans, False).drop("kept")
+    owners = first.select("_sha", F.col("id").alias("_first"), _key("_sha").alias("key"))
+    rows = narrow.join(owners.join(cut, "key", "left").drop("key"), "_sha")
+    later = ~F.col("_id").eqNullSafe(F.col("_first")) & (F.col("n_bytes") >= least)
+    removed = F.when(later, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    runs = F.when(later, 1).otherwise(F.coalesce("n_spans", F.lit(0)))
+    nothing = hashlib.sha256(b"").hexdigest()
     return rows.select(
-        F.col("_id").alias(id_column), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        F.col("_id").alias(id_column), "n_bytes", removed.cast("long").alias("n_removed"),
+        runs.cast("long").alias("n_spans"),
+        F.when(later, nothing).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"))
 
 
 def without_repeats(
@@ -708,14 +704,17 @@ def without_repeats(
     All rows and columns stay; a character of which a part was removed goes with it. A null text
     stays null, a text that is wholly repeated becomes empty.
     """
-    narrow, first, blocks, spans = _found(df, least, id_column, text_column)
-    rows = _row_results(narrow.distinct(), first, cut_texts(blocks, spans, True), least)
-    changed = rows.where("kept IS NOT NULL").select(
-        F.col("_id").alias("_rid"), F.col("_sha").alias("_rsha"), F.col("kept").alias("_kept"))
+    _, first, blocks, spans = _found(df, least, id_column, text_column)
+    cut = cut_texts(blocks, spans, True).select("key", F.col("kept").cast("string").alias("_kept"))
+    owners = first.select(_key("_sha").alias("key"), F.col("id").alias("_first"))
     text = F.col(f"`{text_column}`")
-    sha = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-    same = F.col(f"`{id_column}`").eqNullSafe(F.col("_rid")) & (sha == F.col("_rsha"))
-    joined = df.join(changed, same, "left")
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}  # whatever the columns are called
+    keyed = df.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in names.items()],
+        _key(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)).alias("key"))
+    own_id, own = F.col(names[id_column]), F.col(names[text_column])
+    later = ~own_id.eqNullSafe(F.col("_first")) & (F.octet_length(own) >= least)
+    joined = keyed.join(owners, "key").join(cut, "key", "left")
     return joined.select(*[
-        F.when(F.col("_kept").isNotNull(), F.col("_kept").cast("string")).otherwise(text)
-        .alias(c) if c == text_column else F.col(f"`{c}`") for c in df.columns])
+        F.when(later, F.lit("")).otherwise(F.coalesce("_kept", own)).alias(c)
+        if c == text_column else F.col(n).alias(c) for c, n in names.items()])

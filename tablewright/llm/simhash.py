@@ -23,8 +23,9 @@ from tablewright.llm.components import components, settle, spanning
 SAMPLE = 2_048
 #: Rows of a probing group, and cost of testing a candidate against writing a row.
 GROUP_ROWS, TEST_COST = 65_536, 0.02
-#: Runs of equal keys above this length are linked without comparing all their pairs.
-LONG_RUN = 1_024
+#: Runs of equal keys above the first length are linked without listing their near pairs, above
+#: the second (radius 2 at most) without comparing all of them; rows compared with a run at once.
+LONG_RUN, HUGE_RUN, ROWS_AT_ONCE = 256, 200_000, 64
 #: Shingle hashes whose bits are counted at once.
 HASHES_AT_ONCE = 16_384
 
@@ -187,46 +188,45 @@ def probe_keys(packed: np.ndarray, probing: Probing) -> Iterator[tuple[np.ndarra
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1)
+    """Differing bits of rows of 64-bit words, one word at a time to keep the memory small."""
+    total = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.uint16)
+    for w in range(1, a.shape[-1]):
+        total += np.bitwise_count(a[..., w] ^ b[..., w])
+    return total
 
 
 def link_run(words: np.ndarray, radius: int) -> np.ndarray:
     """Component labels (row numbers) of one long run of equal keys, in linear memory.
 
-    Up to radius 2 two fingerprints are near if they agree after some two bits are masked, so
-    rows are grouped by every mask of two bits that vary here. Beyond, blocks of rows are compared
-    with all rows of the run and only labels are kept. Two probes that are near may be linked here
-    too; that changes no component.
+    Blocks of rows are compared with all rows, and only pairs from different components so far are
+    looked at. Up to radius 2 two fingerprints are near if they agree after some two bits are
+    masked, so rows of a huge run are grouped by every mask of two bits that vary instead. Two
+    probes that are near may be linked here too; that changes no component.
     """
     n = len(words)
     label = np.arange(n)
-    if radius <= 2:
-        spread = np.bitwise_or.reduce(words ^ words[:1], axis=0)
-        vary = [(w, b) for w in range(words.shape[1]) for b in range(64)
-                if spread[w] >> np.uint64(b) & np.uint64(1)]
-        masks = list(combinations(vary, min(radius, len(vary)))) or [()]
-        while True:
-            before = label.copy()
-            for mask in masks:
-                kept = words.copy()
-                for w, b in mask:
-                    kept[:, w] &= ~(np.uint64(1) << np.uint64(b))
-                order = np.lexsort(kept.T)
-                same = (kept[order[1:]] == kept[order[:-1]]).all(axis=1)
-                starts = np.flatnonzero(np.r_[True, ~same])
-                low = np.minimum.reduceat(label[order], starts)
-                label[order] = np.repeat(low, np.diff(np.r_[starts, n]))
-            if (label == before).all():
-                return label
-    block = max(1, (1 << 22) // n)
-    while True:
-        before = label.copy()
-        for i in range(0, n, block):
-            near = _distance(words[i : i + block, None, :], words[None, :, :]) <= radius
+    if radius > 2 or n <= HUGE_RUN:
+        for i in range(0, n, ROWS_AT_ONCE):
+            own = slice(i, i + ROWS_AT_ONCE)
+            near = _distance(words[own, None, :], words[None, :, :]) <= radius
+            near &= label[own, None] != label[None, :]
             a, b = np.nonzero(near)
-            label = settle(label, a + i, b)
-        if (label == before).all():
-            return label
+            if len(a):
+                label = settle(label, label[a + i], label[b])
+        return label
+    spread = np.bitwise_or.reduce(words ^ words[:1], axis=0)
+    vary = [(w, b) for w in range(words.shape[1]) for b in range(64)
+            if spread[w] >> np.uint64(b) & np.uint64(1)]
+    for mask in combinations(vary, min(radius, len(vary))):
+        kept = words.copy()
+        for w, b in mask:
+            kept[:, w] &= ~(np.uint64(1) << np.uint64(b))
+        order = np.lexsort(kept.T)
+        same = np.flatnonzero((kept[order[1:]] == kept[order[:-1]]).all(axis=1))
+        a, b = label[order[same]], label[order[same + 1]]
+        if (a != b).any():
+            label = settle(label, a, b)
+    return label
 
 
 def find_links(key: np.ndarray, own: np.ndarray, words: np.ndarray, radius: int) -> np.ndarray:
