@@ -140,6 +140,7 @@ def target_encode(params: dict[str, Any]) -> FeatureOperation:
 
     With ``fold_column`` every row is encoded from the rows of the other folds (statistics of all
     rows minus those of its own fold), which keeps the target of a row out of its own feature.
+    Rows of other tables, without that column or with an unknown fold, get the value of all rows.
     """
     columns, target = params.get("columns", []), params.get("target_column", "")
     smoothing, fold = params.get("smoothing", 10), params.get("fold_column")
@@ -147,17 +148,17 @@ def target_encode(params: dict[str, Any]) -> FeatureOperation:
     def learn(df: DataFrame):
         y = as_double(target)
         overall = df.agg(F.avg(y)).first()[0]
-        tables = {}
+        tables, whole = {}, {}
         for c in columns:
             rows = df.where(col(c).isNotNull())
+            stats = rows.groupBy(col(c).alias("key")).agg(
+                F.avg(y).alias("mean"), F.count(y).alias("n"), F.count(F.lit(1)).alias("_w")
+            )
+            value = smoothed_mean(F.col("mean"), F.col("n"), F.lit(overall), smoothing)
+            whole[c] = build_lookup(
+                stats.select("key", value.alias("_all"), "_w"), ["key"], weight="_w"
+            )
             if not fold:
-                stats = rows.groupBy(col(c).alias("key")).agg(
-                    F.avg(y).alias("mean"), F.count(y).alias("n"), F.count(F.lit(1)).alias("_w")
-                )
-                value = smoothed_mean(F.col("mean"), F.col("n"), F.lit(overall), smoothing)
-                tables[c] = build_lookup(
-                    stats.select("key", value.alias("_enc"), "_w"), ["key"], weight="_w"
-                )
                 continue
             per_fold = rows.groupBy(col(c).alias("key"), col(fold).alias("fold")).agg(
                 F.sum(y).alias("s"), F.count(y).alias("n"), F.count(F.lit(1)).alias("_w")
@@ -183,9 +184,12 @@ def target_encode(params: dict[str, Any]) -> FeatureOperation:
         def apply(d: DataFrame) -> DataFrame:
             order = d.columns
             for c in columns:
-                on = [c, fold] if fold else [c]
-                d = attach(d, tables[c], on).drop("_w")
-                d = d.withColumn(c, F.col("_enc")).drop("_enc")
+                d = attach(d, whole[c], [c]).drop("_w")
+                best = F.col("_all")
+                if fold and fold in order:
+                    d = attach(d, tables[c], [c, fold]).drop("_w")
+                    best = F.coalesce("_enc", best)
+                d = d.withColumn(c, best).drop("_all", "_enc")
             return d.select(*[col(c) for c in order])
 
         return apply

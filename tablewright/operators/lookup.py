@@ -56,7 +56,8 @@ def _salt(df: DataFrame):
         for f in df.schema.fields
         if not isinstance(f.dataType, (T.MapType, T.VariantType))
     ]
-    return F.pmod(F.xxhash64(*usable), F.lit(SALTS)).cast("int")
+    # the input partition parts equal rows; it stays the same when a task is run again
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *usable), F.lit(SALTS)).cast("int")
 
 
 def _is_hot(columns: list[Column], hot: list[tuple]) -> Column:

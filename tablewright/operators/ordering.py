@@ -102,9 +102,12 @@ def average_ranks(
     fixed = _by_bucket({b: constant.get(b, -1.0) for b in range(size)}, size)
     if all(r["one"] for r in totals):
         return rows.withColumn(name, F.when(present, fixed)).drop("value", "bucket")
-    # constant-rank and NULL rows only pass through; spread them over many groups
+    # constant-rank and NULL rows only pass through; their content and input partition spread them
+    # over many groups, equal rows too
     rows = rows.withColumn("_fixed", F.when(present, fixed))
-    spread = F.pmod(F.xxhash64(*[col(c) for c in _hashable(df)]), F.lit(256)).cast("int")
+    groups = max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    mark = F.xxhash64(F.spark_partition_id(), *[col(c) for c in _hashable(df)])
+    spread = F.pmod(mark, F.lit(groups)).cast("int")
     passing = F.col("_fixed").isNull() | (F.col("_fixed") >= 0)
     rows = rows.withColumn("_group", F.when(passing, -1 - spread).otherwise(F.col("bucket")))
     order = Window.partitionBy("_group").orderBy("value")

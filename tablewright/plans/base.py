@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.core import normalise_missing
+from tablewright.core import ensure_checkpoint_dir, normalise_missing
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return normalise_missing(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a written table, where every executor can reach it."""
+    return f"{ensure_checkpoint_dir(spark)}/tablewright-{uuid.uuid4().hex}"
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     """Round columns, turning a negative zero into zero."""
     return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})

@@ -10,9 +10,12 @@ from tablewright.plans.base import (
     plan,
     r,
     rounded,
+    scratch,
     sql_quantile,
     table,
 )
+from tablewright.sources.tables import load_table as read_table
+from tablewright.sources.tables import write_table
 
 
 def _apply(df, *configs):
@@ -440,4 +443,6 @@ def operation_chain(spark, folder):
         {"type": "one_hot_encode", "columns": ["l_returnflag"]},
     )
     out = rounded(out, "l_tax", digits=6)
-    return rounded(out, "l_extendedprice", "l_tax_x_l_extendedprice")
+    path = scratch(spark)
+    write_table(rounded(out, "l_extendedprice", "l_tax_x_l_extendedprice"), f"{path}/out.parquet")
+    return read_table(spark, f"{path}/out.parquet")

@@ -320,10 +320,10 @@ def nearest(spark, folder):
 @plan("knn_classifier", "F7 F10")
 def knn_classifier(spark, folder):
     e = table(spark, folder, "embeddings")
-    parts = [F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)]
+    parts = [F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)]
     rows = e.select("vec_id", "label", *parts)
     data = training.training_set(
-        rows, [f"x{i}" for i in range(8)], TaskSpec("label", MULTICLASS), ["vec_id"], 2
+        rows, [f"x{i}" for i in range(64)], TaskSpec("label", MULTICLASS), ["vec_id"], 2
     )
     run = training.train_model(data, "knn_classifier", {"n_neighbors": 5, "weights": "distance"})
     return training.run_table(spark, [run]).drop("run_id", "training_time")

@@ -4,9 +4,19 @@ from pyspark.sql import functions as F
 
 from tablewright.core import local_rows, resolve_task
 from tablewright.operators import issues, profile
-from tablewright.plans.base import LI, LI_NUMERIC, lineitem_nulls, plan, r, rounded, sql_quantile
-from tablewright.plans.base import table
-from tablewright.sources.tables import preview
+from tablewright.plans.base import (
+    LI,
+    LI_NUMERIC,
+    lineitem_nulls,
+    plan,
+    r,
+    rounded,
+    scratch,
+    sql_quantile,
+    table,
+)
+from tablewright.sources.tables import load_table as read_table
+from tablewright.sources.tables import preview, write_table
 
 CATEGORICAL = ("l_returnflag", "l_linestatus")
 EVERY = (*LI_NUMERIC, *CATEGORICAL, "l_shipdate")
@@ -29,7 +39,13 @@ def _outliers(c: str) -> str:
     "SELECT * FROM orders",
 )
 def load_table(spark, folder):
-    return table(spark, folder, "orders")
+    """Orders written as CSV, read once with a schema, and as Parquet; the two must agree."""
+    orders = read_table(spark, f"{folder}/orders.parquet")
+    path = f"{scratch(spark)}/orders.csv"
+    write_table(orders, path, "csv")
+    schema = ", ".join(f"{n} {t}" for n, t in orders.dtypes)
+    text = read_table(spark, path, schema=schema, encoding="UTF-8", multi_line=False)
+    return text.join(orders, orders.columns, "left_semi")
 
 
 @plan("preview", "A2", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")

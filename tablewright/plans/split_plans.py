@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tablewright.operators.splits import assign_folds, create_split, split_summary
-from tablewright.plans.base import plan, r, rounded, table
+from tablewright.plans.base import plan, r, rounded, scratch, table
+from tablewright.sources.tables import read_split, write_split
 
 KEYS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
 
@@ -116,6 +117,8 @@ def folds_stratified(spark, folder):
  SELECT o_orderkey, split FROM s WHERE split = 'validation'""",
 )
 def split_partition_pruned(spark, folder):
-    """The validation side as a reader of the written table would see it."""
+    """The validation side, read back from the written table by its folder alone."""
     split = create_split(_orders(spark, folder), "o_orderstatus", ["o_orderkey"], "random")
-    return split.where(F.col("split") == "validation").select("o_orderkey", "split")
+    path = scratch(spark)
+    write_split(split, path)
+    return read_split(spark, path, "validation").select("o_orderkey", "split")

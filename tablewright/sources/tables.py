@@ -35,16 +35,22 @@ def inspect_text(spark: SparkSession, path: str) -> tuple[bool, bool]:
 
 def load_csv(
     spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None,
-    schema: str | None = None,
+    schema: str | None = None, multi_line: bool | None = None,
 ) -> DataFrame:
     """CSV with a header; separator, encoding and line layout are detected, types inferred.
 
+    With ``encoding`` and ``multi_line`` given nothing is inspected, with a ``schema`` nothing is
+    inferred, so the file is read once.
+
     Only files with line breaks inside quotes are read in multi-line mode, which cannot split a
     file. Giving a schema avoids the extra inference pass over large files.
     """
     if not path.rstrip("/").lower().endswith((".csv", ".csv.gz")):
         raise ValueError(f"Expected a CSV file, got: {path}")
-    utf8, multi_line = inspect_text(spark, path)
+    utf8 = True
+    if encoding is None or multi_line is None:
+        utf8, spans = inspect_text(spark, path)
+        multi_line = spans if multi_line is None else multi_line
     reader = (
         spark.read.option("header", True)
         .option("sep", separator or sniff_separator(spark, path))
