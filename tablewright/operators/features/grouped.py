@@ -58,12 +58,11 @@ def one_hot_encode(params: dict[str, Any]) -> FeatureOperation:
                     f"one_hot_encode: '{c}' has more than {MAX_INDICATORS} values; "
                     "use sparse=True"
                 )
-        indicators = [
+        return lambda d: d.select(*[col(c) for c in d.columns if c not in columns], *[
             F.coalesce((col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}")
             for c in columns
             for v in values[c]
-        ]
-        return lambda d: d.select(*[col(c) for c in d.columns if c not in columns], *indicators)
+        ])
 
     return FeatureOperation("one_hot_encode", learn, columns)
 
@@ -120,11 +119,13 @@ def categorical_interaction(params: dict[str, Any]) -> FeatureOperation:
     if len(columns) != 2:
         raise ValueError("categorical_interaction requires exactly 2 columns.")
     a, b = columns
-    text = F.concat(text_form(col(a)), F.lit("_"), text_form(col(b)))
+
+    def text() -> Column:
+        return F.concat(text_form(col(a)), F.lit("_"), text_form(col(b)))
 
     def learn(df: DataFrame):
-        codes = string_codes(df, text)
-        return lambda d: _with_codes(d, text, codes, f"{a}_x_{b}")
+        codes = string_codes(df, text())
+        return lambda d: _with_codes(d, text(), codes, f"{a}_x_{b}")
 
     return FeatureOperation("categorical_interaction", learn, columns)
 
@@ -352,9 +353,8 @@ def bin_numeric(params: dict[str, Any]) -> FeatureOperation:
 
     def learn(df: DataFrame):
         edges = bin_edges(df, columns, n_bins, strategy)
-        new = {
+        return lambda d: replace_columns(d, {
             c: interpolated_bucket(as_double(c), edges[c], "left").cast("double") for c in columns
-        }
-        return lambda d: replace_columns(d, new)
+        })
 
     return FeatureOperation("bin_numeric", learn, columns)

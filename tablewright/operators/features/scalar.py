@@ -90,11 +90,9 @@ def standard_scale(params: dict[str, Any]) -> FeatureOperation:
                 F.avg(as_double(c)).alias(f"m{i}"), F.stddev_pop(as_double(c)).alias(f"s{i}")
             ]
         r = df.agg(*exprs).first() if columns else {}
-        new = {
-            c: (as_double(c) - F.lit(r[f"m{i}"])) / F.lit(r[f"s{i}"] or 1.0)
-            for i, c in enumerate(columns)
-        }
-        return lambda d: replace_columns(d, new)
+        scales = {c: (r[f"m{i}"], r[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
+        return lambda d: replace_columns(
+            d, {c: (as_double(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scales.items()})
 
     return FeatureOperation("standard_scale", learn, columns)
 
@@ -102,9 +100,10 @@ def standard_scale(params: dict[str, Any]) -> FeatureOperation:
 @feature_operation("log_transform")
 def log_transform(params: dict[str, Any]) -> FeatureOperation:
     columns = params.get("columns", [])
-    new = {c: F.log1p(as_double(c)) for c in columns}
     return FeatureOperation(
-        "log_transform", lambda df: lambda d: replace_columns(d, new), columns
+        "log_transform",
+        lambda df: lambda d: replace_columns(d, {c: F.log1p(as_double(c)) for c in columns}),
+        columns,
     )
 
 
@@ -137,14 +136,12 @@ def ratio_features(params: dict[str, Any]) -> FeatureOperation:
 @feature_operation("cyclic_encode")
 def cyclic_encode(params: dict[str, Any]) -> FeatureOperation:
     c, period = params.get("column", ""), params.get("period", 1)
-    angle = F.lit(2 * math.pi) * as_double(c) / F.lit(float(period))
-    return FeatureOperation(
-        "cyclic_encode",
-        lambda df: lambda d: d.withColumn(f"{c}_sin", F.sin(angle))
-        .withColumn(f"{c}_cos", F.cos(angle))
-        .drop(c),
-        [c],
-    )
+
+    def apply(d: DataFrame) -> DataFrame:
+        angle = F.lit(2 * math.pi) * as_double(c) / F.lit(float(period))
+        return d.withColumns({f"{c}_sin": F.sin(angle), f"{c}_cos": F.cos(angle)}).drop(c)
+
+    return FeatureOperation("cyclic_encode", lambda df: apply, [c])
 
 
 def polynomial_terms(columns: list[str], degree: int, interaction_only: bool) -> list[tuple]:
@@ -234,12 +231,16 @@ def power_transform(params: dict[str, Any]) -> FeatureOperation:
             lows = df.agg(*[F.min(as_double(c)).alias(f"m{i}") for i, c in enumerate(columns)])
             if any(v is not None and v <= 0 for v in lows.first()):
                 raise ValueError("power_transform: box-cox needs strictly positive values")
-        new = {}
+        def powered(c: str, lam: float) -> Column:
+            return transform(as_double(c), F.lit(float(lam)))
+
+        learnt = {}
         for c in columns:
             lam = fixed[c] if c in fixed else likeliest_lambda(df, c, method)
-            y = transform(as_double(c), F.lit(float(lam)))
+            y = powered(c, lam)
             r = df.agg(F.avg(y).alias("m"), F.stddev_pop(y).alias("s")).first()
-            new[c] = (y - F.lit(r["m"])) / F.lit(r["s"] or 1.0)
-        return lambda d: replace_columns(d, new)
+            learnt[c] = (lam, r["m"], r["s"] or 1.0)
+        return lambda d: replace_columns(
+            d, {c: (powered(c, lam) - F.lit(m)) / F.lit(s) for c, (lam, m, s) in learnt.items()})
 
     return FeatureOperation("power_transform", learn, columns)

@@ -6,7 +6,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from tablewright.core import TaskSpec
+from tablewright.core import BINARY, TaskSpec
 from tablewright.operators import training
 from tablewright.operators.features import engineer_features
 from tablewright.persistence import load_fitted, save_fitted
@@ -62,12 +62,12 @@ def test_out_of_fold_encoding_scores_new_rows(spark):
 
 def test_models_and_ensembles(spark, tmp_path):
     rows = people(spark).drop("z")
-    data = training.training_set(rows, ["x", "fold"], TaskSpec("late", "binary"), ["id"], folds=2)
+    data = training.training_set(rows, ["x", "fold"], TaskSpec("late", BINARY), ["id"], folds=2)
     configs = [{"model_type": "logistic_regression"}, {"model_type": "random_forest"}]
     near = training.train_model(data, "knn_classifier", {"n_neighbors": 3}).model
     stack = training.train_stacking(data, configs).model
     seeds = training.train_seed_ensemble(
-        rows, ["x", "fold"], TaskSpec("late", "binary"), ["id"], "random_forest", n_seeds=2,
+        rows, ["x", "fold"], TaskSpec("late", BINARY), ["id"], "random_forest", n_seeds=2,
         folds=2).model
     vectors = training.assemble(rows, ["x", "fold"])
     for name, model in (("near", near), ("stack", stack), ("seeds", seeds)):
