@@ -21,6 +21,8 @@ PROJECTIONS, WINDOW = 32, 2.5
 MISS = 1e-7
 #: Rows wanted in a cell, rows above which a cell is cut into blocks, rows of a task's group.
 CELL_ROWS, BLOCK_ROWS, GROUP_ROWS = 64, 2_048, 32_768
+#: Crowded cells up to this number are broadcast (some 40 bytes each).
+BROADCAST_CELLS = 200_000
 #: Pairs counted at once.
 PAIRS_AT_ONCE = 1 << 17
 
@@ -206,6 +208,8 @@ def near_vectors(
         probes.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS)
         .select(*cell, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
     count = F.coalesce(F.col("blocks"), F.lit(1))
+    if crowded.count() <= BROADCAST_CELLS:
+        crowded = F.broadcast(crowded)
     dealt = (
         probes.join(crowded, cell, "left")
         .withColumn("side", F.pmod(F.xxhash64("node"), count).cast("int"))
