@@ -35,6 +35,8 @@ from tablewright.llm.common import slices, text_bytes
 ANCHOR, BLOCK_BYTES, BUCKET_BYTES = 16, 12 << 20, 64 << 20
 #: Text bytes gathered in a task before they are dealt out.
 GATHER_BYTES = 12 << 20
+#: Text bytes hashed at once: each takes about a hundred bytes of arrays.
+HASHED_BYTES = 1 << 19
 #: Id of a text whose ids are all null: later than any other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -231,7 +233,7 @@ def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.R
 
 def _all_runs(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     found = []
-    for part in slices([len(t) for t in texts]):
+    for part in slices([len(t) for t in texts], HASHED_BYTES):
         text, *rest = anchored_runs(texts[part], least)
         found.append((text + part.start, *rest))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 6
