@@ -37,14 +37,28 @@ def fingerprint(raw: bytes, words: int, bits: int) -> bytes:
     repeats included, is hashed with XXH64 (seed 42); further 64-bit words of a wider fingerprint
     come from mixing that hash. A shorter text is one shingle; a text without words is all zeros.
     """
+    return majority(shingle_hashes(raw, words), bits)
+
+
+def shingles(raw: bytes, words: int) -> list[bytes]:
+    """The shingles of one text in order, repeats included; none if it has no words."""
     parts = raw.lower().split()
-    if not parts:
+    if len(parts) >= words:
+        return list(map(b" ".join, zip(*(parts[i:] for i in range(words)))))
+    return [b" ".join(parts)] if parts else []
+
+
+def shingle_hashes(raw: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle."""
+    own = shingles(raw, words)
+    return np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(42)), dtype=np.uint64, count=len(own))
+
+
+def majority(hashes: np.ndarray, bits: int) -> bytes:
+    """Majority bits of hashes, zeros if there are none."""
+    n = len(hashes)
+    if not n:
         return bytes(bits // 8)
-    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(
-        parts) >= words else [b" ".join(parts)]
-    n = max(1, len(parts) - words + 1)
-    hashes = np.fromiter(
-        map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64, count=n)
     out = []
     for lane in range(bits // 64):
         mixed = hashes
