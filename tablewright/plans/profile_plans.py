@@ -39,13 +39,12 @@ def _outliers(c: str) -> str:
     "SELECT * FROM orders",
 )
 def load_table(spark, folder):
-    """Orders written as CSV, read once with a schema, and as Parquet; the two must agree."""
+    """Orders written as CSV and read back with a schema; every row as the CSV gives it."""
     orders = read_table(spark, f"{folder}/orders.parquet")
     path = f"{scratch(spark)}/orders.csv"
     write_table(orders, path, "csv")
     schema = ", ".join(f"{n} {t}" for n, t in orders.dtypes)
-    text = read_table(spark, path, schema=schema, encoding="UTF-8", multi_line=False)
-    return text.join(orders, orders.columns, "left_semi")
+    return read_table(spark, path, schema=schema, encoding="UTF-8", multi_line=False)
 
 
 @plan("preview", "A2", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")

@@ -96,3 +96,14 @@ def test_correlation_of_large_offsets_and_leading_gaps(spark):
     assert len(many) == 10
     assert math.isclose(many[("c0", "c1")], want, abs_tol=1e-6)
     assert math.isclose(few[("c0", "c1")], many[("c0", "c1")], abs_tol=1e-9)
+
+
+def test_load_table_returns_rows_with_nulls(spark, tmp_path):
+    from tablewright.plans.profile_plans import load_table
+
+    orders = spark.createDataFrame(
+        [(1, "O", None), (2, None, 2.5), (None, "F", 1.0)], "o_orderkey long, s string, p double")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = load_table(spark, str(tmp_path))
+    assert found.schema.simpleString() == orders.schema.simpleString()
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, orders.collect()), key=repr)
