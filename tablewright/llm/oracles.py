@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tablewright.llm.quality_rules import BUCKETS, MULTIPLIER, SMOOTHING, THRESHOLD
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _BREAK = r"'[ \t\n\r\x0B\x0C]+'"
 
 QUALITY_RULES = rf"""
@@ -106,3 +107,17 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
     vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
 FROM rows LEFT JOIN lowest ON lowest.v = vec_id LEFT JOIN degrees ON degrees.v = vec_id
 """
+
+LINE_DEDUP = f"""
+WITH lines AS (SELECT doc_id, i, line, translate(trim(line, {_BLANKS}),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+common AS (SELECT key, min(doc_id) AS owner FROM lines WHERE length(key) >= 10
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT doc_id, i, line, coalesce(owner < doc_id, false) AS gone
+    FROM lines LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""

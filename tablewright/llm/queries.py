@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import (
     byte_bpe,
+    common_lines,
     embedding_links,
     html_text,
     oracles,
@@ -80,3 +81,9 @@ def op9_embedding_links(spark, folder):
 def op10_token_counts(spark, folder):
     return token_counts.token_counts(
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_line_dedup", oracles.LINE_DEDUP)
+def op13_line_dedup(spark, folder):
+    found = common_lines.drop_common_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
