@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tablewright.llm import (
+    alignment,
     byte_bpe,
     common_lines,
     embedding_links,
@@ -87,3 +88,10 @@ def op10_token_counts(spark, folder):
 def op13_line_dedup(spark, folder):
     found = common_lines.drop_common_lines(table(spark, folder, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, folder):
+    return alignment.link_report(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
