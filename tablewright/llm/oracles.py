@@ -121,3 +121,39 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+SPELLING_VARIANTS = rf"""
+WITH RECURSIVE runs AS MATERIALIZED (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id,
+        unnest(regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}),
+            '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(
+    list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT CAST(unnest(range(0, 256)) AS BIGINT) AS i))),
+bytes AS (SELECT run, k, list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+    range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS l
+    FROM (SELECT run, k, hex(encode(doc_id || ':' || run)) AS h FROM runs)),
+crcs AS (SELECT run, k, xor(list_reduce(l,
+    lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295) AS h
+    FROM bytes, crc_table),
+words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 97 = 0
+    THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM crcs) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cuts AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+    FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b
+        ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT c.word, c.n, w.word, w.n FROM cuts c JOIN words w ON w.word = c.rest
+    UNION SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON w.word = c.rest),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS best_n FROM near GROUP BY word),
+tops AS (SELECT word, n_near, best_n, min(other) AS best FROM near JOIN best USING (word)
+    WHERE other_n = best_n GROUP BY ALL),
+forms AS MATERIALIZED (SELECT word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+    CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+    FROM words LEFT JOIN tops USING (word)),
+ways AS (SELECT word, word AS root, form AS next FROM forms
+    UNION ALL SELECT y.word, f.word, f.form FROM ways y JOIN forms f ON y.next = f.word)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN ways USING (word) WHERE next IS NULL
+"""

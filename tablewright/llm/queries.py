@@ -19,6 +19,7 @@ from tablewright.llm import (
     repeats,
     sharding,
     simhash,
+    spelling,
     token_counts,
 )
 from tablewright.llm.registry import query, table
@@ -84,10 +85,9 @@ def op10_token_counts(spark, folder):
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op13_line_dedup", oracles.LINE_DEDUP)
-def op13_line_dedup(spark, folder):
-    found = common_lines.drop_common_lines(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+@query("op11_spelling_variants", oracles.SPELLING_VARIANTS)
+def op11_spelling_variants(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents"))
 
 
 @query("op12_token_alignment")
@@ -95,3 +95,9 @@ def op12_token_alignment(spark, folder):
     return alignment.link_report(
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_line_dedup", oracles.LINE_DEDUP)
+def op13_line_dedup(spark, folder):
+    found = common_lines.drop_common_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
