@@ -54,6 +54,7 @@ def test_pipeline_stages(spark, data, tmp_path):
             assert left <= before
         if i == 4:
             assert out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
+            assert out.where("octet_length(ids) <> 4 * length").count() == 0
             assert {r.doc_id for r in out.select("doc_id").collect()} == left
         docs = out
     assert counts[0] >= counts[1] >= counts[2] == counts[3] > 0
@@ -68,10 +69,12 @@ def test_pipeline_of_no_documents(spark, data):
 def test_pipeline_keeps_extra_columns_and_repeated_rows(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
     docs = docs.union(docs.limit(5)).withColumns(
-        {"kept": F.lit("k"), "score": F.lit("s"), "_sha": F.lit("h"), "key": F.lit("y")})
+        {"kept": F.lit("k"), "score": F.lit("s"), "_sha": F.lit("h"), "key": F.lit("y"),
+         "_row": F.lit("mine"), "_gone": F.lit("g"), "c0": F.lit("c"), "row": F.lit("r")})
     for _, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, data)
         assert out.columns == docs.columns
-        assert out.where("kept <> 'k' or score <> 's' or _sha <> 'h' or key <> 'y'").count() == 0
+        assert out.where("kept <> 'k' or score <> 's' or _sha <> 'h' or key <> 'y' "
+                         "or _row <> 'mine' or _gone <> 'g' or c0 <> 'c' or row <> 'r'").count() == 0
     single = corpus_pipeline.simhash_stage(spark, docs, data)
     assert single.groupBy("doc_id").count().where("count > 1").count() == 0

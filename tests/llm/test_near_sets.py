@@ -112,10 +112,13 @@ def test_similarity_decides_not_the_bits(spark):
     assert found == {2 * k for k in range(120)} | {2 * k + 1 for k in range(0, 120, 2)}
 
 
-@pytest.mark.parametrize("block", [20, 64])
-def test_crowded_cells_give_the_same_components(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, passes", [(20, 8), (64, 8), (20, 1)])
+def test_crowded_cells_give_the_same_components(spark, monkeypatch, block, passes):
+    """Half of all rows are near one text; texts are shuffled, hot ones dealt out."""
     monkeypatch.setattr(near_sets, "BLOCK_ROWS", block)
-    monkeypatch.setattr(near_sets, "HOT_LINKS", 5)
+    monkeypatch.setattr(near_sets, "PASSES", passes)
+    monkeypatch.setattr(near_sets, "HELD_BYTES", 5_000)
+    monkeypatch.setattr(near_sets, "fits_broadcast", lambda *_: False)
     r = random.Random(5)
     base, texts = [f"w{i}" for i in range(200)], []
     for k in range(150):
@@ -128,3 +131,15 @@ def test_crowded_cells_give_the_same_components(spark, monkeypatch, block):
     rows = list(enumerate(texts))
     found = corpus_pipeline.simhash_stage(spark, documents(spark, rows), "")
     assert sorted((x.doc_id for x in found.collect()), key=repr) == kept_by(rows)
+
+
+def test_held_sets_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(near_sets, "HELD_BYTES", 3_000)
+    sets = near_sets.HashSets(5)
+    texts = [" ".join(f"w{i}x{k}" for i in range(20)).encode() for k in range(60)]
+    for _ in range(3):
+        for t in texts:
+            assert sets.get(t).tolist() == sorted(set(simhash.shingle_hashes(t, 5).tolist()))
+            assert sets.size <= 3_000 and sets.size == sum(len(k) + v.nbytes for k, v in sets.held.items())
+    long = b"word " * 10_000
+    assert len(sets.get(long)) == 1 and list(sets.held) == [long]
