@@ -6,11 +6,15 @@ its shorter byte strings, so equal windows name equal strings (anchors) wherever
 1. Anchors that two different texts have, with the same bytes before or after, are found by hash;
    the rest of the corpus is done.
 2. The windows of such an anchor, one run of bytes per occurrence, go to the task of the anchor.
-3. That task sorts all suffixes of its runs into a suffix array, computes common prefixes, and
-   scans them with a stack: intervals of the prefix tree that cannot be extended to the left in
-   all their occurrences are the maximal repeats, each with all its occurrences.
+3. That task sorts the suffixes of the different runs of an anchor into a suffix array, computes
+   common prefixes, and scans them with a stack: intervals of the prefix tree that cannot be
+   extended to the left in all their occurrences are the maximal repeats, each with all its
+   occurrences.
 4. Spans go back to the texts.
 
+Equal texts, by their digests, and runs that are equal as a whole, by their bytes, are matched
+before that; on copied text most removed bytes are decided so, the edges of a copy by the arrays.
+
 Texts and occurrences travel in compressed blocks of many, never one row each.
 """
 
@@ -30,9 +34,9 @@ from pyspark.sql import types as T
 from tablewright.core import cut_lineage
 from tablewright.llm.common import slices, text_bytes
 
-#: Length of an anchor, text bytes of a block of texts, and run bytes above which the runs of a
-#: bucket are split over several tasks.
-ANCHOR, BLOCK_BYTES, BUCKET_BYTES = 16, 12 << 20, 64 << 20
+#: Length of an anchor, text bytes of a block of texts, run bytes above which the runs of a bucket
+#: are split over several tasks, and run bytes of one suffix array (each takes some 80 bytes).
+ANCHOR, BLOCK_BYTES, BUCKET_BYTES, ARRAY_BYTES = 16, 12 << 20, 16 << 20, 1 << 20
 #: Text bytes gathered in a task before they are dealt out.
 GATHER_BYTES = 12 << 20
 #: Text bytes hashed at once: each takes about a hundred bytes of arrays.
@@ -231,12 +235,36 @@ def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.R
         [pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _all_runs(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
-    found = []
+def _hashed_slices(texts: list[bytes], least: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(texts, offsets, bytes) of runs of whole texts; a long text comes in parts.
+
+    Parts overlap by ``least - 1`` bytes, so each window lies in one part. One of the two side
+    strings of a window lies in it, and thus in its part; nothing that is shared is missed.
+    """
     for part in slices([len(t) for t in texts], HASHED_BYTES):
-        text, *rest = anchored_runs(texts[part], least)
-        found.append((text + part.start, *rest))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 6
+        long = texts[part.start]
+        if len(long) <= 2 * HASHED_BYTES:
+            yield list(range(part.start, part.stop)), [0] * (part.stop - part.start), texts[part]
+            continue
+        for at in range(0, len(long) - least + 1, HASHED_BYTES):  # a long text is alone in its run
+            yield [part.start], [at], [long[at : at + HASHED_BYTES + least - 1]]
+
+
+def _all_runs(texts: list[bytes], least: int, places: bool = True) -> tuple[np.ndarray, ...]:
+    """The runs of :func:`anchored_runs` of many texts, slice by slice, in narrow types.
+
+    Without ``places`` the windows' positions are left out.
+    """
+    found = []
+    for numbers, offsets, own in _hashed_slices(texts, least):
+        text, first, last, anchor, left, right = anchored_runs(own, least)
+        shift = np.array(offsets, dtype=np.int64)
+        sides = (left.astype(np.uint16), right.astype(np.uint16))
+        where = (first + shift[text], last + shift[text]) if places else ()
+        found.append((np.array(numbers, dtype=np.int32)[text], *where, anchor, *sides))
+    if found:
+        return tuple(np.concatenate(x) for x in zip(*found))
+    return (np.zeros(0, int),) * (6 if places else 4)
 
 
 BLOCK = "kind int, part long, size long, block binary"
@@ -266,7 +294,7 @@ def ask(texts: DataFrame, least: int, parts: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _gathered(batches):
             keys, rows = _keys(own), []
-            text, _, _, anchor, left, right = _all_runs(own, least)
+            text, anchor, left, right = _all_runs(own, least, places=False)
             mark = anchor >> np.uint64(64 - bits)
             order = np.argsort(mark, kind="stable")
             text, mark, left, right = (x[order] for x in (text, mark, left, right))
@@ -510,60 +538,88 @@ def read_runs(blocks: list[bytes]) -> tuple:
     return keys, ids, text, start, anchor, strings
 
 
-def repeat_groups(blocks: list[bytes], least: int) -> Iterator[tuple]:
-    """(length, texts, starts) of every group of equal byte strings among the runs of a bucket.
+def array_groups(
+    anchor: np.ndarray, same: np.ndarray, size: np.ndarray, most: int
+) -> Iterator[np.ndarray]:
+    """Numbers of the different runs that go into one suffix array together.
 
-    First the groups of equal runs, then the maximal repeats among different runs of an anchor.
-    Yields the run numbers and offsets too, after reading the blocks once.
+    ``same`` is the number of each run's bytes and ``size`` the length of each of these. Equal
+    windows name equal anchors, so only different runs of one anchor need to meet. Whole anchors
+    share an array up to ``most`` bytes; the runs of a larger one are dealt into shares of half
+    that, and every two shares meet in an array.
     """
-    keys, ids, text, start, anchor, strings = read_runs(blocks)
-    number: dict[bytes, int] = {}
-    give = number.setdefault
-    same = np.array([give(s, len(number)) for s in strings], dtype=np.int64)
-    order = np.argsort(same, kind="stable")
-    cuts = np.searchsorted(same[order], np.arange(len(number) + 1))
-    different = list(number)
-    yield keys, ids, text, start, same, order, cuts, different
     pairs = np.unique(np.stack([anchor, same.astype(np.uint64)], axis=1), axis=0)
     many = np.flatnonzero(np.r_[False, pairs[1:, 0] == pairs[:-1, 0]])
-    mixed = np.unique(np.r_[pairs[many, 1], pairs[many - 1, 1]].astype(np.int64))
-    if len(mixed):
-        for length, string, offset in maximal_repeats([different[i] for i in mixed], least):
-            yield length, mixed[string], offset
+    pairs = pairs[np.unique(np.r_[many, many - 1])]
+    of, run = pairs[:, 0], pairs[:, 1].astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
+    held: list[np.ndarray] = []
+    total = 0
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)]):
+        own = run[a:b]
+        edge = np.cumsum(size[own])
+        if total and total + edge[-1] > most:
+            yield np.unique(np.concatenate(held))
+            held, total = [], 0
+        if edge[-1] <= most:
+            held.append(own)
+            total += int(edge[-1])
+            continue
+        share = (edge - 1) // (most // 2)
+        shares = [own[share == k] for k in np.unique(share)]
+        for k, mine in enumerate(shares):
+            for other in shares[k + 1 :]:
+                yield np.r_[mine, other]
+    if held:
+        yield np.unique(np.concatenate(held))
 
 
-def repeated_spans(blocks: list[bytes], least: int) -> tuple:
-    """Keys and (text, start, length) of the spans that a text of smaller id holds too."""
-    groups = repeat_groups(blocks, least)
-    keys, ids, text, start, same, order, cuts, different = next(groups)
-    own = ids[text]
-    low = np.minimum.reduceat(own[order], cuts[:-1])
-    size = np.array([len(s) for s in different], dtype=np.int64)
-    whole = np.flatnonzero(own > low[same])
-    found = [(text[whole], start[whole], size[same[whole]])]
-    width = int(size.max()) + 1
-    edge = np.zeros((len(different), width), dtype=np.int32)
-    touched = False
-    for length, string, offset in groups:
+def covered_parts(
+    strings: list[bytes], low: np.ndarray, least: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, begin, length) of what a string of a smaller ``low`` holds too."""
+    edge = np.zeros((len(strings), max(map(len, strings)) + 1), dtype=np.int32)
+    for length, string, offset in maximal_repeats(strings, least):
         later = low[string] > low[string].min()
         if later.any():
-            touched = True
             np.add.at(edge, (string[later], offset[later]), 1)
             np.add.at(edge, (string[later], offset[later] + length), -1)
-    if touched:
-        covered = np.cumsum(edge, axis=1) > 0
-        rim = np.diff(covered.astype(np.int8), axis=1, prepend=0)
-        row, begin = np.nonzero(rim == 1)
-        _, end = np.nonzero(rim == -1)
-        # every later run of these bytes is a span already; the smallest ids have only these parts
-        first = np.flatnonzero(own == low[same])
-        first = first[np.argsort(same[first], kind="stable")]
-        a, b = np.searchsorted(same[first], row), np.searchsorted(same[first], row, side="right")
-        at = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(
-            np.cumsum(b - a) - (b - a), b - a)
+    rim = np.diff((np.cumsum(edge, axis=1) > 0).astype(np.int8), axis=1, prepend=0)
+    row, begin = np.nonzero(rim == 1)
+    return row, begin, np.nonzero(rim == -1)[1] - begin
+
+
+def repeated_spans(blocks: list[bytes], least: int) -> tuple:
+    """Keys and (text, start, length) of the spans that a text of smaller id holds too.
+
+    Runs that are equal as a whole are matched by their bytes; of different runs of an anchor the
+    suffix arrays tell what they share.
+    """
+    keys, ids, text, start, anchor, strings = read_runs(blocks)
+    number: dict[bytes, int] = {}
+    give = number.setdefault
+    same = np.array([give(s, len(number)) for s in strings], dtype=np.int64)
+    del strings
+    different = list(number)
+    del number
+    order = np.argsort(same, kind="stable")
+    cuts = np.searchsorted(same[order], np.arange(len(different)))
+    own = ids[text]
+    low = np.minimum.reduceat(own[order], cuts)
+    size = np.fromiter(map(len, different), np.int64, len(different))
+    whole = np.flatnonzero(own > low[same])
+    found = [(text[whole], start[whole], size[same[whole]])]
+    # every later run of these bytes is a span already; the smallest ids have only parts
+    first = np.flatnonzero(own == low[same])
+    first = first[np.argsort(same[first], kind="stable")]
+    of_first = same[first]
+    for chosen in array_groups(anchor, same, size, ARRAY_BYTES):
+        row, begin, length = covered_parts([different[i] for i in chosen], low[chosen], least)
+        a = np.searchsorted(of_first, chosen[row])
+        n = np.searchsorted(of_first, chosen[row], side="right") - a
+        at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         who = first[at]
-        found.append((text[who], start[who] + np.repeat(begin, b - a),
-                      np.repeat(end - begin, b - a)))
+        found.append((text[who], start[who] + np.repeat(begin, n), np.repeat(length, n)))
     return keys, *(np.concatenate(x) for x in zip(*found))
 
 
@@ -682,7 +738,8 @@ def remove_repeats(
     id has, later rows lose everything if they are long enough. Rows of equal id and different
     text do not take from each other. A null id is later than any other, and null ids do not take
     from each other; a null text is empty. An empty table gives no rows. Other columns are not
-    read.
+    read. A task holds a few texts at a time, whole, and hashes them half a megabyte at a time; a
+    longer text is hashed in overlapping parts.
     """
     narrow, first, blocks, spans = _found(df, least, id_column, text_column)
     cut = cut_texts(blocks, spans, False).drop("kept")

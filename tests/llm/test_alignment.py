@@ -139,12 +139,12 @@ def test_cuts_are_all_shared_ends(texts):
             len_b.append(min(step, rest))
             rest -= len_b[-1]
     end_a, end_b = np.cumsum(len_a), np.cumsum(len_b)
-    cut = alignment.shared_cuts(end_a - len_a, end_a, end_b, np.array(low), np.array(high))
+    cut = alignment.shared_cuts(end_a, end_b, np.array(low), np.array(high))
     assert cut.tolist() == np.isin(end_a, end_b).tolist()
 
 
 def test_a_long_text_without_common_ends_is_one_group():
     n = 200_000
     end_a, end_b = np.cumsum(np.r_[3, np.full(n, 2)]), np.cumsum(np.r_[np.full(n, 2), 3])
-    cut = alignment.shared_cuts(np.r_[0, end_a[:-1]], end_a, end_b, np.array([0]), np.array([n + 1]))
+    cut = alignment.shared_cuts(end_a, end_b, np.array([0]), np.array([n + 1]))
     assert cut.sum() == 1 and cut[-1]

@@ -201,8 +201,10 @@ def random_texts(seed):
 @pytest.mark.parametrize("seed, least, bucket", [
     (1, 50, None), (2, 20, None), (3, 17, 500), (4, 50, 2_000), (5, 33, None)])
 def test_removal_of_random_texts(spark, monkeypatch, seed, least, bucket):
-    if bucket:
+    if bucket:  # small shares, small arrays, and texts hashed in parts
         monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket)
+        monkeypatch.setattr(repeats, "ARRAY_BYTES", bucket)
+        monkeypatch.setattr(repeats, "HASHED_BYTES", 70)
     rows = random_texts(seed)
     want = plain_removal([(i, raw(t)) for i, t in rows], least)
     found = repeats.remove_repeats(documents(spark, rows).repartition(5), least).collect()
@@ -222,6 +224,37 @@ def test_removal_of_awkward_texts(spark):
     assert repeats.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_memory_of_a_long_text_and_of_one_anchor(monkeypatch):
+    """A text of 32 MB is hashed in parts; the runs of one anchor go into arrays of bounded size."""
+    import tracemalloc
+
+    text = np.random.default_rng(1).integers(97, 123, 32 << 20, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    own, first, last, *_ = repeats._all_runs([b"short", text], 50)
+    assert set(own.tolist()) == {1} and (last - first + 1).sum() == len(text) - 49
+    assert (first[1:] == last[:-1] + 1).all()
+    del own, first, last
+    assert tracemalloc.get_traced_memory()[1] < 420 << 20  # 4 M runs of 32 bytes, twice, and a part
+    tracemalloc.stop()
+
+    r = random.Random(3)
+    side = lambda: bytes(r.choice(b"abcd") for _ in range(34))
+    strings = [side() + b"the same anchor!" + side() for _ in range(4_000)]
+    strings += [side() + s[34:] for s in strings[:300]]
+    monkeypatch.setattr(repeats, "ARRAY_BYTES", 60_000)
+    n = len(strings)
+    block = repeats._pack(
+        np.arange(2 * n, dtype=np.uint64).reshape(-1, 2), np.arange(n),
+        repeats._planes(np.arange(n, dtype=np.uint64)), repeats._planes(np.zeros(n, np.uint64)),
+        repeats._steps(np.zeros(n, np.uint64)), np.full(n, 84, np.uint16), b"".join(strings))
+    tracemalloc.start()
+    keys, text, start, length = repeats.repeated_spans([block], 50)
+    assert tracemalloc.get_traced_memory()[1] < 24 << 20  # 0.36 MB of runs, which took 29 MB at once
+    tracemalloc.stop()
+    assert {t for t, s, m in zip(text.tolist(), start.tolist(), length.tolist())
+            if s <= 34 and s + m == 84} >= set(range(4_000, 4_300))
+
+
 def test_ids_must_be_ordered_numbers(spark):
     with pytest.raises(ValueError):
         repeats.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
