@@ -111,16 +111,19 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(owner)) - first[owner] + start[owner], owner
 
 
-def shared_cuts(begin_a: np.ndarray, end_a: np.ndarray, end_b: np.ndarray,
-                low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def shared_cuts(end_a: np.ndarray, end_b: np.ndarray, low: np.ndarray,
+                high: np.ndarray) -> np.ndarray:
     """Mask of the A tokens after which a group ends; ``low``/``high`` bound each text's tokens.
 
     Divide and conquer over intervals of A tokens, all open intervals of a level at a time. In
-    each one the A end nearest the middle byte is found by bisection and looked up among the B
-    ends by bisection; if it is no B end, ends farther out are tried in windows that grow until
-    one is shared. The interval is divided there. An interval without a shared end inside is a
-    group.
+    each one the end of the middle A token is looked up among the B ends by bisection; if it is
+    no B end, ends farther out are tried in windows that grow until one is shared. The interval
+    is divided there. An interval without a shared end inside is a group.
     """
+    def is_shared(tried: np.ndarray) -> np.ndarray:
+        ends = end_a[tried]
+        return end_b[np.searchsorted(end_b, ends)] == ends
+
     cut = np.zeros(len(end_a), dtype=bool)
     full = high > low
     low, high = low[full], high[full]
@@ -130,16 +133,14 @@ def shared_cuts(begin_a: np.ndarray, end_a: np.ndarray, end_b: np.ndarray,
         low, high = low[wide], high[wide]
         if not len(low):
             return cut
-        middle = (begin_a[low] + end_a[high - 1]) // 2
-        at = np.clip(np.searchsorted(end_a, middle), low, high - 2)
-        found = np.full(len(low), -1)
-        waiting, reach = np.arange(len(low)), 1
+        at = (low + high) // 2 - 1
+        found = np.where(is_shared(at), at, -1)
+        waiting, reach = np.flatnonzero((found < 0) & (high - low > 2)), 1
         while len(waiting):
             left = np.maximum(low[waiting], at[waiting] - reach)
             right = np.minimum(high[waiting] - 2, at[waiting] + reach)
             tried, owner = _ranges(left, right - left + 1)
-            place = np.searchsorted(end_b, end_a[tried])
-            shared = end_b[place] == end_a[tried]
+            shared = is_shared(tried)
             tried, owner = tried[shared], owner[shared]
             order = np.lexsort((np.abs(tried - at[waiting[owner]]), owner))
             first = order[np.r_[True, np.diff(owner[order]) > 0]] if len(order) else order
@@ -169,8 +170,7 @@ class Aligned:
         stop_a = np.cumsum(self.count_a)
         end_a = np.cumsum(both.length_a[self.a])
         end_b = np.cumsum(both.length_b[self.b])
-        cut = shared_cuts(
-            end_a - both.length_a[self.a], end_a, end_b, stop_a - self.count_a, stop_a)
+        cut = shared_cuts(end_a, end_b, stop_a - self.count_a, stop_a)
         last = np.flatnonzero(cut)
         self.stop_a = last + 1
         self.stop_b = np.searchsorted(end_b, end_a[last]) + 1 if len(last) else last

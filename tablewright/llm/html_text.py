@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by where they stand,
 by link density, and by length with stop-word density; what stays open, mostly short blocks, takes
-in the second pass the label of the nearest decided block.
+in the second pass the label of the nearest decided block. Where stop words decide for no block,
+as in languages that the list does not have, length and link density alone do.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from tablewright.llm.common import map_rows, text_strings
 LONG, MEDIUM = 30, 12
 #: Share of stop words that speaks for running text, and share of linked characters against it.
 STOP_SHARE, LINK_SHARE = 0.2, 0.5
+#: Letters of a block that is long without counting words; share of a page's letters from which a
+#: container is the page's frame, so that its name and kind say nothing.
+LONG_LETTERS, FRAME_SHARE = 120, 0.8
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -74,6 +78,9 @@ NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 NAME_PART = re.compile(r"[a-z0-9]+")
 
 
+END_TAGS = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I | re.A) for tag in DROPPED}
+
+
 @dataclass
 class Block:
     """Text with the containers around it (outermost first) and what the first pass looks at."""
@@ -83,40 +90,65 @@ class Block:
     path: tuple[int, ...]
     aside: bool
     whole: bool
+    named: bool = False  # boilerplate by a name of its own, which says nothing of its neighbours
 
 
-def _aside(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds boilerplate by its kind or its names."""
-    if tag in ASIDE or (tag == "header" and not inside):
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
+@dataclass
+class Container:
+    """An element whose nesting is followed; letters of the blocks in it, and whether one of its
+    inner elements is an article."""
+
+    tag: str
+    attributes: str
+    parent: int
+    letters: int = 0
+    holds_whole: bool = False
+
+
+def _names(attributes: str) -> tuple[bool, bool]:
+    """Whether the role says boilerplate, and whether class or id do."""
     names = {}
     for m in NAMED.finditer(attributes):
         names[m[1].lower()] = html.unescape(m[2] or m[3] or m[4] or "").lower()
-    if set(names.get("role", "").split()) & ASIDE_ROLES:
+    role = not ASIDE_ROLES.isdisjoint(names.get("role", "").split())
+    parts = NAME_PART.findall(names.get("class", "") + " " + names.get("id", ""))
+    return role, not ASIDE_NAMES.isdisjoint(parts)
+
+
+def _aside(c: Container, inside: bool, total: int) -> bool:
+    """Whether a container holds boilerplate by its kind or its names."""
+    frame = c.letters >= FRAME_SHARE * total
+    if c.tag == "form":
+        if not (frame or c.holds_whole):
+            return True
+    elif c.tag in ASIDE or (c.tag == "header" and not inside):
         return True
-    if tag == "main" or (tag == "article" and not inside):
+    if not c.attributes or c.tag in ("html", "body"):
         return False
-    parts = NAME_PART.findall(names.get("class", "") + " " + names.get("id", ""))
-    return not ASIDE_NAMES.isdisjoint(parts)
+    role, named = _names(c.attributes)
+    if c.tag == "main" or (c.tag == "article" and not inside):
+        return role
+    return (role or named) and not frame
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order; markup may be broken or end anywhere."""
-    found: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, number, aside, whole
+    found: list[tuple[str, int, int, bool]] = []  # text, linked letters, container, own name
+    containers = [Container("", "", 0)]
+    stack: list[int] = [0]
     words: list[str] = []
-    at = number = linked = anchors = 0
-    aside = whole = False
+    at = linked = anchors = 0
+    named = False
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, named
         text = " ".join("".join(words).split())
         if text:
-            found.append(Block(text, linked, tuple(s[1] for s in stack), aside, whole))
+            found.append((text, linked, stack[-1], named))
+            for c in stack:
+                containers[c].letters += len(text)
         words.clear()
-        linked = 0
+        linked, named = 0, False
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -126,7 +158,6 @@ def blocks(page: str) -> list[Block]:
             if anchors:
                 linked += len("".join(own.split()))
 
-    low = page.lower()
     while True:
         m = TOKEN.search(page, at)
         if m is None:
@@ -146,29 +177,44 @@ def blocks(page: str) -> list[Block]:
             if tag in BLOCK:
                 close()
             if not ends and not attributes.rstrip().endswith("/"):
-                stop = low.find(f"</{tag}", at)
-                at = len(page) if stop < 0 else (page.find(">", stop) + 1 or len(page))
+                stop = END_TAGS[tag].search(page, at)
+                at = stop.end() if stop else len(page)
         elif tag in BLOCK:
             close()
             anchors = 0
             if tag not in CONTAINER:
-                continue
-            if not ends:
-                number += 1
-                aside = aside or _aside(tag, attributes, whole)
-                whole = whole or (tag in WHOLE and not aside)
-                stack.append((tag, number, aside, whole))
-            elif any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
+                named = not ends and bool(attributes) and any(_names(attributes))
+            elif not ends:
+                if tag in WHOLE:
+                    for c in stack:
+                        containers[c].holds_whole = True
+                containers.append(Container(tag, attributes, stack[-1]))
+                stack.append(len(containers) - 1)
+            elif any(containers[c].tag == tag for c in stack):
+                while containers[stack.pop()].tag != tag:
                     pass
-                aside, whole = stack[-1][2:] if stack else (False, False)
     close()
-    return found
+    return _placed(found, containers)
+
+
+def _placed(found: list[tuple[str, int, int, bool]], containers: list[Container]) -> list[Block]:
+    """Blocks with what their containers say, which depends on all that these hold."""
+    total = containers[0].letters
+    state: list[tuple[tuple[int, ...], bool, bool]] = [((), False, False)]
+    for number, c in enumerate(containers[1:], 1):
+        path, aside, whole = state[c.parent]
+        aside = aside or _aside(c, whole, total)
+        state.append(((*path, number), aside, whole or (c.tag in WHOLE and not aside)))
+    out = []
+    for text, linked, container, named in found:
+        path, aside, whole = state[container]
+        out.append(Block(text, linked, path, aside, whole, named))
+    return out
 
 
 def first_pass(block: Block) -> bool | None:
     """True for text, False for boilerplate, None if the block itself does not tell."""
-    if block.aside:
+    if block.aside or block.named:
         return False
     words = block.text.lower().split()
     letters = sum(map(len, words))
@@ -193,7 +239,7 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     """
     inside: dict[int, list[int]] = {0: []}
     for i, (b, own) in enumerate(zip(found, labels)):
-        if own is not None:
+        if own is not None and not b.named:
             for c in (0, *b.path):
                 inside.setdefault(c, []).append(i)
     marked = {c for b in found if b.whole for c in b.path}
@@ -219,10 +265,21 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     return out
 
 
+def without_stop_words(found: list[Block], labels: list[bool | None]) -> list[bool | None]:
+    """Long open blocks are text, where the first pass has found none on the page.
+
+    The open blocks are those of few links that do not stand in boilerplate.
+    """
+    if any(labels):
+        return labels
+    return [True if own is None and len(b.text) >= LONG_LETTERS else own
+            for b, own in zip(found, labels)]
+
+
 def main_text(page: str) -> str:
     """Blocks of the main text, one a line."""
     found = blocks(page)
-    keep = second_pass(found, [first_pass(b) for b in found])
+    keep = second_pass(found, without_stop_words(found, [first_pass(b) for b in found]))
     return "\n".join(b.text for b, own in zip(found, keep) if own)
 
 

@@ -11,6 +11,10 @@ LONG = ("The old house of the river was near the hill and it had been there for
         "that all of the people who came to see it in the summer had to walk on the green path "
         "with a friend or two.")
 
+RUSSIAN = ("Старый дом у реки стоял недалеко от холма много лет, и поэтому все люди, приезжавшие "
+           "летом посмотреть на него, шли по зелёной тропе вместе с другом, а вечером возвращались.")
+CHINESE = "河边的老房子在山丘附近矗立了很多年因此所有夏天来参观的人都得沿着绿色的小路与朋友一起走过去" * 4
+
 
 @pytest.mark.parametrize("page, want", [
     ("", ""), ("just words & more &amp; &lt;b&gt;", "just words & more & <b>"),
@@ -32,12 +36,72 @@ LONG = ("The old house of the river was near the hill and it had been there for
     (f"<header><h1>Site</h1></header><article><header><h1>Head</h1></header><p>{LONG}</p>"
      "</article>", f"Head\n{LONG}"),
     (f"<p>{LONG}</p><ul>" + "<li><a href=x>One link</a></li>" * 5 + "</ul>", LONG),
+    # a language without stop words here, with and without blanks
+    (f"<nav><a href=x>Меню</a></nav><div><h1>Дом</h1><p>{RUSSIAN}</p><p>Да.</p></div>"
+     "<footer>© сайт</footer>", f"Дом\n{RUSSIAN}\nДа."),
+    (f"<ul class=menu><li><a href=x>首页</a></ul><div><p>{CHINESE}</p></div>", CHINESE),
+    # a form around the page; a form in the page
+    (f"<form><input><div class=top><p>{LONG}</p><p>{LONG}</p></div></form>", f"{LONG}\n{LONG}"),
+    (f"<form><nav>{LONG}</nav><p>ad text</p><article><p>{LONG}</p></article></form>", LONG),
+    (f"<div><p>{LONG}</p></div><form><p>Write to us</p><label>Name</label></form>", LONG),
+    # a frame with a telling word in its name
+    (f"<div class='page social-layout'><nav>Home</nav><p>{LONG}</p><p>Short.</p>"
+     "<div class='share-buttons'><p>Share this</p></div></div>", f"{LONG}\nShort."),
+    # names on blocks
+    (f"<article><p>{LONG}</p><p class='ad'>{LONG}</p><h2 id=related>More</h2><p>End.</p></article>",
+     f"{LONG}\nEnd."),
+    # letters that change their length in lower case
+    (f"<script>var x = '{'İ' * 40}';</script><p>{LONG}</p><p>a > b</p><p>{LONG}</p>",
+     f"{LONG}\na > b\n{LONG}"),
+    (f"<script>'</scripted>' + x</SCRIPT ><p>{LONG}</p><style>p</style\n><p>end</p>", f"{LONG}\nend"),
     ("<p title='a > b'>x</p>", "x"), ("3 < 4 and 5 > 2", "3 < 4 and 5 > 2"),
 ])
 def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_blocks_equal_those_of_the_standard_parser(spark, data):
+    """A plain splitter on another parser: the same texts in the same order."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.found, self.words, self.hidden = [], [], []
+
+        def close_block(self):
+            if text := " ".join("".join(self.words).split()):
+                self.found.append(text)
+            self.words = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.DROPPED:
+                self.hidden.append(tag)
+            self.handle_tag(tag)
+
+        def handle_endtag(self, tag):
+            if tag in self.hidden:
+                self.hidden.remove(tag)
+            self.handle_tag(tag)
+
+        def handle_tag(self, tag):
+            if tag == "br":
+                self.words.append(" ")
+            elif tag in html_text.BLOCK:
+                self.close_block()
+
+        def handle_data(self, text):
+            if not self.hidden:
+                self.words.append(text)
+
+    for r in spark.read.parquet(f"{data}/pages.parquet").collect():
+        plain = Plain()
+        plain.feed(r.html)
+        plain.close()
+        plain.close_block()
+        assert [b.text for b in html_text.blocks(r.html)] == plain.found
+
+
 def test_nearest_decided_block_by_bisection_equals_a_full_search():
     import random
 
