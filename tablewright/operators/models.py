@@ -22,6 +22,8 @@ from tablewright.operators.knn import NearestNeighbours
 
 CLASSIFICATION = (BINARY, MULTICLASS)
 EVERY_TASK = (BINARY, MULTICLASS, REGRESSION)
+#: Families whose splits can send missing features to one side.
+TREES = ("xgboost", "lightgbm", "catboost", "random_forest", "extra_trees")
 
 
 @dataclass(frozen=True)

@@ -29,7 +29,8 @@ from tablewright.core import (
     require_columns,
 )
 from tablewright.functions.expressions import majority_vote, mean_vote
-from tablewright.operators.models import make_learner
+from tablewright.operators.gaps import GapDirections, learn_directions
+from tablewright.operators.models import TREES, make_learner
 from tablewright.operators.splits import assign_folds, row_key
 
 MAX_CLASSES = 1_000
@@ -45,12 +46,31 @@ class TrainingSet:
     classes: list
     n: int
     folds: int
+    gaps: GapDirections | None = None
 
     def learner(self, model: str, params: dict[str, Any] | None, seed: int):
+        if self.gaps is not None and model not in TREES:
+            raise ValueError(f"'{model}' does not take missing features; trees do: {TREES}")
         return make_learner(
             model, self.task.task, params, seed, self.n, len(self.features), len(self.classes)
         )
 
+    def fit(self, model: str, params: dict[str, Any] | None, seed: int, rows: DataFrame | None = None):
+        """A fitted model of these or of some of these rows, with the sides of missing features."""
+        fitted = self.learner(model, params, seed).fit(self.rows if rows is None else rows)
+        return fitted if self.gaps is None else GapModel(fitted, self.gaps)
+
+
+@dataclass
+class GapModel:
+    """A tree model together with the sides to which missing features go."""
+
+    model: Model
+    gaps: GapDirections
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return apply_model(self.model, rows)
+
 
 def target_classes(df: DataFrame, target: str) -> list:
     """Sorted class labels."""
@@ -107,11 +127,14 @@ def training_set(
     """Fold-assigned feature vectors, written once and then read by every fit.
 
     ``missing`` says what happens to labelled rows without a value in some feature: ``error``
-    counts them and refuses, ``drop`` leaves them out before folds and weights are made.
+    counts them and refuses, ``drop`` leaves them out before folds and weights are made, ``learn``
+    keeps them for tree learners: every feature sends its gaps below or above all its values,
+    whichever gave the better fold score, and models keep these sides for new rows.
     """
     require_columns(df, [*features, task.target, *key])
-    if missing not in ("error", "drop"):
-        raise ValueError("missing must be 'error' or 'drop'")
+    if missing not in ("error", "drop", "learn"):
+        raise ValueError("missing must be 'error', 'drop' or 'learn'")
+    numeric_features(df, features)
     if missing == "drop":
         df = df.where(~any_missing(features))
     classes = target_classes(df, task.target) if task.is_classification else []
@@ -119,11 +142,17 @@ def training_set(
     if missing == "error":
         gaps = labelled.where(any_missing(features)).count()
         if gaps:
-            raise ValueError(f"{gaps} rows lack a feature; impute them first or pass missing='drop'")
+            raise ValueError(
+                f"{gaps} rows lack a feature; impute them first or pass missing='drop' or 'learn'")
     assigned = assign_folds(
         labelled, key, folds, seed, task.target if task.is_classification else None
     )
-    rows = assemble(assigned, features).withColumn("row_key", row_key(key))
+    directions = None
+    keyed = assigned.withColumn("row_key", row_key(key))  # a feature may be part of the key
+    if missing == "learn":
+        directions = learn_directions(assigned, features, task.is_classification)
+        keyed = directions.fill(keyed)
+    rows = assemble(keyed, features)
     balance = F.lit(1.0)
     if task.is_classification:
         counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
@@ -144,7 +173,7 @@ def training_set(
             "row_key", "features", "label", "fold", balance.alias("weight")
         ).repartition(parts, "row_key")
     )
-    return TrainingSet(rows, list(features), task, classes, rows.count(), folds)
+    return TrainingSet(rows, list(features), task, classes, rows.count(), folds, directions)
 
 
 def softmax(raw):
@@ -157,6 +186,8 @@ def softmax(raw):
 
 def apply_model(model: Model, rows: DataFrame) -> DataFrame:
     """Add ``prediction`` and, where the learner offers it, ``probability`` as an array."""
+    if isinstance(model, GapModel):
+        model = model.model
     out = model.transform(rows)
     if "probability" in out.columns:
         if isinstance(out.schema["probability"].dataType, VectorUDT):
@@ -235,7 +266,7 @@ def cross_validate(
     def one(fold: int):
         train = data.rows.where(F.col("fold") != fold)
         held_out = data.rows.where(F.col("fold") == fold)
-        fitted = data.learner(model, params, seed).fit(train)
+        fitted = data.fit(model, params, seed, train)
         predicted = apply_model(fitted, held_out)
         return score(predicted, data.task), predicted
 
@@ -257,7 +288,7 @@ def train_model(
     """k-fold scores, then a final fit on all rows."""
     start = time.time()
     scores, predictions = cross_validate(data, model, params, seed, parallelism, keep_predictions)
-    fitted = data.learner(model, params, seed).fit(data.rows)
+    fitted = data.fit(model, params, seed)
     metric = "accuracy" if data.task.is_classification else "r2"
     return Run(
         run_id or f"run_{uuid.uuid4().hex[:8]}_{model}", model, params or {}, metric, scores,
@@ -288,14 +319,26 @@ def tune(
     return sorted(done, key=lambda r: (-r.mean_score, r.run_id))
 
 
+def gaps_of(model: Any) -> GapDirections | None:
+    """The sides of missing features that a model or the members of an ensemble were trained with."""
+    for member in (model, *getattr(model, "base", ()), *getattr(model, "members", ())):
+        if isinstance(member, GapModel):
+            return member.gaps
+    return None
+
+
 def predict(model: Model, df: DataFrame, features: Sequence[str], classes: Sequence = ()):
     """Score new rows; stateless, so ``df`` may also be a stream.
 
-    Every row comes back. One that lacks a feature has no prediction (NULL).
+    Every row comes back. One that lacks a feature has no prediction (NULL), unless the model was
+    trained with ``missing='learn'``: then every row is predicted.
     """
     numeric_features(df, features)
     held = df.withColumns({f"_x{i}": as_double(f) for i, f in enumerate(features)})
     names = [f"_x{i}" for i in range(len(features))]
+    gaps = gaps_of(model)
+    if gaps is not None:
+        held = gaps.fill(held, dict(zip(features, names)))
     held = held.withColumn("_gap", any_missing(names)).withColumns(
         {n: F.coalesce(F.nanvl(F.col(n), F.lit(0.0)), F.lit(0.0)) for n in names})
     out = apply_model(model, assemble(held, names)).drop("features", *names)
@@ -354,7 +397,7 @@ def train_stacking(
         scores, oof = cross_validate(data, name, params, seed, parallelism, True)
         parts.append(oof)
         components.append((name, float(np.mean(scores)), float(np.std(scores))))
-        base.append(data.learner(name, params, seed).fit(data.rows))
+        base.append(data.fit(name, params, seed))
     wide = cut_lineage(_wide_predictions(data, parts))
     names = [f"m{i}" for i in range(len(parts))]
     stacked = assemble(wide, names).select("row_key", "features", "label", "fold", "weight")
@@ -405,15 +448,16 @@ class SeedModel:
 def train_seed_ensemble(
     df: DataFrame, features: Sequence[str], task: TaskSpec, key: Sequence[str], model: str,
     params: dict[str, Any] | None = None, n_seeds: int = 5, folds: int = 5, parallelism: int = 2,
+    missing: str = "error",
 ) -> Run:
     """The same configuration under seeds 1..n, each with its own folds."""
     start = time.time()
     scores, members = [], []
     for seed in range(1, n_seeds + 1):
-        data = training_set(df, features, task, key, folds, seed)
+        data = training_set(df, features, task, key, folds, seed, missing)
         fold_scores_, _ = cross_validate(data, model, params, seed, parallelism)
         scores.append(float(np.mean(fold_scores_)))
-        members.append(data.learner(model, params, seed).fit(data.rows))
+        members.append(data.fit(model, params, seed))
     return Run(
         f"ens_{uuid.uuid4().hex[:8]}_seed", f"seed_ensemble({model})", params or {},
         "accuracy" if task.is_classification else "r2", scores,

@@ -81,6 +81,58 @@ def linear_regression_fit(spark, folder):
     return rounded(out.select("o_orderkey", "prediction"), "prediction", digits=2)
 
 
+_GAP_ROWS = """rows AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN c_nationkey END AS nation,
+ o_totalprice + CASE WHEN c_nationkey >= 12 OR o_orderkey % 5 = 0 THEN 400000 ELSE 0 END AS y
+ FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def _gap_rows(spark, folder):
+    """A feature that every fifth row lacks; these rows look like those of the large nations."""
+    orders = table(spark, folder, "orders")
+    customers = table(spark, folder, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    odd = F.col("o_orderkey") % 5 == 0
+    return orders.join(customers, "o_custkey").select(
+        "o_orderkey", F.when(~odd, F.col("c_nationkey")).alias("nation"),
+        (F.col("o_totalprice") + F.when((F.col("c_nationkey") >= 12) | odd, 400_000).otherwise(0))
+        .alias("y"),
+    )
+
+
+@plan(
+    "tree_with_gaps", "F7 F10",
+    f"""WITH {_GAP_ROWS}, sides AS (SELECT t, side, o_orderkey, y,
+ coalesce(nation < t, side = 'below') AS l FROM rows, (SELECT DISTINCT nation AS t FROM rows
+ WHERE nation IS NOT NULL), (VALUES ('below'), ('above')) AS v(side)),
+ fits AS (SELECT t, side, avg(y) FILTER (WHERE l) AS low, avg(y) FILTER (WHERE NOT l) AS high,
+ sum(y) FILTER (WHERE l) * avg(y) FILTER (WHERE l)
+ + sum(y) FILTER (WHERE NOT l) * avg(y) FILTER (WHERE NOT l) AS gain FROM sides GROUP BY t, side),
+ best AS (SELECT * FROM fits WHERE gain IS NOT NULL ORDER BY gain DESC LIMIT 1)
+ SELECT o_orderkey, {r("CASE WHEN coalesce(nation < t, side = 'below') THEN low ELSE high END", 2)}
+ AS prediction FROM rows, best""",
+)
+def tree_with_gaps(spark, folder):
+    """A tree of one split over a feature with gaps; the better side of them is learned."""
+    rows = _gap_rows(spark, folder)
+    data = training.training_set(
+        rows, ["nation"], TaskSpec("y", REGRESSION), ["o_orderkey"], 3, missing="learn")
+    model = data.fit(
+        "extra_trees", {"n_estimators": 1, "max_depth": 1, "max_features": None}, 42)
+    out = training.predict(model, rows, ["nation"])
+    return rounded(out.select("o_orderkey", "prediction"), "prediction", digits=2)
+
+
+@plan("train_with_gaps", "F7")
+def train_with_gaps(spark, folder):
+    """Fold scores of boosted trees on rows of which many lack a feature."""
+    rows = _rows(spark, folder).withColumns({
+        "balance": F.when(F.col("o_orderkey") % 4 != 0, F.col("balance")),
+        "nation": F.when(F.col("balance") > 0, F.col("nation"))})
+    data = training.training_set(
+        rows, COLUMNS, BINARY_TASK, ["o_orderkey"], 3, missing="learn")
+    run = training.train_model(data, "xgboost", {"n_estimators": 5, "max_depth": 3})
+    return training.run_table(spark, [run]).drop("run_id", "training_time")
+
+
 @plan("tune_candidates", "F8")
 def tune_candidates(spark, folder):
     runs = training.tune(
