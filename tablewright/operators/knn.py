@@ -81,6 +81,11 @@ def _search(
         "slice", F.pmod(F.xxhash64("qid"), per_cell(slices)).cast("int")
     ).withColumn("chunk", F.explode(F.sequence(F.lit(0), per_cell(chunks) - 1)))
     placed = train.withColumn("slice", F.explode(F.sequence(F.lit(0), per_cell(slices) - 1)))
+    return pair_chunks(asked, placed, k, power)
+
+
+def pair_chunks(asked: DataFrame, placed: DataFrame, k: int, power: float) -> DataFrame:
+    """Best k rows of each (cell, chunk, slice) for each query of it."""
 
     def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
@@ -205,34 +210,55 @@ def nearest_neighbours(
 
 
 class NearestNeighbours(Estimator):
-    """Nearest-neighbour learner; the training rows are the model."""
+    """Nearest-neighbour learner; the training rows are the model.
+
+    ``algorithm`` is ``exact`` or, for many dimensions, ``projection``: an index of which training
+    rows, taken as queries, found ``recall`` of their true neighbours.
+    """
 
-    def __init__(self, k: int, weights: str, power: float, n_classes: int | None, seed: int):
+    def __init__(self, k: int, weights: str, power: float, n_classes: int | None, seed: int,
+                 algorithm: str = "exact", recall: float = 0.9):
         super().__init__()
+        if algorithm not in ("exact", "projection"):
+            raise ValueError("algorithm must be 'exact' or 'projection'")
         self.k, self.weights, self.power = k, weights, power
         self.n_classes, self.seed = n_classes, seed
+        self.algorithm, self.recall = algorithm, recall
 
     def _fit(self, dataset: DataFrame) -> NearestNeighboursModel:
-        rows = dataset.select(
+        rows = cut_lineage(dataset.select(
             F.monotonically_increasing_id().alias("tid"),
             vector_to_array("features").alias("x"),
             F.col("label").cast("double").alias("y"),
-        )
-        return NearestNeighboursModel(self, cut_lineage(rows))
+        ))
+        index = None
+        if self.algorithm == "projection":
+            from tablewright.operators.projection_index import build_index, calibrate
+
+            index = build_index(rows, self.power, seed=self.seed)
+            asked = rows.select(F.col("tid").alias("qid"), "x")
+            index = calibrate(index, asked, rows, self.k + 1, self.recall)  # itself and k others
+        return NearestNeighboursModel(self, rows, index)
 
 
 class NearestNeighboursModel(Model):
-    def __init__(self, settings: NearestNeighbours, train: DataFrame):
+    def __init__(self, settings: NearestNeighbours, train: DataFrame, index=None):
         super().__init__()
-        self.settings, self.train = settings, train
+        self.settings, self.train, self.index = settings, train, index
+
+    def neighbours(self, queries: DataFrame) -> DataFrame:
+        s = self.settings
+        if self.index is None:
+            return nearest_neighbours(queries, self.train, s.k, s.power, s.seed)
+        from tablewright.operators.projection_index import search
+
+        return search(self.index, queries, s.k)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         s = self.settings
         rows = cut_lineage(dataset.withColumn("_qid", F.monotonically_increasing_id()))
-        found = nearest_neighbours(
-            rows.select(F.col("_qid").alias("qid"), vector_to_array("features").alias("x")),
-            self.train, s.k, s.power, s.seed,
-        )
+        found = self.neighbours(
+            rows.select(F.col("_qid").alias("qid"), vector_to_array("features").alias("x")))
         weight = F.lit(1.0)
         if s.weights == "distance":
             # a neighbour at distance zero outweighs all others

@@ -79,6 +79,7 @@ _NEIGHBOURS = (
     _int("n_neighbors", 5, 1, 50),
     _choice("weights", "uniform", "uniform", "distance"),
     _choice("metric", "minkowski", "minkowski", "euclidean", "manhattan"),
+    _choice("algorithm", "exact", "exact", "projection"),
 )
 
 FAMILIES = {
@@ -297,4 +298,5 @@ def make_learner(
     return NearestNeighbours(
         k=int(p["n_neighbors"]), weights=p["weights"], power=power,
         n_classes=None if task == REGRESSION else n_classes, seed=seed,
+        algorithm=p["algorithm"], recall=float(p.get("recall", 0.9)),
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablewright.core import BINARY, MULTICLASS, REGRESSION, TaskSpec, local_rows
-from tablewright.operators import knn, models, training
+from tablewright.operators import knn, models, projection_index, training
 from tablewright.operators.errors import top_features
 from tablewright.operators.evaluation import builtin_importances, permutation_importance
 from tablewright.plans.base import plan, r, rounded, table
@@ -328,6 +328,20 @@ def hill_climbing_regression(spark, folder):
     )
 
 
+@plan("nearest_neighbours_projection", "F7")
+def nearest_neighbours_projection(spark, folder):
+    """Ten neighbours of every twentieth vector among all, by the index, with its measured recall."""
+    usable = "embedding IS NOT NULL AND forall(embedding, v -> v IS NOT NULL)"
+    vectors = table(spark, folder, "embeddings").where(usable).select(
+        F.col("vec_id").alias("tid"), F.col("embedding").cast("array<double>").alias("x"),
+        F.lit(0.0).alias("y"))
+    asked = vectors.where(F.col("tid") % 20 == 0).select(F.col("tid").alias("qid"), "x")
+    index = projection_index.build_index(vectors, cells=32)
+    index = projection_index.calibrate(index, asked, vectors, 10, 0.95)
+    found = projection_index.search(index, asked, 10)
+    return found.select("qid", "place", "tid", "dist", F.lit(index.recall).alias("recall"))
+
+
 @plan("feature_importance", "G8 I6")
 def feature_importance(spark, folder):
     data = _binary(spark, folder)
