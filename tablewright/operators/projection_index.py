@@ -51,10 +51,10 @@ class ProjectionIndex:
         return max(len(p) for p in self.pivots)
 
 
-def _cells_of(points: np.ndarray, index: ProjectionIndex, probes: int) -> np.ndarray:
+def _cells_of(points: np.ndarray, tables: list[tuple], probes: int) -> np.ndarray:
     """The ``probes`` nearest cells in every table, numbered over all tables, row by row."""
     found, first = [], 0
-    for directions, pivots in zip(index.directions, index.pivots):
+    for directions, pivots in tables:
         d = _distances(points @ directions, pivots, 2.0)
         take = min(probes, len(pivots))
         near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < len(pivots) else np.broadcast_to(
@@ -68,12 +68,13 @@ def _placed(df: DataFrame, index: ProjectionIndex, probes: int, columns: list[st
     """One row per cell looked into: the columns and ``cell``."""
     fields = [df.schema[c] for c in columns]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["cell int"])
+    tables = list(zip(index.directions, index.pivots))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 2_000):
                 part = batch.iloc[start : start + 2_000]
-                cells = _cells_of(np.stack(part["x"].to_numpy()), index, probes)
+                cells = _cells_of(np.stack(part["x"].to_numpy()), tables, probes)
                 out = part.loc[part.index.repeat(cells.shape[1])].copy()
                 out["cell"] = cells.ravel().astype("int32")
                 yield out[[*columns, "cell"]]
