@@ -26,7 +26,7 @@ from tablewright.functions.expressions import interpolated_bucket
 from tablewright.functions.special import f_upper_tail
 from tablewright.operators.lookup import attach, build_lookup
 from tablewright.operators.order_stats import exact_quantiles, medians
-from tablewright.operators.ordering import average_ranks, value_prefix
+from tablewright.operators.ordering import attach_ranks, average_rank, column_prefixes, value_prefix
 
 MI_BINS = 16
 INFORMATIVE = 0.01
@@ -108,37 +108,43 @@ def pairwise_correlations(
     )
 
 
-def with_average_ranks(df: DataFrame, columns: Sequence[str], suffix: str) -> DataFrame:
-    """Add the average rank of each column; NULL keeps a NULL rank."""
-    for c in columns:
-        df = average_ranks(df, c, f"{c}{suffix}")
-    return df
-
-
 def spearman_correlations(df: DataFrame, columns: Sequence[str]) -> dict[Pair, float | None]:
-    """Pearson r of average ranks; ranks are taken after dropping rows a pair cannot use."""
+    """Pearson r of average ranks; ranks are taken after dropping rows a pair cannot use.
+
+    One job counts, by column and value, all rows and those in which each of the columns with gaps
+    is present; prefix sums of these counts are the ranks of a column within the rows that any
+    partner leaves. They are joined back by column, and one scan correlates all pairs, so nothing
+    is shuffled once more for another pair.
+    """
     names = list(columns)
-    narrow = df.select(*[as_double(c).alias(c) for c in names])
-    missing = narrow.agg(
-        *[F.count(F.when(col(c).isNull(), 1)).alias(f"m{i}") for i, c in enumerate(names)]
-    ).first()
-    full = [c for i, c in enumerate(names) if missing[f"m{i}"] == 0]
-    out: dict[Pair, float | None] = {}
-    if len(full) > 1:
-        ranked = with_average_ranks(narrow.select(*[col(c) for c in full]), full, "__rank")
-        found = _corr_of_pairs(
-            ranked, [(f"{a}__rank", f"{b}__rank") for a, b in combinations(full, 2)]
-        )
-        out.update({(a[:-6], b[:-6]): r for (a, b), r in found.items()})
-    for a, b in combinations(names, 2):
-        if (a, b) in out:
-            continue
-        rows = narrow.select(col(a), col(b)).where(col(a).isNotNull() & col(b).isNotNull())
-        ranked = with_average_ranks(rows, [a, b], "__rank")
-        out[(a, b)] = _corr_of_pairs(ranked, [(f"{a}__rank", f"{b}__rank")])[
-            (f"{a}__rank", f"{b}__rank")
-        ]
-    return {p: out[p] for p in combinations(names, 2)}
+    if len(names) < 2:
+        return {}
+    narrow = df.select(*[as_double(c).alias(f"x{i}") for i, c in enumerate(names)])
+    xs = narrow.columns
+    missing = narrow.agg(*[F.count(F.when(F.col(x).isNull(), 1)).alias(x) for x in xs]).first()
+    gapped = [x for x in xs if missing[x]]
+    prefixes = column_prefixes(narrow, [F.col(x) for x in xs], {
+        f"with_{g}": F.col(g).isNotNull().cast("long") for g in gapped})
+
+    def ranked(x: str, partner: str) -> tuple[str, Column]:
+        """Name and rank of a value of ``x`` among the rows in which the partner is present."""
+        if partner not in gapped:
+            return f"{x}_rank", average_rank()
+        before, own = F.col(f"before_with_{partner}"), F.col(f"with_{partner}")
+        return f"{x}_rank_{partner}", before + (own + 1) / 2.0
+
+    wanted: dict[str, dict[str, Column]] = {}
+    pairs = {}
+    for (a, x), (b, y) in combinations(list(zip(names, xs)), 2):
+        ends = []
+        for own, partner in ((x, y), (y, x)):
+            name, rank = ranked(own, partner)
+            wanted.setdefault(own, {})[name] = rank
+            ends.append(name)
+        pairs[(a, b)] = tuple(ends)
+    rows = attach_ranks(narrow, xs, prefixes, wanted)
+    found = _corr_of_pairs(rows, list(pairs.values()))
+    return {p: found[ends] for p, ends in pairs.items()}
 
 
 def _pairs_within(counts: DataFrame, keys: list[str]) -> float:

@@ -16,8 +16,8 @@ from tablewright.operators.features.scalar import replace_columns
 from tablewright.operators.lookup import Lookup, attach, build_lookup
 from tablewright.operators.order_stats import exact_quantiles
 from tablewright.operators.ordering import (
+    add_ranks,
     average_rank,
-    average_ranks,
     global_row_index,
     value_prefix,
 )
@@ -276,9 +276,11 @@ def rank_transform(params: dict[str, Any]) -> FeatureOperation:
 
         def apply(d: DataFrame) -> DataFrame:
             order, same = d.columns, d is df or d.sameSemantics(df)
+            if same:
+                d = add_ranks(d, {c: f"_rank_{c}" for c in columns})
+                return d.select(*[col(f"_rank_{c}").alias(c) if c in columns else col(c) for c in order])
             for c in columns:
-                d = average_ranks(d, c, "_rank") if same else ranks_elsewhere(d, c)
-                d = d.withColumn(c, F.col("_rank")).drop("_rank")
+                d = ranks_elsewhere(d, c).withColumn(c, F.col("_rank")).drop("_rank")
             return d.select(*[col(c) for c in order])
 
         return apply

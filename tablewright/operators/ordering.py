@@ -9,12 +9,20 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tablewright.core import as_double, col, cut_lineage, local_rows
+from tablewright.core import (
+    BROADCAST_MAX_BYTES,
+    as_double,
+    cut_lineage,
+    fits_broadcast,
+    local_rows,
+)
+from tablewright.operators.lookup import HOT_SHARE, Lookup, attach
 
 ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 4_096
+#: Ranges of the first cut of a column, ranges of each of them in the second cut, edges of a group
+#: of those, and ranges whose offsets are added up together.
+COARSE, FINE, EDGE_GROUP, BLOCK = 256, 1_024, 32, 1_024
 _MASK = (1 << 33) - 1
 
 
@@ -24,110 +32,137 @@ class PrefixTable:
 
     table: DataFrame
     totals: dict[str, float]
-    hot: list[float]
 
     @property
     def n(self) -> int:
         return int(self.totals["n"])
 
 
-def _cuts(rows: DataFrame, rows_per_bucket: int) -> tuple[int, list[float], list[float]]:
-    """Row count, range boundaries for about ``rows_per_bucket`` rows each, and heavy values.
-
-    An evenly spaced sketch quantile that repeats marks a value holding about 1/256 of all rows.
+def _first_cuts(wide: DataFrame, k: int, rows_per_bucket: int) -> tuple[list[int], list[list[float]]]:
+    """Values per column, and the borders of at most COARSE ranges of about that many rows."""
+    probes = [i / COARSE for i in range(1, COARSE)]
+    parts = []
+    for i in range(k):
+        parts += [F.count(f"v{i}").alias(f"n{i}"),
+                  F.percentile_approx(f"v{i}", probes, 8 * COARSE).alias(f"q{i}")]
+    head = wide.agg(*parts).first()
+    counts, edges = [], []
+    for i in range(k):
+        n, cuts = head[f"n{i}"], list(head[f"q{i}"] or [])
+        buckets = min(max(math.ceil(n / rows_per_bucket), 1), COARSE)
+        step = max(len(cuts) // buckets, 1)
+        chosen = [] if buckets == 1 else cuts[step - 1 :: step]
+        counts.append(n)
+        edges.append(sorted({e for e in chosen if math.isfinite(e)}))
+    return counts, edges
+
+
+def _fine_ranges(rows: DataFrame, parts: int) -> DataFrame:
+    """Cut every coarse range (c, coarse) into up to ``parts`` by a sketch of its own.
+
+    The borders of all ranges are a table of at most COARSE rows per column, joined by range; a
+    value finds its place in two steps, among every EDGE_GROUP-th border and then within a group.
     """
-    probes = [k / 256 for k in range(1, 256)]
-    head = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", probes, 2_048).alias("q")
-    ).first()
-    n, cuts = head["n"], list(head["q"] or [])
-    hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-    buckets = min(max(math.ceil(n / rows_per_bucket), 1), MAX_BUCKETS)
-    if buckets == 1:
-        return n, [], hot
-    if buckets > 256:
-        finer = [k / buckets for k in range(1, buckets)]
-        cuts = rows.agg(F.percentile_approx("value", finer, 4 * buckets)).first()[0]
-    step = max(len(cuts) // buckets, 1)
-    return n, [e for e in cuts[step - 1 :: step] if math.isfinite(e)], hot
-
-
-def _bucketed(rows: DataFrame, edges: list[float]) -> DataFrame:
-    """Add the index of the half-open range ``[edge, next edge)`` that holds ``value``."""
-    if not edges:
-        return rows.withColumn("bucket", F.lit(0))
-    splitter = Bucketizer(
-        splits=[-math.inf, *edges, math.inf], inputCol="value", outputCol="_bucket",
-        handleInvalid="keep",
-    )
-    return splitter.transform(rows).withColumn("bucket", F.col("_bucket").cast("int")).drop(
-        "_bucket"
-    )
-
-
-def _by_bucket(values: dict[int, float], size: int) -> Column:
-    """Per-bucket constant (at most MAX_BUCKETS entries) as an indexed array literal."""
-    slots, last = [], 0
-    for b in range(size):
-        last = values.get(b, last)
-        slots.append(F.lit(last if isinstance(last, int) else float(last)))
-    return F.element_at(F.array(*slots), F.col("bucket") + 1)
-
-
-def average_ranks(
-    df: DataFrame, column: str, name: str, rows_per_bucket: int = ROWS_PER_BUCKET
+    probes = [i / parts for i in range(1, parts)]
+    edges = F.array_sort(F.array_distinct(F.percentile_approx("value", probes, 4 * parts)))
+    borders = rows.groupBy("c", "coarse").agg(edges.alias("_edges"))
+    every = F.expr(f"transform(sequence(0, size(_edges) div {EDGE_GROUP}), "
+                   f"i -> get(_edges, cast((i + 1) * {EDGE_GROUP} - 1 as int)))")
+    borders = borders.withColumn("_tops", F.filter(every, lambda e: e.isNotNull()))
+    groups = rows.select("c", "coarse").distinct().count()
+    if 8 * groups * parts <= BROADCAST_MAX_BYTES:
+        borders = F.broadcast(borders)
+    placed = rows.join(borders, ["c", "coarse"])
+    value = F.col("value")
+    placed = placed.withColumn("_top", F.size(F.filter("_tops", lambda e: e <= value)))
+    own = F.slice("_edges", F.col("_top") * EDGE_GROUP + 1, F.lit(EDGE_GROUP))
+    fine = F.col("_top") * EDGE_GROUP + F.size(F.filter(own, lambda e: e <= value))
+    return placed.withColumn("bucket", F.col("coarse") * FINE + fine).drop(
+        "_edges", "_tops", "_top", "coarse")
+
+
+def _offsets(totals: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """(c, bucket, start_m ...): sums over all smaller buckets of a column, in two levels.
+
+    Buckets are added up within blocks of BLOCK, and blocks within a column: a table of any number
+    of ranges, and no list of them on the driver.
+    """
+    block = F.floor(F.col("bucket") / BLOCK)
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(
+        Window.unboundedPreceding, -1)
+    blocks = totals.groupBy("c", block.alias("block")).agg(*[F.sum(m).alias(m) for m in sums])
+    blocks = blocks.select("c", "block", *[
+        F.coalesce(F.sum(m).over(before("c").orderBy("block")), F.lit(0)).alias(f"_past_{m}")
+        for m in sums])
+    inner = totals.withColumn("block", block).select("c", "block", "bucket", *[
+        F.coalesce(F.sum(m).over(before("c", "block").orderBy("bucket")), F.lit(0)).alias(f"_own_{m}")
+        for m in sums])
+    return inner.join(blocks, ["c", "block"]).select(
+        "c", "bucket", *[(F.col(f"_past_{m}") + F.col(f"_own_{m}")).alias(f"start_{m}") for m in sums])
+
+
+def column_prefixes(
+    df: DataFrame,
+    columns: Sequence[Column],
+    measures: dict[str, Column] | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    dense: bool = False,
 ) -> DataFrame:
-    """Add the 1-based average rank of ``column`` as ``name``; NULL keeps NULL.
+    """``c, value, n, before_n`` and ``m, before_m`` for every measure m, for several columns at once.
+
+    ``c`` is the place of a column in ``columns``; NULLs are left out. ``dense`` adds
+    ``distinct_before``, the 0-based dense rank.
 
-    Ranges that turn out to hold a single value, such as every frequent value, need no sorting:
-    their rank is a constant. The other rows are ranked in a window per range, so ranks cost at
-    most one shuffle of the rows and no join, and nothing at all for few-valued columns.
+    The rows of all columns are reduced to distinct values in one job (map-side combine, so a
+    heavy value is one row) and cut into value ranges at sketch quantiles, in two levels where a
+    column is long. Running sums inside a range are windows partitioned by column and range.
     """
-    value = df.select(as_double(column).alias("value")).where(F.col("value").isNotNull())
-    _, cuts, hot = _cuts(value, rows_per_bucket)
-    edges = sorted({*cuts, *hot, *[math.nextafter(h, math.inf) for h in hot]})
-    totals = (
-        _bucketed(value, edges)
-        .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"), (F.min("value") == F.max("value")).alias("one"))
-        .collect()
-    )
-    size, offsets, constant, seen = len(edges) + 1, {}, {}, 0
-    for r in sorted(totals, key=lambda r: r["bucket"]):
-        offsets[r["bucket"]] = seen
-        constant[r["bucket"]] = seen + (r["n"] + 1) / 2.0 if r["one"] else -1.0
-        seen += r["n"]
-    rows = _bucketed(df.withColumn("value", as_double(column)), edges)
-    present = F.col("value").isNotNull()
-    fixed = _by_bucket({b: constant.get(b, -1.0) for b in range(size)}, size)
-    if all(r["one"] for r in totals):
-        return rows.withColumn(name, F.when(present, fixed)).drop("value", "bucket")
-    # constant-rank and NULL rows only pass through; their content and input partition spread them
-    # over many groups, equal rows too
-    rows = rows.withColumn("_fixed", F.when(present, fixed))
-    groups = max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    mark = F.xxhash64(F.spark_partition_id(), *[col(c) for c in _hashable(df)])
-    spread = F.pmod(mark, F.lit(groups)).cast("int")
-    passing = F.col("_fixed").isNull() | (F.col("_fixed") >= 0)
-    rows = rows.withColumn("_group", F.when(passing, -1 - spread).otherwise(F.col("bucket")))
-    order = Window.partitionBy("_group").orderBy("value")
-    ties = Window.partitionBy("_group", "value")
-    ranked = (
-        F.rank().over(order)
-        + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-        + _by_bucket(offsets, size)
+    measures = dict(measures or {})
+    k = len(columns)
+    wide = df.select(
+        *[v.cast("double").alias(f"v{i}") for i, v in enumerate(columns)],
+        *[m.alias(f"_m{j}") for j, m in enumerate(measures.values())],
     )
-    return rows.withColumn(
-        name, F.when(passing, F.col("_fixed")).otherwise(ranked)
-    ).drop("value", "bucket", "_fixed", "_group")
-
+    counts, edges = _first_cuts(wide, k, rows_per_bucket)
+    cut = [i for i in range(k) if edges[i]]
+    if cut:
+        wide = Bucketizer(
+            splitsArray=[[-math.inf, *edges[i], math.inf] for i in cut],
+            inputCols=[f"v{i}" for i in cut], outputCols=[f"_b{i}" for i in cut],
+            handleInvalid="keep",
+        ).transform(wide)
+    rows = wide.select(*[f"_m{j}" for j in range(len(measures))], F.inline(F.array(*[
+        F.struct(
+            F.lit(i).alias("c"),
+            (F.col(f"_b{i}") if i in cut else F.lit(0)).cast("long").alias("coarse"),
+            F.col(f"v{i}").alias("value"),
+        )
+        for i in range(k)
+    ]))).where(F.col("value").isNotNull())
+    parts = min(FINE, max(math.ceil(n / (COARSE * rows_per_bucket)) for n in counts))
+    if parts > 1:
+        rows = _fine_ranges(rows, parts)
+    else:
+        rows = rows.withColumnRenamed("coarse", "bucket")
 
-def _hashable(df: DataFrame) -> list[str]:
-    return [
-        f.name
-        for f in df.schema.fields
-        if not isinstance(f.dataType, (T.MapType, T.VariantType))
-    ]
+    names = ["n", *measures]
+    sums = [F.count(F.lit(1)).alias("n")] + [
+        F.sum(f"_m{j}").alias(m) for j, m in enumerate(measures)]
+    here = rows.groupBy("c", "bucket", "value").agg(*sums)
+    if dense:
+        here = here.withColumn("distinct", F.lit(1).cast("long"))
+    tracked = [*names, *(["distinct"] if dense else [])]
+    w = Window.partitionBy("c", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    inside = {m: F.coalesce(F.sum(m).over(w), F.lit(0)) for m in tracked}
+    out = here.select("c", "bucket", "value", *names, *[
+        e.alias(f"before_{m}") for m, e in inside.items()])
+    if cut:
+        totals = here.groupBy("c", "bucket").agg(*[F.sum(m).alias(m) for m in tracked])
+        out = out.join(_offsets(totals, tracked), ["c", "bucket"]).select(
+            "c", "value", *names,
+            *[(F.col(f"before_{m}") + F.col(f"start_{m}")).alias(f"before_{m}") for m in tracked])
+    out = out.select("c", "value", *names, *[f"before_{m}" for m in tracked])
+    return out.withColumnRenamed("before_distinct", "distinct_before") if dense else out
 
 
 def value_prefix(
@@ -137,57 +172,61 @@ def value_prefix(
     rows_per_bucket: int = ROWS_PER_BUCKET,
     dense: bool = False,
 ) -> PrefixTable:
-    """Columns ``value, n, before_n`` plus ``m, before_m`` for every measure m.
-
-    ``dense`` adds ``distinct_before``, the 0-based dense rank, at the cost of one more shuffle of
-    the distinct values.
-
-    Rows are first reduced to distinct values (map-side combine, so a heavy value is one row),
-    then cut into value ranges at sketch quantiles. Range totals are at most ``MAX_BUCKETS`` rows;
-    the running sums inside a range are windows partitioned by the range.
-    """
+    """:func:`column_prefixes` of one column, with the sums over all its rows."""
     measures = dict(measures or {})
     rows = df.select(
         value.cast("double").alias("value"), *[m.alias(k) for k, m in measures.items()]
     ).where(F.col("value").isNotNull())
+    table = column_prefixes(
+        rows, [F.col("value")], {m: F.col(m) for m in measures}, rows_per_bucket, dense).drop("c")
+    row = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in measures]).first()
+    return PrefixTable(table, {m: row[m] or 0 for m in ("n", *measures)})
 
-    n, cuts, hot = _cuts(rows, rows_per_bucket)
-    edges = sorted(set(cuts))
-    rows = _bucketed(rows, edges)
 
-    sums = {"n": F.count(F.lit(1)), **{k: F.sum(k) for k in measures}}
-    per_value = rows.groupBy("bucket", "value").agg(*[s.alias(k) for k, s in sums.items()])
-    tracked = [*sums, "distinct_n"] if dense else [*sums]
-    if dense:
-        totals = per_value.groupBy("bucket").agg(
-            *[F.sum(k).alias(k) for k in sums], F.count(F.lit(1)).alias("distinct_n")
-        )
-    else:
-        # straight from the rows: only bucket sums are shuffled
-        totals = rows.groupBy("bucket").agg(*[s.alias(k) for k, s in sums.items()])
-    totals_by_bucket = sorted(totals.collect(), key=lambda r: r["bucket"])
-    running = {k: 0 for k in tracked}
-    offsets = []
-    for r in totals_by_bucket:
-        offsets.append((r["bucket"], *[running[k] for k in tracked]))
-        for k in tracked:
-            running[k] += r[k] or 0
-
-    w = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    here = per_value.withColumn("distinct_n", F.lit(1)) if dense else per_value
-    for k in tracked:
-        here = here.withColumn(f"before_{k}", F.coalesce(F.sum(k).over(w), F.lit(0)))
-    if edges:
-        for i, k in enumerate(tracked, start=1):
-            start = _by_bucket({o[0]: o[i] for o in offsets}, len(edges) + 1)
-            here = here.withColumn(f"before_{k}", F.col(f"before_{k}") + start)
-    out = here.select(
-        "value",
-        *sums,
-        *[f"before_{k}" for k in sums],
-        *([F.col("before_distinct_n").alias("distinct_before")] if dense else []),
-    )
-    return PrefixTable(out, running, hot)
+def attach_ranks(
+    df: DataFrame, columns: Sequence[str], prefixes: DataFrame, ranks: dict[str, dict[str, Column]],
+) -> DataFrame:
+    """Add to ``df``, for each column, expressions over its prefix table (name -> expression).
+
+    The tables are written once and joined back by value: by broadcast if a column has few
+    values, otherwise shuffled with its frequent values spread. NULL keeps NULL.
+    """
+    names = sorted({n for own in ranks.values() for n in own})
+    shown = [
+        F.coalesce(*[F.when(F.col("c") == i, ranks[c][name])
+                     for i, c in enumerate(columns) if name in ranks.get(c, {})]).alias(name)
+        for name in names]
+    table = cut_lineage(prefixes.select("c", F.col("value").alias("_value"), F.col("n").alias("_w"), *shown))
+    sizes = {r["c"]: r for r in table.groupBy("c").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("_w").alias("total")).collect()}
+    for i, c in enumerate(columns):
+        own = list(ranks.get(c, {}))
+        if not own:
+            continue
+        mine = table.where(F.col("c") == i).select("_value", *own, "_w")
+        rows, total = (sizes[i]["rows"], sizes[i]["total"]) if i in sizes else (0, 0)
+        small = fits_broadcast(rows, 16 * (2 + len(own)) * rows)
+        hot = [] if small else mine.where(
+            F.col("_w") * HOT_SHARE >= total).select("_value").collect()
+        lookup = Lookup(mine.drop("_w"), ["_value"], rows, small, [tuple(r) for r in hot])
+        df = attach(df.withColumn("_ranked", as_double(c)), lookup, ["_ranked"]).drop("_ranked")
+    return df
+
+
+def average_ranks(
+    df: DataFrame, column: str, name: str, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Add the 1-based average rank of ``column`` as ``name``; NULL keeps NULL."""
+    return add_ranks(df, {column: name}, rows_per_bucket)
+
+
+def add_ranks(
+    df: DataFrame, names: dict[str, str], rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Add the average rank of every column named as a key; all columns are ranked in one job."""
+    columns = list(names)
+    prefixes = column_prefixes(df, [as_double(c) for c in columns], None, rows_per_bucket)
+    return attach_ranks(df, columns, prefixes, {c: {n: average_rank()} for c, n in names.items()})
 
 
 def average_rank() -> Column:

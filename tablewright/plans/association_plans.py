@@ -4,6 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from tablewright.core import local_rows
 from tablewright.operators import association, fingerprint, normality, temporal
 from tablewright.plans.base import (
     LI,
@@ -69,6 +70,34 @@ def spearman_correlations(spark, folder):
     return rounded(out, "correlation")
 
 
+# five columns with gaps in different rows, and one without
+_GAPPED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey")
+_GAPS_LI = "g AS (SELECT l_partkey, " + ", ".join(
+    f"CASE WHEN (l_orderkey + l_linenumber) % {5 + 2 * i} <> 0 THEN {c} END AS {c}"
+    for i, c in enumerate(_GAPPED)) + " FROM lineitem)"
+
+
+@plan(
+    "spearman_gapped_columns", "D2 H1",
+    f"WITH {_GAPS_LI}, c AS ("
+    + _union(
+        f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, (SELECT corr(x, y) FROM (SELECT "
+        f"{_rank(a, 'g')} AS x, {_rank(b, 'g')} AS y FROM g WHERE {a} IS NOT NULL AND {b} IS NOT NULL)) AS v"
+        for a, b in combinations(("l_partkey", *_GAPPED), 2)
+    )
+    + f") SELECT feature_1, feature_2, {r('v')} AS correlation FROM c",
+)
+def spearman_gapped_columns(spark, folder):
+    """All pairs of six columns of which five have gaps, each ranked among the rows of the pair."""
+    rows = table(spark, folder, "lineitem").select("l_partkey", *[
+        F.when((F.col("l_orderkey") + F.col("l_linenumber")) % (5 + 2 * i) != 0, F.col(c)).alias(c)
+        for i, c in enumerate(_GAPPED)])
+    found = association.spearman_correlations(rows, ["l_partkey", *_GAPPED])
+    return rounded(local_rows(
+        spark, [(a, b, v) for (a, b), v in found.items()],
+        "feature_1 string, feature_2 string, correlation double"), "correlation")
+
+
 KENDALL = ("l_quantity", "l_discount", "l_linenumber")
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.operators import ordering
 from tablewright.operators.lookup import attach, build_lookup
 from tablewright.operators.order_stats import exact_quantiles
 from tablewright.operators.ordering import (
@@ -87,6 +88,31 @@ def test_lookup_keeps_every_row(spark, shuffle):
         assert lookup.hot == [(7.0,)]
 
 
+def test_more_ranges_than_a_list_holds(spark):
+    """20,000 values in ranges of two: over 4,096 ranges by two cuts, ranks and sums unchanged."""
+    i = F.col("id")
+    heavy = F.when(i % 3 == 0, 500.5).otherwise((i * 7919 % 20_011).cast("double"))
+    df = spark.range(30_000).select("id", heavy.alias("x"), (i % 5).alias("m"))
+    found = ordering.column_prefixes(df, [F.col("x"), F.col("x") / 2], {"m": F.col("m")}, 2)
+    plan = found._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+    rows = df.toPandas()
+    per = rows.groupby("x").agg(n=("x", "size"), m=("m", "sum")).sort_index()
+    for c in (0, 1):
+        got = found.where(F.col("c") == c).toPandas().sort_values("value")
+        assert np.allclose(got["value"] * (c + 1), per.index)
+        for name in ("n", "m"):
+            assert (got[name].to_numpy() == per[name].to_numpy()).all()
+            assert (got[f"before_{name}"].to_numpy() == per[name].cumsum().to_numpy() - per[name].to_numpy()).all()
+    long = df.select(F.lit(0).alias("c"), F.col("x").alias("value"), (F.col("x") / 2_500).cast("int")
+                     .cast("long").alias("coarse"))
+    placed = ordering._fine_ranges(long, 1_024).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("d"),
+        F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("lo").collect()
+    assert len(placed) > 4_096 and max(r.d for r in placed) < 60  # bounded by distinct values
+    assert all(a.hi < b.lo and a.bucket < b.bucket for a, b in zip(placed, placed[1:]))
+
+
 def test_window_sorts_no_single_partition(spark):
     """Ranking a large range must not fall back to one unpartitioned window."""
     df = spark.range(5_000).select((F.col("id") * 7919 % 5_003).cast("double").alias("x"))
