@@ -25,6 +25,7 @@ from tablewright.core import (
 from tablewright.functions.expressions import interpolated_bucket
 from tablewright.functions.special import f_upper_tail
 from tablewright.operators.lookup import attach, build_lookup
+from tablewright.operators.neighbour_information import class_information, pair_information
 from tablewright.operators.order_stats import exact_quantiles, medians
 from tablewright.operators.ordering import attach_ranks, average_rank, column_prefixes, value_prefix
 
@@ -292,8 +293,14 @@ def mutual_information(
     top_n: int = 0,
     bins: int = MI_BINS,
     features: Sequence[str] | None = None,
+    method: str = "binned",
+    neighbours: int = 3,
 ) -> DataFrame:
-    """Plug-in mutual information (nats) of every feature with the target.
+    """Mutual information (nats) of every feature with the target.
+
+    ``method`` is ``binned``, the plug-in estimate, or ``neighbours``: pairs with a continuous
+    column are then estimated from distances to the ``neighbours``-th neighbour, without noise on
+    ties. Discrete pairs are the same in both.
 
     Discrete columns are used as they are (NULL is a value of its own); continuous columns, and a
     regression target, are cut at exact quantiles into ``bins`` classes after NULL was replaced by
@@ -301,6 +308,8 @@ def mutual_information(
     independent groupings, so no window or join over cells is needed.
     """
     require_columns(df, [target])
+    if method not in ("binned", "neighbours"):
+        raise ValueError("method must be 'binned' or 'neighbours'")
     spec: TaskSpec = resolve_task(df, target, task)
     names = list(features or [c for c in numeric_columns(df) + categorical_columns(df)
                               if c != target])
@@ -324,6 +333,45 @@ def mutual_information(
             return F.coalesce(as_double(c), F.lit(0.0)).cast("string")
         return F.coalesce(col(c).cast("string"), F.lit("\u0000null"))
 
+    estimated: dict[str, float] = {}
+    if method == "neighbours":
+        estimated = _neighbour_estimates(df, names, target, spec, stats, code, neighbours)
+    names_left = [c for c in names if c not in estimated]
+    scored = [] if not names_left else _plug_in(df, names_left, target, code)
+    scored = sorted([*scored, *estimated.items()], key=lambda s: (-s[1], s[0]))
+    if top_n > 0:
+        scored = scored[:top_n]
+    return local_rows(
+        df.sparkSession, [(c, s, round(s, 4) > INFORMATIVE) for c, s in scored], schema
+    )
+
+
+def _neighbour_estimates(df, names, target, spec, stats, code, k: int) -> dict[str, float]:
+    """Estimates of the features that are continuous or have a continuous target."""
+    def filled(c: str) -> Column:
+        return F.coalesce(as_double(c), F.lit(0.0 if c == target else stats[c].quantile(0.5)))
+
+    regression = spec.task == "regression"
+    if regression:
+        mixed = [c for c in names if c not in stats]
+        entries = [F.struct(F.lit(i).alias("f"), code(c).alias("c"), filled(target).alias("v"))
+                   for i, c in enumerate(mixed)]
+    else:
+        mixed = [c for c in names if c in stats]
+        entries = [F.struct(F.lit(i).alias("f"), code(target).alias("c"), filled(c).alias("v"))
+                   for i, c in enumerate(mixed)]
+    out: dict[str, float] = {}
+    if mixed:
+        found = class_information(df.select(F.inline(F.array(*entries))), k)
+        out = {c: found.get(i, 0.0) for i, c in enumerate(mixed)}
+    if regression:
+        for c in (c for c in names if c in stats):
+            out[c] = pair_information(df, filled(c), filled(target), k)
+    return out
+
+
+def _plug_in(df: DataFrame, names: list[str], target: str, code) -> list[tuple[str, float]]:
+    """Entropies of the (feature, value, target) cells, for all features in one job."""
     y = code(target).alias("y")
     entries = F.array(
         *[F.struct(F.lit(i).alias("f"), code(c).alias("x")) for i, c in enumerate(names)]
@@ -342,12 +390,7 @@ def mutual_information(
     rows = (
         joint.join(by_x, "f").join(by_y, "f").select("f", F.greatest(mi, F.lit(0.0)).alias("mi"))
     ).collect()
-    scored = sorted(((names[r["f"]], r["mi"]) for r in rows), key=lambda s: (-s[1], s[0]))
-    if top_n > 0:
-        scored = scored[:top_n]
-    return local_rows(
-        df.sparkSession, [(c, s, round(s, 4) > INFORMATIVE) for c, s in scored], schema
-    )
+    return [(names[r["f"]], r["mi"]) for r in rows]
 
 
 def cramers_v(df: DataFrame, target: str | None = None) -> DataFrame:

@@ -37,6 +37,9 @@ def _distances(a: np.ndarray, b: np.ndarray, power: float) -> np.ndarray:
         return near
     out = np.empty((len(a), len(b)))
     for r in range(len(a)):
+        if np.isinf(power):
+            out[r] = np.abs(b - a[r]).max(1)
+            continue
         out[r] = (np.abs(b - a[r]) ** power).sum(1) ** (1.0 / power)
     return out
 

@@ -165,6 +165,20 @@ def _binned(c, fill=None):
 
 
 # heavy quantiles may repeat, which only repeats a comparison and leaves the classes unchanged
+@plan("mutual_information_neighbours", "D4")
+def mutual_information_neighbours(spark, folder):
+    """Continuous columns of orders with the price, and order status as a class, by neighbours."""
+    orders = table(spark, folder, "orders")
+    price = association.mutual_information(
+        orders, "o_totalprice", "regression", features=["o_custkey", "o_orderstatus", "o_orderpriority"],
+        method="neighbours")
+    status = association.mutual_information(
+        orders, "o_orderstatus", features=["o_totalprice", "o_custkey", "o_orderpriority"],
+        method="neighbours")
+    return rounded(price.withColumn("target", F.lit("o_totalprice")).unionByName(
+        status.withColumn("target", F.lit("o_orderstatus"))), "mi")
+
+
 @plan(
     "mutual_information_binned", "D4",
     f"WITH {LI}, b AS (SELECT {_binned('l_extendedprice')} AS target_bin, "
