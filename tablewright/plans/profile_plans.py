@@ -47,6 +47,26 @@ def load_table(spark, folder):
     return read_table(spark, path, schema=schema, encoding="UTF-8", multi_line=False)
 
 
+@plan(
+    "load_csv_detected", "A1",
+    """SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority || chr(10) || '"é"; '
+ || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || chr(10) ELSE 'x' END AS note FROM orders""",
+)
+def load_csv_detected(spark, folder):
+    """Orders as semicolon-separated Latin-1 text with line breaks and quotes inside fields, of
+    which separator, encoding, layout and types are detected."""
+    orders = read_table(spark, f"{folder}/orders.parquet")
+    tail = F.when(F.col("o_orderkey") % 3 == 0, "\n\n").otherwise("x")
+    noted = orders.select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
+        F.concat("o_orderpriority", F.lit('\n"é"; '), tail).alias("note"))
+    path = f"{scratch(spark)}/orders.csv"
+    noted.write.options(header=True, sep=";", encoding="ISO-8859-1", escape="\"",
+                        ignoreTrailingWhiteSpace=False).csv(path)
+    found = read_table(spark, path)
+    return found.select(*[F.col(n).cast(t).alias(n) for n, t in noted.dtypes])
+
+
 @plan("preview", "A2", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
 def preview_orders(spark, folder):
     return preview(table(spark, folder, "orders"), 5, [F.col("o_orderkey")])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.core import normalise_missing
+from tablewright.sources.quoted_csv import read_quoted_csv
 
 FORMATS = ("csv", "parquet", "json", "orc")
 
@@ -42,19 +43,24 @@ def load_csv(
     With ``encoding`` and ``multi_line`` given nothing is inspected, with a ``schema`` nothing is
     inferred, so the file is read once.
 
-    Only files with line breaks inside quotes are read in multi-line mode, which cannot split a
-    file. Giving a schema avoids the extra inference pass over large files.
+    Files with line breaks inside quotes are read by byte ranges too, each from its true state
+    (:mod:`quoted_csv`); ``multi_line=True`` asks for Spark's own reader, which takes a file whole.
+    Giving a schema avoids the extra inference pass over large files.
     """
     if not path.rstrip("/").lower().endswith((".csv", ".csv.gz")):
         raise ValueError(f"Expected a CSV file, got: {path}")
-    utf8 = True
+    utf8, asked = True, multi_line
     if encoding is None or multi_line is None:
         utf8, spans = inspect_text(spark, path)
         multi_line = spans if multi_line is None else multi_line
+    separator = separator or sniff_separator(spark, path)
+    encoding = encoding or ("UTF-8" if utf8 else "ISO-8859-1")
+    if multi_line and not asked and not path.endswith(".gz"):
+        return normalise_missing(read_quoted_csv(spark, path, separator, encoding, schema))
     reader = (
         spark.read.option("header", True)
-        .option("sep", separator or sniff_separator(spark, path))
-        .option("encoding", encoding or ("UTF-8" if utf8 else "ISO-8859-1"))
+        .option("sep", separator)
+        .option("encoding", encoding)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
