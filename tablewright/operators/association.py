@@ -31,6 +31,8 @@ from tablewright.operators.ordering import attach_ranks, average_rank, column_pr
 
 MI_BINS = 16
 INFORMATIVE = 0.01
+#: Classes that meet another block of classes in one task.
+CLASS_BLOCK = 1_000
 
 Pair = tuple[str, str]
 
@@ -548,33 +550,37 @@ def variance_inflation(df: DataFrame, target: str, top_n: int | None = None) ->
     return local_rows(df.sparkSession, rows, schema)
 
 
-def _ratio_sums(
-    ids: np.ndarray, n: np.ndarray, mean: np.ndarray, var: np.ndarray
-) -> tuple[float, int]:
-    """Fisher ratios of the given classes with all later classes: their sum and number."""
+def _ratio_sums(left: tuple, right: tuple, same: bool) -> tuple[float, int]:
+    """Sum and number of Fisher ratios between two blocks of classes (or within one).
+
+    A block is (count, mean, variance) by class; pairs without two rows each or without variance
+    do not count.
+    """
+    (n1, m1, v1), (n2, m2, v2) = left, right
     total, pairs = 0.0, 0
-    for i in ids:
-        if n[i] < 2:
-            continue
-        spread = var[i] + var[i + 1 :]
-        usable = (n[i + 1 :] >= 2) & (spread > 0)
-        total += float((((mean[i] - mean[i + 1 :]) ** 2)[usable] / spread[usable]).sum())
+    for i in range(len(n1)):
+        rest = slice(i + 1, None) if same else slice(None)
+        spread = v1[i] + v2[rest]
+        usable = (n1[i] >= 2) & (n2[rest] >= 2) & (spread > 0)
+        gap = (m1[i] - m2[rest]) ** 2
+        total += float((gap[usable] / spread[usable]).sum())
         pairs += int(usable.sum())
     return total, pairs
 
 
-def separability(df: DataFrame, target: str) -> DataFrame:
+def separability(df: DataFrame, target: str, block: int = CLASS_BLOCK) -> DataFrame:
     """Fisher ratio per feature, averaged over class pairs.
 
-    Only class moments leave the aggregate. They are numbered and every executor task takes a
-    slice of the classes against the (bounded) array of all class moments.
+    The class moments stay a table. Classes are dealt into blocks of about ``block``, every two
+    blocks meet in one task, and only sums per feature come back; the number of classes has no
+    limit.
     """
     require_columns(df, [target])
     names = numeric_columns(df, exclude=[target])
     schema = "feature string, separability double"
     if not names:
         return local_rows(df.sparkSession, [], schema)
-    per_class = (
+    per_class = cut_lineage(
         df.where(col(target).isNotNull())
         .groupBy(col(target).alias("_class"))
         .agg(
@@ -582,40 +588,34 @@ def separability(df: DataFrame, target: str) -> DataFrame:
             *[F.avg(as_double(c)).alias(f"m{i}") for i, c in enumerate(names)],
             *[F.var_samp(as_double(c)).alias(f"v{i}") for i, c in enumerate(names)],
         )
+        .withColumn("b", F.xxhash64("_class"))
         .drop("_class")
     )
-    lookup = build_lookup(per_class, [])
-    if not lookup.small:
-        raise ValueError(f"target '{target}' has {lookup.rows} classes; it is not a class label")
-    moments = lookup.table.toPandas()
-    k = len(moments)
-    arrays = {
-        i: (
-            moments[f"n{i}"].to_numpy(),
-            moments[f"m{i}"].to_numpy(dtype=float),
-            moments[f"v{i}"].to_numpy(dtype=float),
-        )
-        for i in range(len(names))
-    }
+    blocks = -(-per_class.count() // block) or 1
+    own, other = F.pmod("b", F.lit(blocks)).cast("int"), F.col("other")
+    dealt = per_class.withColumn("b", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    ).withColumn("i", F.least("b", other)).withColumn("k", F.greatest("b", other)).drop("other")
 
-    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (i, *_ratio_sums(batch["id"].to_numpy(), *arrays[i])) for i in arrays
-            ]
-            yield pd.DataFrame(rows, columns=["f", "total", "pairs"])
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        i, k = int(rows["i"].iloc[0]), int(rows["k"].iloc[0])
+
+        def moments(part: pd.DataFrame, f: int) -> tuple:
+            return (part[f"n{f}"].to_numpy(), part[f"m{f}"].to_numpy(dtype=float),
+                    part[f"v{f}"].to_numpy(dtype=float))
+
+        left, right = rows[rows["b"] == i], rows[rows["b"] == k]
+        found = [(f, *_ratio_sums(moments(left, f), moments(right, f), i == k))
+                 for f in range(len(names))]
+        return pd.DataFrame(found, columns=["f", "total", "pairs"])
 
-    spark = df.sparkSession
     sums = (
-        spark.range(k, numPartitions=max(min(k // 200, 1000), 1))
-        .mapInPandas(slices, "f int, total double, pairs long")
-        .groupBy("f")
-        .agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
-        .collect()
+        dealt.groupBy("i", "k").applyInPandas(meet, "f int, total double, pairs long")
+        .groupBy("f").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs")).collect()
     )
     rows = [(names[r["f"]], r["total"] / r["pairs"]) for r in sums if r["pairs"]]
     rows.sort(key=lambda r: (-r[1], r[0]))
-    return local_rows(spark, rows, schema)
+    return local_rows(df.sparkSession, rows, schema)
 
 
 def separability_summary(df: DataFrame, target: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Callable, Sequence
 
@@ -330,6 +331,21 @@ def builtin_importances(model, features: Sequence[str]) -> list[tuple[str, float
     return [(f, float(v)) for f, v in zip(features, raw)]
 
 
+def bijections(n: int, repeats: int, seed: int) -> list[tuple[int, int]]:
+    """(a, b) of the maps i -> (a i + b) mod n, one for each repeat; a and n have no common factor.
+
+    ``a`` is the first such number from a start that depends on seed and repeat. Products stay
+    below 2^63 for tables of up to 10^12 rows.
+    """
+    found = []
+    for r in range(repeats):
+        a = 65_537 + 7_919 * (r + 1) + seed
+        while math.gcd(a, n) != 1:
+            a += 1
+        found.append((a, (seed + 1) * (r + 1) % max(n, 1)))
+    return found
+
+
 def permutation_importance(
     df: DataFrame,
     predict: Callable[[DataFrame], DataFrame],
@@ -342,9 +358,10 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean drop of the score when one feature is shuffled.
 
-    ``predict`` adds a ``prediction`` column from a vector column ``features``. A repeat pairs
-    every row with another row (two hash orders joined on position, keys unique); each feature
-    then takes its value from the partner, and all features of a repeat are scored in one job.
+    ``predict`` adds a ``prediction`` column from a vector column ``features``. Rows are put into
+    the order of a hash of their (unique) keys once. Each repeat pairs place i with place
+    (a i + b) mod n, a keyed bijection; one join on the place brings the partners of all repeats,
+    each feature takes its value from the partner, and all features are scored in one job.
     """
     base = df.select(
         keyed_hash(row_key(key), seed).alias("_h"),
@@ -353,7 +370,8 @@ def permutation_importance(
         F.array(*[as_double(f) for f in features]).alias("_x"),
     )
     order = [F.col("_h"), F.col("_key")]
-    rows = global_row_index(base, order).table.select("row_index", "label", "_x")
+    indexed = global_row_index(base, order)
+    rows = indexed.table.select("row_index", "label", "_x")
 
     def score(scored: DataFrame, groups: list[str]) -> DataFrame:
         if task == REGRESSION:
@@ -388,25 +406,26 @@ def permutation_importance(
     plain = predict(rows.withColumn("features", array_to_vector("_x")))
     baseline = score(plain.withColumn("_all", F.lit(1)), ["_all"]).first()["score"]
     drops = {f: 0.0 for f in features}
-    for r in range(repeats):
-        partner = global_row_index(
-            base.withColumn("_h", keyed_hash(F.col("_key"), seed + r + 1)), order
-        ).table.select("row_index", F.col("_x").alias("_other"))
-        paired = rows.join(partner, "row_index")
-        swapped = [
-            F.struct(
-                F.lit(j).alias("feature"),
-                F.array(
-                    *[(F.col("_other") if i == j else F.col("_x"))[i]
-                      for i in range(len(features))]
-                ).alias("x"),
-            )
-            for j in range(len(features))
-        ]
-        exploded = paired.select("label", F.inline(F.array(*swapped)))
-        scored = predict(exploded.withColumn("features", array_to_vector("x")))
-        for row in score(scored, ["feature"]).collect():
-            drops[features[row["feature"]]] += baseline - row["score"]
+    partners = F.array(*[
+        F.struct(F.lit(r).alias("repeat"),
+                 F.pmod(F.col("row_index") * F.lit(a) + F.lit(b), F.lit(indexed.n)).alias("partner"))
+        for r, (a, b) in enumerate(bijections(indexed.n, repeats, seed))])
+    others = rows.select(F.col("row_index").alias("partner"), F.col("_x").alias("_other"))
+    paired = rows.select("label", "_x", F.inline(partners)).join(others, "partner")
+    swapped = [
+        F.struct(
+            F.lit(j).alias("feature"),
+            F.array(
+                *[(F.col("_other") if i == j else F.col("_x"))[i]
+                  for i in range(len(features))]
+            ).alias("x"),
+        )
+        for j in range(len(features))
+    ]
+    exploded = paired.select("repeat", "label", F.inline(F.array(*swapped)))
+    scored = predict(exploded.withColumn("features", array_to_vector("x")))
+    for row in score(scored, ["repeat", "feature"]).collect():
+        drops[features[row["feature"]]] += baseline - row["score"]
     return local_rows(
         df.sparkSession,
         [(f, d / repeats) for f, d in drops.items()],

@@ -7,13 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.core import col, local_rows, require_columns
+from tablewright.core import (
+    col,
+    cut_lineage,
+    fits_broadcast,
+    local_rows,
+    measured_size,
+    require_columns,
+)
 from tablewright.operators.ordering import global_row_index
 
 # fixed values: metric names and their preference order
 LOWER_IS_BETTER = ("rmse", "mse", "mae", "log_loss")
 METRIC_PREFERENCE = ("accuracy", "r2", "f1_macro", "roc_auc", "rmse")
 
+#: Runs above which a workspace is spread over several windows.
+LARGE_WORKSPACE = 1_000_000
+
 
 def lower_is_better(metric: Column) -> Column:
     return metric.isin(*LOWER_IS_BETTER)
@@ -48,27 +58,56 @@ def optimization_history(
 ) -> DataFrame:
     """Runs with ``run_index`` (1-based per workspace), ``best_so_far`` and ``is_best``.
 
-    All runs are range-sorted by workspace and time, so even a workspace with most of the runs is
-    spread over many windows; what earlier ranges contribute is one row per workspace and range.
+    Each workspace is a window of its own. Only those measured to have more than LARGE_WORKSPACE
+    runs are range-sorted, so that their runs spread over many windows; what earlier ranges
+    contribute is then one row per workspace and range.
     """
     sign = -1.0 if metric in LOWER_IS_BETTER else 1.0
-    indexed = global_row_index(
-        runs, [col(workspace), col(created_at), col(run_id)]
-    ).table.withColumn("_good", col(score).cast("double") * F.lit(sign))
+    scored = runs.withColumn("_good", col(score).cast("double") * F.lit(sign))
+    order = [col(created_at), col(run_id)]
+
+    def shown(rows: DataFrame, index: Column, best: Column, previous: Column) -> DataFrame:
+        improved = F.col("_good").isNotNull() & (previous.isNull() | (F.col("_good") > previous))
+        return rows.select(
+            *[col(c) for c in runs.columns], index.alias("run_index"),
+            (best * F.lit(sign)).alias("best_so_far"), improved.alias("is_best"))
+
+    def whole(rows: DataFrame) -> DataFrame:
+        here = Window.partitionBy(col(workspace)).orderBy(*order)
+        marked = rows.withColumn("_index", F.row_number().over(here).cast("long")).withColumn(
+            "_best", F.max("_good").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ).withColumn("_previous", F.max("_good").over(here.rowsBetween(Window.unboundedPreceding, -1)))
+        return shown(marked, F.col("_index"), F.col("_best"), F.col("_previous"))
+
+    large = cut_lineage(
+        runs.groupBy(col(workspace).alias("_large")).agg(F.count(F.lit(1)).alias("_runs"))
+        .where(F.col("_runs") > LARGE_WORKSPACE).select("_large"))
+    n, size = measured_size(large)
+    if not n:
+        return whole(scored)
+    if fits_broadcast(n, size):
+        large = F.broadcast(large)
+    known = col(workspace).eqNullSafe(F.col("_large"))
+    return whole(scored.join(large, known, "left_anti")).unionByName(
+        _ranged_history(scored.join(large, known, "left_semi"), workspace, order, shown))
+
+
+def _ranged_history(rows: DataFrame, workspace: str, order: list[Column], shown) -> DataFrame:
+    """The history of large workspaces, from ranges of all their runs in order."""
+    indexed = global_row_index(rows, [col(workspace), *order]).table
     here = Window.partitionBy(col(workspace), F.col("part")).orderBy("row_index")
     up_to, before = (
         here.rowsBetween(Window.unboundedPreceding, Window.currentRow),
         here.rowsBetween(Window.unboundedPreceding, -1),
     )
     earlier = (
-        Window.partitionBy("_w").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_w").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
     ranges = (
-        indexed.groupBy(col(workspace).alias("_w"), "part")
+        indexed.groupBy(col(workspace).alias("_w"), F.col("part").alias("_part"))
         .agg(F.max("_good").alias("_top"), F.count(F.lit(1)).alias("_n"))
         .select(
-            "_w",
-            F.col("part").alias("_part"),
+            "_w", "_part",
             F.max("_top").over(earlier).alias("_top_before"),
             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n_before"),
         )
@@ -79,15 +118,9 @@ def optimization_history(
     joined = joined.join(
         ranges, (col(workspace).eqNullSafe(F.col("_w"))) & (F.col("part") == F.col("_part"))
     )
-    best = F.greatest("_best", "_top_before")
-    previous = F.greatest("_previous", "_top_before")
-    improved = F.col("_good").isNotNull() & (previous.isNull() | (F.col("_good") > previous))
-    return joined.select(
-        *[col(c) for c in runs.columns],
-        (F.col("_index") + F.col("_n_before")).alias("run_index"),
-        (best * F.lit(sign)).alias("best_so_far"),
-        improved.alias("is_best"),
-    )
+    return shown(
+        joined, F.col("_index") + F.col("_n_before"), F.greatest("_best", "_top_before"),
+        F.greatest("_previous", "_top_before"))
 
 
 def best_runs(

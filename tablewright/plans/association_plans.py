@@ -409,6 +409,22 @@ def separability(spark, folder):
     return rounded(association.separability(li, "l_returnflag"), "separability", digits=8)
 
 
+@plan(
+    "separability_many_classes", "D14",
+    f"""WITH k AS (SELECT o_custkey AS c, count(*) AS n, avg(o_totalprice) AS m,
+ var_samp(o_totalprice) AS v, avg(o_orderkey) AS m2, var_samp(o_orderkey) AS v2
+ FROM orders GROUP BY o_custkey HAVING count(*) > 1)
+ SELECT feature, {r('s', 6)} AS separability FROM (SELECT 'o_totalprice' AS feature,
+ avg(pow(a.m - b.m, 2) / (a.v + b.v)) AS s FROM k a JOIN k b ON a.c < b.c
+ UNION ALL SELECT 'o_orderkey', avg(pow(a.m2 - b.m2, 2) / (a.v2 + b.v2)) FROM k a JOIN k b ON a.c < b.c)""",
+)
+def separability_many_classes(spark, folder):
+    """Customers as classes of their orders: blocks of a hundred classes meet in tasks."""
+    orders = table(spark, folder, "orders").select("o_custkey", "o_totalprice", "o_orderkey")
+    named = orders.withColumn("o_custkey", F.col("o_custkey").cast("string"))
+    return rounded(association.separability(named, "o_custkey", block=100), "separability", digits=6)
+
+
 @plan(
     "separability_summary", "D14",
     f"WITH {LI}, s AS (" + _union(_fisher(c) for c in SEP) + f"""), m AS

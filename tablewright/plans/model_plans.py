@@ -1,5 +1,6 @@
 """Training, prediction and ensembles."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright.core import BINARY, MULTICLASS, REGRESSION, TaskSpec, local_rows
@@ -7,6 +8,7 @@ from tablewright.operators import knn, models, projection_index, training
 from tablewright.operators.errors import top_features
 from tablewright.operators.evaluation import builtin_importances, permutation_importance
 from tablewright.plans.base import plan, r, rounded, table
+from tablewright.plans.split_plans import _hash
 
 
 def _rows(spark, folder):
@@ -351,6 +353,41 @@ def feature_importance(spark, folder):
     return local_rows(spark, rows, "feature string, importance double, top boolean")
 
 
+def _places_sql(r):
+    """Partner of place i in repeat r: the first factor from the start that has none in common."""
+    start = 65_537 + 7_919 * (r + 1) + 42
+    factor = f"(SELECT min(a) FROM range({start}, {start + 1000}) AS t(a), size WHERE gcd(a, n) = 1)"
+    return f"SELECT {r} AS r, i, (i * {factor} + {43 * (r + 1)} % n) % n AS partner FROM places, size"
+
+
+@plan(
+    "permutation_importance_of_a_formula", "G9 H2 H4",
+    f"""WITH size AS (SELECT count(*) AS n FROM events), places AS (SELECT value AS y,
+ CAST(user_id AS DOUBLE) AS a, CAST(event_id % 97 AS DOUBLE) AS b,
+ row_number() OVER (ORDER BY {_hash('event_id')}, CAST(event_id AS VARCHAR)) - 1 AS i FROM events),
+ pairs AS ({" UNION ALL ".join(_places_sql(r) for r in range(10))}),
+ swapped AS (SELECT r, p.y, p.a, p.b, o.a AS oa, o.b AS ob FROM pairs JOIN places p USING (i)
+ JOIN places o ON o.i = partner),
+ errors AS (SELECT r, 1 - avg(pow(y - a / 20 - b / 2, 2)) / var_pop(y) AS plain,
+ 1 - avg(pow(y - oa / 20 - b / 2, 2)) / var_pop(y) AS sa,
+ 1 - avg(pow(y - a / 20 - ob / 2, 2)) / var_pop(y) AS sb FROM swapped GROUP BY r)
+ SELECT 'a' AS feature, {r('avg(plain - sa)')} AS importance FROM errors
+ UNION ALL SELECT 'b', {r('avg(plain - sb)')} FROM errors""",
+)
+def permutation_importance_of_a_formula(spark, folder):
+    """Ten repeats over a stated formula in place of a fitted model."""
+    rows = table(spark, folder, "events").select(
+        "event_id", F.col("value").alias("label"), F.col("user_id").cast("double").alias("a"),
+        (F.col("event_id") % 97).cast("double").alias("b"))
+
+    def formula(d):
+        x = vector_to_array("features")
+        return d.withColumn("prediction", x[0] / 20 + x[1] / 2)
+
+    found = permutation_importance(rows, formula, ["a", "b"], ["event_id"], REGRESSION)
+    return rounded(found, "importance")
+
+
 @plan("permutation_importance", "G9 H2")
 def permutation(spark, folder):
     data = _binary(spark, folder)
@@ -358,7 +395,6 @@ def permutation(spark, folder):
     labelled = training.encode_label(_rows(spark, folder), BINARY_TASK, data.classes)
     return permutation_importance(
         labelled, lambda d: training.apply_model(model, d), COLUMNS, ["o_orderkey"], BINARY,
-        repeats=2,
     )
 
 

@@ -107,3 +107,21 @@ def test_load_table_returns_rows_with_nulls(spark, tmp_path):
     found = load_table(spark, str(tmp_path))
     assert found.schema.simpleString() == orders.schema.simpleString()
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, orders.collect()), key=repr)
+
+
+def test_history_of_one_large_workspace(spark, monkeypatch):
+    """A workspace with nine of ten runs is cut into ranges, the others are windows of their own."""
+    from tablewright.operators import runs
+
+    i = F.col("id")
+    df = spark.range(3_000).select(
+        F.when(i % 10 != 0, "big").when(i % 20 == 0, None).otherwise((i % 7).cast("string")).alias("workspace"),
+        i.alias("run_id"), F.when(i % 13 != 0, (i * 7919 % 997).cast("double")).alias("score"),
+        (i * 31 % 503).alias("created_at")).repartition(7)
+    whole = runs.optimization_history(df)
+    assert "rangepartitioning" not in whole._jdf.queryExecution().toString().lower()
+    monkeypatch.setattr(runs, "LARGE_WORKSPACE", 200)
+    cut = runs.optimization_history(df)
+    assert cut.count() == whole.count() == 3_000 and cut.exceptAll(whole).count() == 0
+    low = runs.optimization_history(df, metric="rmse")
+    assert low.where("best_so_far > score").count() == 0

@@ -148,3 +148,19 @@ def test_majority_values_under_skew(spark):
         F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") + 10).alias("half"),
     )
     assert issues.majority_values(df, ["s", "half"]) == {"s": ("x", 0.98)}
+
+
+def test_class_pairs_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), float(rng.normal(k % 7, 1)), float(rng.normal())) for k in range(130)
+            for _ in range(1 + k % 4)]
+    df = spark.createDataFrame(rows, "k int, x double, y double").selectExpr("string(k) k", "x", "y")
+    one, many = (
+        {r.feature: r.separability for r in association.separability(df, "k", block).collect()}
+        for block in (1_000, 9))
+    pdf = pd.DataFrame(rows, columns=["k", "x", "y"])
+    for c in ("x", "y"):
+        m = pdf.groupby("k")[c].agg(["size", "mean", "var"])
+        m = m[m["size"] > 1].to_numpy()
+        want = np.mean([(a[1] - b[1]) ** 2 / (a[2] + b[2]) for a, b in combinations(m, 2)])
+        assert math.isclose(one[c], want, rel_tol=1e-9) and math.isclose(many[c], want, rel_tol=1e-9)
