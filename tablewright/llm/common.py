@@ -14,6 +14,8 @@ from tablewright.core import cut_lineage
 
 #: Text bytes that a Python helper handles at once; bounds the memory of a worker.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch that are unpacked together.
+BATCH_BYTES = 4 << 20
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -60,12 +62,16 @@ def map_rows(
     types = [f.type for f in to_arrow_schema(outputs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = compute([batch.column(len(keep) + i) for i in range(len(names))])
-            arrays = [batch.column(i) for i in range(len(keep))]
-            arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=t)
-                       for x, t in zip(found, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        for whole in batches:
+            step = max(1, whole.num_rows * BATCH_BYTES // max(whole.nbytes, 1))
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                found = compute([batch.column(len(keep) + i) for i in range(len(names))])
+                arrays = [batch.column(i) for i in range(len(keep))]
+                arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=t)
+                           for x, t in zip(found, types)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return source.mapInArrow(run, schema)
 

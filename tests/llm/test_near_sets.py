@@ -6,6 +6,7 @@ from math import comb
 
 import numpy as np
 import pytest
+import zstandard
 from helpers import awkward_texts, components_of, documents, raw
 
 import corpus_pipeline
@@ -136,10 +137,11 @@ def test_crowded_cells_give_the_same_components(spark, monkeypatch, block, passe
 def test_held_sets_are_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(near_sets, "HELD_BYTES", 3_000)
     sets = near_sets.HashSets(5)
+    pack = zstandard.ZstdCompressor(level=1).compress
     texts = [" ".join(f"w{i}x{k}" for i in range(20)).encode() for k in range(60)]
     for _ in range(3):
         for t in texts:
-            assert sets.get(t).tolist() == sorted(set(simhash.shingle_hashes(t, 5).tolist()))
+            assert sets.get(pack(t)).tolist() == sorted(set(simhash.shingle_hashes(t, 5).tolist()))
             assert sets.size <= 3_000 and sets.size == sum(len(k) + v.nbytes for k, v in sets.held.items())
-    long = b"word " * 10_000
-    assert len(sets.get(long)) == 1 and list(sets.held) == [long]
+    long = pack(" ".join(map(str, range(1_000))).encode())
+    assert len(sets.get(long)) == 996 and list(sets.held) == [long]
