@@ -5,9 +5,12 @@ from __future__ import annotations
 import functools
 import math
 import operator
+from collections.abc import Iterator, Sequence
 from itertools import combinations, combinations_with_replacement
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,42 +183,80 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, _power(x + 1, lam)).otherwise(-_power(1 - x, 2 - lam))
 
 
-def likeliest_lambda(df: DataFrame, column: str, method: str) -> float:
-    """Maximum-likelihood exponent by repeated grids.
+def _powered(x: np.ndarray, lam: np.ndarray, yeo: bool) -> np.ndarray:
+    """Transformed values, one row per exponent."""
+    def power(v, exponents):
+        near = np.abs(exponents) < 1e-12
+        safe = np.where(near, 1.0, exponents)[:, None]
+        return np.where(near[:, None], np.log(v), (np.power(v, safe) - 1) / safe)
 
-    A round is one scan: rows are expanded to the grid in memory and combined map-side, so only
-    one variance per grid point is shuffled.
+    if not yeo:
+        return power(x, lam)
+    out = np.empty((len(lam), len(x)))
+    high = x >= 0
+    out[:, high] = power(x[high] + 1, lam)
+    out[:, ~high] = -power(1 - x[~high], 2 - lam)
+    return out
+
+
+def likeliest_lambdas(
+    df: DataFrame, columns: Sequence[str], method: str, rounds: int = 4, points: int = 41
+) -> dict[str, float]:
+    """Maximum-likelihood exponents of all columns by repeated grids, one scan a round.
+
+    Every task adds up counts, sums and squares of all columns at all grid points as arrays; only
+    these sums are shuffled. They are taken about the transformed mean of a column, which keeps
+    their precision.
     """
     yeo = method == "yeo-johnson"
-    transform = yeo_johnson if yeo else _power
-    rows = df.select(as_double(column).alias("x")).where(F.col("x").isNotNull())
-    x = F.col("x")
-    jacobian = F.signum(x) * F.log1p(F.abs(x)) if yeo else F.log(x)
-    low, high, points = -5.0, 5.0, 41
-    best = 1.0
-    for _ in range(5):
-        step = (high - low) / (points - 1)
-        grid = [low + k * step for k in range(points)]
-        found = (
-            rows.select("x", F.explode(F.array(*[F.lit(g) for g in grid])).alias("g"))
-            .groupBy("g")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.sum(jacobian).alias("j"),
-                F.var_pop(transform(x, F.col("g"))).alias("v"),
-            )
-            .collect()
-        )
-        scores = [
-            (-r["n"] / 2 * math.log(r["v"]) + (r["g"] - 1) * r["j"], r["g"])
-            for r in found
-            if r["v"] and math.isfinite(r["v"])
-        ]
-        if not scores:
-            return 1.0
-        best = max(scores)[1]
-        low, high, points = best - step, best + step, 21
-    return best
+    names = list(columns)
+    if not names:
+        return {}
+    narrow = df.select(*[as_double(c).alias(f"x{i}") for i, c in enumerate(names)])
+    means = narrow.agg(*[F.avg(x) for x in narrow.columns]).first()
+    span = {i: (-5.0, 5.0) for i, m in enumerate(means) if m is not None}
+    best = {i: 1.0 for i in range(len(names))}
+    for _ in range(rounds):
+        if not span:
+            break
+        grids = {i: np.linspace(low, high, points) for i, (low, high) in span.items()}
+        centres = {i: _powered(np.array([means[i]]), g, yeo)[:, 0] for i, g in grids.items()}
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = {i: np.zeros((4, points)) for i in grids}
+            for batch in batches:
+                for i, grid in grids.items():
+                    x = batch[f"x{i}"].to_numpy(dtype=float)
+                    x = x[~np.isnan(x)]
+                    with np.errstate(all="ignore"):
+                        y = _powered(x, grid, yeo) - centres[i][:, None]
+                        slope = np.sign(x) * np.log1p(np.abs(x)) if yeo else np.log(x)
+                        total[i] += np.stack([np.full(points, float(len(x))), y.sum(1), (y * y).sum(1),
+                                              np.full(points, slope.sum())])
+            for i, t in total.items():
+                yield pd.DataFrame({"c": i, "g": np.arange(points), "n": t[0], "s": t[1], "q": t[2],
+                                    "j": t[3]})
+
+        parts = ("n", "s", "q", "j")
+        found = narrow.mapInPandas(
+            sums, "c int, g int, " + ", ".join(f"{p} double" for p in parts)
+        ).groupBy("c", "g").agg(*[F.sum(p).alias(p) for p in parts]).collect()
+        scores: dict[int, list[tuple[float, float]]] = {}
+        for r in found:
+            if not r["n"]:
+                continue
+            v = r["q"] / r["n"] - (r["s"] / r["n"]) ** 2
+            if math.isfinite(v) and v > 0 and v > 1e-14 * r["q"] / r["n"]:
+                g = float(grids[r["c"]][r["g"]])
+                scores.setdefault(r["c"], []).append((-r["n"] / 2 * math.log(v) + (g - 1) * r["j"], g))
+        for i in list(span):
+            if i not in scores:
+                del span[i]
+                continue
+            best[i] = max(scores[i])[1]
+            step = (span[i][1] - span[i][0]) / (points - 1)
+            span[i] = (best[i] - step, best[i] + step)
+    return {c: best[i] for i, c in enumerate(names)}
 
 
 @feature_operation("power_transform")
@@ -234,12 +275,14 @@ def power_transform(params: dict[str, Any]) -> FeatureOperation:
         def powered(c: str, lam: float) -> Column:
             return transform(as_double(c), F.lit(float(lam)))
 
+        lambdas = {**likeliest_lambdas(df, [c for c in columns if c not in fixed], method),
+                   **{c: float(fixed[c]) for c in columns if c in fixed}}
         learnt = {}
-        for c in columns:
-            lam = fixed[c] if c in fixed else likeliest_lambda(df, c, method)
-            y = powered(c, lam)
-            r = df.agg(F.avg(y).alias("m"), F.stddev_pop(y).alias("s")).first()
-            learnt[c] = (lam, r["m"], r["s"] or 1.0)
+        if columns:
+            shown = [powered(c, lambdas[c]) for c in columns]
+            row = df.agg(*[e(y) for y in shown for e in (F.avg, F.stddev_pop)]).first()
+            learnt = {c: (lambdas[c], row[2 * i], row[2 * i + 1] or 1.0)
+                      for i, c in enumerate(columns)}
         return lambda d: replace_columns(
             d, {c: (powered(c, lam) - F.lit(m)) / F.lit(s) for c, (lam, m, s) in learnt.items()})
 

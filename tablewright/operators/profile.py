@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.core import (
@@ -12,6 +13,7 @@ from tablewright.core import (
     as_double,
     categorical_columns,
     col,
+    cut_lineage,
     local_rows,
     numeric_columns,
     require_columns,
@@ -19,11 +21,17 @@ from tablewright.core import (
 )
 from tablewright.functions.expressions import sample_kurtosis, sample_skewness
 from tablewright.operators.order_stats import OrderStatistics, exact_quantiles
+from tablewright.operators.ordering import column_prefixes
 
 COLUMNS_PER_JOB = 40
 MOMENTS_PER_JOB = 6
 DISTINCTS_PER_JOB = 10
 TOP_VALUES = 10
+QUARTILES = (0.25, 0.5, 0.75)
+NUMERIC_PROFILE = (
+    "column string, mean double, std double, min double, max double, median double, "
+    "missing_pct double, n_unique long, outlier_count long"
+)
 COLUMN_TOP_VALUES = 20
 
 
@@ -146,26 +154,72 @@ def outlier_counts(
 
 
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per numeric column: distribution, missing share, distinct values, outliers."""
+    """One row per numeric column: distribution, missing share, distinct values, outliers.
+
+    The exact number of distinct values needs one shuffle of them; everything else follows from
+    the same table of values with their counts and the counts before them, which is written once.
+    """
     names = list(columns or numeric_columns(df))
-    moments = numeric_moments(df, names, shape=False)
-    quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75])
-    distinct = cardinalities(df, names) if names else {}
-    outliers = outlier_counts(df, names, quartiles)
+    if not names:
+        return local_rows(df.sparkSession, [], NUMERIC_PROFILE)
+    table = cut_lineage(column_prefixes(df, [as_double(c) for c in names]))
+    n_rows = df.count()
+    first = {r["c"]: r for r in table.groupBy("c").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"),
+        F.sum(F.col("n") * F.col("value")).alias("sum"), F.min("value").alias("low"),
+        F.max("value").alias("high")).collect()}
+    ranks = {i: sorted({k for p in QUARTILES for k in _places(p, r["n"])}) for i, r in first.items()}
+    wanted = F.lit(False)
+    for i, own in ranks.items():
+        inside = F.lit(False)
+        for k in own:
+            inside = inside | ((F.col("before_n") <= k) & (F.col("before_n") + F.col("n") > k))
+        wanted = wanted | ((F.col("c") == i) & inside)
+    at: dict[int, dict[int, float]] = {i: {} for i in first}
+    for r in table.where(wanted).select("c", "value", "n", "before_n").collect():
+        for k in ranks[r["c"]]:
+            if r["before_n"] <= k < r["before_n"] + r["n"]:
+                at[r["c"]][k] = r["value"]
+    stats = {i: OrderStatistics(r["n"], at[i], r["low"], r["high"]) for i, r in first.items()}
+    mean = {i: r["sum"] / r["n"] for i, r in first.items()}
+
+    def by_column(values: dict[int, float]) -> Column:
+        return F.element_at(F.array(*[
+            F.lit(float(values[i])) if i in values else F.lit(None).cast("double")
+            for i in range(len(names))]), F.col("c") + 1)
+
+    fence = {}
+    for i, s in stats.items():
+        q1, q3 = s.quantile(0.25), s.quantile(0.75)
+        fence[i] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+    apart = F.col("value") - by_column(mean)
+    outside = (F.col("value") < by_column({i: f[0] for i, f in fence.items()})) | (
+        F.col("value") > by_column({i: f[1] for i, f in fence.items()}))
+    second = {r["c"]: r for r in table.groupBy("c").agg(
+        F.sum(F.col("n") * apart * apart).alias("squares"),
+        F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outliers")).collect()}
+    # integers beyond 2^53 are not told apart as doubles
+    wide = [c for i, c in enumerate(names)
+            if i in first and max(abs(first[i]["low"]), abs(first[i]["high"])) >= 2**53]
+    exact = cardinalities(df, wide) if wide else {}
     rows = []
-    for c in names:
-        m = moments[c]
-        share = (m["rows"] - m["n"]) / m["rows"] * 100 if m["rows"] else 0.0
+    for i, c in enumerate(names):
+        if i not in first:
+            rows.append((c, None, None, None, None, None, 100.0 if n_rows else 0.0, 0, 0))
+            continue
+        r, n = first[i], first[i]["n"]
+        std = (second[i]["squares"] / (n - 1)) ** 0.5 if n > 1 else None
         rows.append(
-            (c, m["mean"], m["std"], m["min"], m["max"], quartiles[c].quantile(0.5), share,
-             distinct[c], outliers[c])
+            (c, mean[i], std, r["low"], r["high"], stats[i].quantile(0.5), (n_rows - n) / n_rows * 100,
+             exact.get(c, r["distinct"]), second[i]["outliers"])
         )
-    return local_rows(
-        df.sparkSession,
-        rows,
-        "column string, mean double, std double, min double, max double, median double, "
-        "missing_pct double, n_unique long, outlier_count long",
-    )
+    return local_rows(df.sparkSession, rows, NUMERIC_PROFILE)
+
+
+def _places(p: float, n: int) -> tuple[int, int]:
+    """Ranks between which the quantile ``p`` of n values is interpolated."""
+    low = math.floor(p * (n - 1))
+    return low, min(low + 1, n - 1)
 
 
 def profile_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

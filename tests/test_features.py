@@ -13,7 +13,7 @@ from tablewright.operators.features import (
     summary,
 )
 from tablewright.operators.features.grouped import string_codes
-from tablewright.operators.features.scalar import likeliest_lambda
+from tablewright.operators.features.scalar import likeliest_lambdas
 
 
 @pytest.fixture(scope="module")
@@ -112,7 +112,7 @@ def test_bins_and_polynomials(people):
 
 def test_power_transform_finds_log(spark):
     df = spark.range(1, 2_000).select(F.exp(F.col("id") % 50 / 10.0).alias("v"))
-    assert abs(likeliest_lambda(df, "v", "box-cox")) < 0.2
+    assert abs(likeliest_lambdas(df, ["v"], "box-cox")["v"]) < 0.2
     with pytest.raises(ValueError, match="positive"):
         engineer_features(
             df.select((F.col("v") - 5).alias("v")),
