@@ -270,6 +270,27 @@ def prediction_ranges(spark, folder):
     return rounded(out, "current_metric", "target_metric", "estimated_impact")
 
 
+@plan(
+    "slice_discovery_of_a_rule", "I14",
+    f"""WITH e AS (SELECT event_id % 20 AS step, CASE WHEN event_id % 20 < 4 OR event_id % 20 >= 17
+ THEN 1 ELSE 0 END AS wrong FROM events), o AS (SELECT avg(wrong) AS o, count(*) AS n FROM e),
+ leaves AS (SELECT CASE WHEN step < 4 THEN 'step <= 3.50' ELSE 'step > 3.50 AND step > 16.50' END AS rule,
+ avg(wrong) AS rate, count(*) AS c FROM e WHERE wrong = 1 GROUP BY 1)
+ SELECT rule, {r('rate')} AS current_metric, {r('o')} AS target_metric, c AS sample_count,
+ {r('(rate - o) * c / n')} AS estimated_impact FROM leaves, o""",
+)
+def slice_discovery_of_a_rule(spark, folder):
+    """Errors at both ends of a feature with twenty values; the tree has to find both slices."""
+    step = F.col("event_id") % 20
+    df = table(spark, folder, "events").select(
+        step.alias("step"), F.lit(0).alias("label"),
+        F.when((step < 4) | (step >= 17), 1).otherwise(0).alias("prediction"))
+    found = local_rows(spark, errors.slice_discovery(df, ["step"], BINARY), errors.INSIGHT_SCHEMA)
+    rule = F.regexp_extract("description", "^rows with (.*?):", 1).alias("rule")
+    return rounded(found.select(rule, "current_metric", "target_metric", "sample_count", "estimated_impact"),
+                   "current_metric", "target_metric", "estimated_impact")
+
+
 @plan("slice_discovery", "I14")
 def slice_discovery(spark, folder):
     rows = errors.slice_discovery(_skewed(spark, folder), ["value", "user_id"], BINARY)

@@ -329,6 +329,21 @@ def feature_select_mutual_info(spark, folder):
     return _apply(df, {"type": "feature_select", "target_column": "l_returnflag", "k": 2})
 
 
+@plan(
+    "feature_select_informative", "E14",
+    """SELECT l_returnflag, l_linenumber + CASE l_returnflag WHEN 'A' THEN 100 WHEN 'N' THEN 200 ELSE 300 END
+ AS sure, l_linenumber + CASE WHEN l_returnflag = 'A' THEN 5 ELSE 0 END AS vague FROM lineitem""",
+)
+def feature_select_informative(spark, folder):
+    """Of a feature that tells the class, one that tells a part of it, and noise, two are kept."""
+    flag = F.col("l_returnflag")
+    df = table(spark, folder, "lineitem").select(
+        "l_returnflag", "l_tax", "l_orderkey",
+        (F.col("l_linenumber") + F.when(flag == "A", 100).when(flag == "N", 200).otherwise(300)).alias("sure"),
+        (F.col("l_linenumber") + F.when(flag == "A", 5).otherwise(0)).alias("vague"))
+    return _apply(df, {"type": "feature_select", "target_column": "l_returnflag", "k": 2})
+
+
 @plan(
     "feature_select_variance", "E15",
     "SELECT l_quantity, l_extendedprice, l_linestatus, l_returnflag FROM lineitem "

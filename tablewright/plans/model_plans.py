@@ -435,3 +435,111 @@ def knn_classifier(spark, folder):
 def knn_regressor(spark, folder):
     run = training.train_model(_regression(spark, folder, 2), "knn_regressor", {"n_neighbors": 5})
     return training.run_table(spark, [run]).drop("run_id", "training_time")
+
+
+# least squares on one feature, whose folds, fits and ensembles SQL can follow
+_LINE = """line AS (SELECT o_orderkey AS k, CAST(o_custkey AS DOUBLE) AS x,
+ o_totalprice + o_custkey * 300 AS y FROM orders)"""
+
+
+def _line(spark, folder):
+    return table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("double").alias("x"),
+        (F.col("o_totalprice") + F.col("o_custkey") * 300).alias("y"))
+
+
+def _folded(seed, folds):
+    """Rows of ``line`` with their fold, as the seeded hash of the key gives it."""
+    return (f"SELECT k, x, y, (row_number() OVER (ORDER BY {_hash('k', seed)}) - 1) * {folds} "
+            "// count(*) OVER () AS fold FROM line")
+
+
+def _fits(source, x="x", y="y", out="p", folds=3):
+    """Predictions of each fold by the line through the rows of the other folds."""
+    parts = [
+        f"SELECT s.*, f.a + f.b * s.{x} AS {out} FROM {source} s, (SELECT regr_intercept({y}, {x}) AS a, "
+        f"regr_slope({y}, {x}) AS b FROM {source} WHERE fold <> {k}) f WHERE fold = {k}"
+        for k in range(folds)]
+    return " UNION ALL ".join(parts)
+
+
+def _fold_r2(source, p="p", y="y"):
+    return f"SELECT fold, 1 - avg(pow({y} - {p}, 2)) / var_pop({y}) AS s FROM {source} GROUP BY fold"
+
+
+LINE_TASK = TaskSpec("y", REGRESSION)
+
+
+@plan(
+    "tune_lines", "F8 F7",
+    f"""WITH {_LINE}, f AS ({_folded(42, 3)}), oof AS ({_fits('f')}), r2 AS ({_fold_r2('oof')})
+ SELECT model_type, hyperparameters, 'r2' AS metric, {r('avg(s)')} AS mean_score,
+ {r('stddev_pop(s)')} AS std_score, 3 AS n_folds FROM r2,
+ (VALUES ('linear_regression', '{{}}'), ('elasticnet', '{{"alpha": 0.0}}')) AS m(model_type, hyperparameters)
+ GROUP BY model_type, hyperparameters""",
+)
+def tune_lines(spark, folder):
+    """Two ways to the same least-squares line as candidates."""
+    data = training.training_set(_line(spark, folder), ["x"], LINE_TASK, ["o_orderkey"], 3)
+    runs = training.tune(data, [
+        {"model_type": "linear_regression"},
+        {"model_type": "elasticnet", "hyperparameters": {"alpha": 0.0}}])
+    return rounded(training.run_table(spark, runs).drop("run_id", "training_time"),
+                   "mean_score", "std_score")
+
+
+@plan(
+    "stacking_lines", "F14",
+    f"""WITH {_LINE}, f AS ({_folded(42, 3)}), oof AS ({_fits('f')}), top AS ({_fits('oof', 'p', 'y', 'q')}),
+ base AS ({_fold_r2('oof')}), meta AS ({_fold_r2('top', 'q')})
+ SELECT 'ensemble' AS component, {r('avg(s)')} AS mean_score, {r('stddev_pop(s)')} AS std_score FROM meta
+ UNION ALL SELECT 'linear_regression', {r('avg(s)')}, {r('stddev_pop(s)')} FROM base""",
+)
+def stacking_lines(spark, folder):
+    """A line over the out-of-fold predictions of a line."""
+    data = training.training_set(_line(spark, folder), ["x"], LINE_TASK, ["o_orderkey"], 3)
+    run = training.train_stacking(data, [{"model_type": "linear_regression"}], "linear_regression")
+    rows = [("ensemble", run.mean_score, run.std_score), *run.components]
+    return rounded(local_rows(spark, rows, "component string, mean_score double, std_score double"),
+                   "mean_score", "std_score")
+
+
+@plan(
+    "seed_ensemble_lines", "F16",
+    f"WITH {_LINE}, "
+    + ", ".join(f"f{i} AS ({_folded(i, 3)}), o{i} AS ({_fits(f'f{i}')}), r{i} AS ({_fold_r2(f'o{i}')})"
+                for i in range(1, 6))
+    + ", m AS (" + " UNION ALL ".join(f"SELECT avg(s) AS s FROM r{i}" for i in range(1, 6))
+    + f") SELECT 5 AS n_seeds, {r('avg(s)')} AS mean_score, {r('stddev_pop(s)', 6)} AS std_score FROM m",
+)
+def seed_ensemble_lines(spark, folder):
+    """Five seeds, each with folds of its own."""
+    run = training.train_seed_ensemble(
+        _line(spark, folder), ["x"], LINE_TASK, ["o_orderkey"], "linear_regression", n_seeds=5, folds=3)
+    out = local_rows(spark, [(len(run.cv_scores), run.mean_score, run.std_score)],
+                     "n_seeds int, mean_score double, std_score double")
+    return rounded(rounded(out, "mean_score"), "std_score", digits=6)
+
+
+@plan(
+    "feature_importance_of_a_plane", "G8 I6",
+    f"""WITH p AS (SELECT o_totalprice AS y, CAST(o_custkey AS DOUBLE) AS a,
+ CAST(o_orderkey % 97 AS DOUBLE) AS b FROM orders),
+ c AS (SELECT covar_pop(a, a) AS aa, covar_pop(b, b) AS bb, covar_pop(a, b) AS ab,
+ covar_pop(a, y + 40 * a - 900 * b) AS ay, covar_pop(b, y + 40 * a - 900 * b) AS by_ FROM p),
+ w AS (SELECT abs((ay * bb - by_ * ab) / (aa * bb - ab * ab)) AS wa,
+ abs((by_ * aa - ay * ab) / (aa * bb - ab * ab)) AS wb FROM c)
+ SELECT 'a' AS feature, {r('wa')} AS importance, wa > wb AS top FROM w
+ UNION ALL SELECT 'b', {r('wb')}, wb > wa FROM w""",
+)
+def feature_importance_of_a_plane(spark, folder):
+    """Absolute coefficients of least squares on two features, and the larger of them."""
+    rows = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("double").alias("a"),
+        (F.col("o_orderkey") % 97).cast("double").alias("b"), "o_totalprice",
+    ).withColumn("y", F.col("o_totalprice") + 40 * F.col("a") - 900 * F.col("b"))
+    data = training.training_set(rows, ["a", "b"], LINE_TASK, ["o_orderkey"], 2)
+    model = data.fit("linear_regression", None, 42)
+    best = top_features(model, ["a", "b"], 1)
+    found = [(f, v, f in best) for f, v in builtin_importances(model, ["a", "b"])]
+    return rounded(local_rows(spark, found, "feature string, importance double, top boolean"), "importance")

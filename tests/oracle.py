@@ -54,7 +54,7 @@ def compare(plan, spark, con, folder) -> tuple[bool, str]:
     df = plan.run(spark, folder)
     rows = df.collect()
     if plan.sql is None:
-        return True, f"rows={len(rows)} (no SQL)"
+        return True, f"rows={len(rows)}, ran only: no SQL to compare with"
     mine = _table(df.columns, [t for _, t in df.dtypes], rows)
     found = con.execute(plan.sql)
     columns = [d[0] for d in found.description]
@@ -80,7 +80,7 @@ def main(folder: str, names: list[str]) -> int:
     from tablewright.plans import REGISTRY
 
     spark, con = make_session(), duck(folder)
-    bad = 0
+    bad = unchecked = 0
     for name, plan in REGISTRY.items():
         if names and not any(n in name for n in names):
             continue
@@ -90,8 +90,9 @@ def main(folder: str, names: list[str]) -> int:
         except Exception as e:  # noqa: BLE001 - report and go on
             ok, note = False, f"{type(e).__name__}: {str(e)[:600]}"
         bad += not ok
-        print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start:.1f}s {note}", flush=True)
-    print("failures:", bad)
+        unchecked += ok and plan.sql is None
+        print(f"{'FAIL' if not ok else 'ran ' if plan.sql is None else 'ok  '} {name} {time.time() - start:.1f}s {note}", flush=True)
+    print("failures:", bad, "without SQL:", unchecked)
     return bad
 
 
