@@ -7,6 +7,7 @@ order statistics of the hash, so no split sorts or shuffles the rows.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,9 @@ from tablewright.operators.order_stats import order_statistics
 
 STRATEGIES = ("random", "stratified", "temporal", "group")
 
+#: A key at a cut that holds more than one of this many rows of its class is reported.
+COARSE_SHARE = 20
+
 
 def row_key(columns: Sequence[str]) -> Column:
     """One text key from one or several key columns."""
@@ -78,8 +82,13 @@ def class_cuts(df: DataFrame, strata: str, ranks: Column, n_ranks: int) -> Looku
         if missing.isEmpty():
             break
         missing, width = cut_lineage(missing), width * 64
+    known = found.join(sizes, "stratum")
+    coarse = known.where((F.col("alike") > 1) & (F.col("alike") * COARSE_SHARE > F.col("n")))
+    if not coarse.isEmpty():
+        warnings.warn("one key holds a large part of a class; its rows stay together, so the class "
+                      "is not divided in the wanted shares", stacklevel=3)
     sized = (
-        found.join(sizes, "stratum")
+        known
         .groupBy("stratum", F.col("n").alias("_w"))
         .agg(F.sort_array(F.collect_list(F.struct("i", "_u"))).alias("c"))
         .select("stratum", F.transform("c", lambda x: x["_u"]).alias("cuts"), "_w")
@@ -115,9 +124,11 @@ def _cuts_in_bands(df: DataFrame, strata: str, wanted: DataFrame, width: int) ->
     below = near.where("below").groupBy("_s", "i").agg(F.count(F.lit(1)).alias("below"))
     inside = near.where(~F.col("below")).drop("below")
     w = Window.partitionBy("_s", "i").orderBy("_u")
-    placed = inside.withColumn("place", F.row_number().over(w)).join(below, ["_s", "i"], "left")
+    alike = F.count(F.lit(1)).over(Window.partitionBy("_s", "i", "_u"))
+    placed = inside.withColumn("place", F.row_number().over(w)).withColumn("alike", alike).join(
+        below, ["_s", "i"], "left")
     return placed.where(F.col("place") + F.coalesce("below", F.lit(0)) == F.col("rank")).select(
-        F.col("_s").alias("stratum"), "i", "_u")
+        F.col("_s").alias("stratum"), "i", "_u", "alike")
 
 
 def random_split(df: DataFrame, key: Sequence[str], fraction: float, seed: int) -> DataFrame:
@@ -215,12 +226,12 @@ def create_split(
         return stratified_split(df, target, key, validation_fraction, seed)
     if strategy == "temporal":
         if not temporal_column:
-            raise ValueError("temporal_column is required for strategy='temporal'")
+            raise ValueError("a split by time needs temporal_column")
         require_columns(df, [temporal_column])
         return temporal_split(df, temporal_column, key, validation_fraction, seed)
     if strategy == "group":
         if not group_column:
-            raise ValueError("group_column is required for strategy='group'")
+            raise ValueError("a split by groups needs group_column")
         require_columns(df, [group_column])
         return group_split(df, group_column, validation_fraction, seed)
     raise ValueError(f"Unknown split strategy '{strategy}'. Use one of {STRATEGIES}.")

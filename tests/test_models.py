@@ -164,3 +164,11 @@ def test_stream_scoring(spark, rows, binary, tmp_path):
     query.awaitTermination(60)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 600 and "predicted_class" in out.columns
+
+
+def test_dense_matrix_has_a_bound(spark):
+    df = spark.range(50).select(F.col("id").alias("label"), (F.col("id") + 1).alias("prediction"))
+    assert evaluation.confusion_matrix(df).count() == 51 * 51
+    with pytest.raises(ValueError, match="more than 20 labels"):
+        evaluation.confusion_matrix(df, most_labels=20)
+    assert evaluation.confusion_matrix(df, dense=False, most_labels=20).count() == 50

@@ -81,3 +81,11 @@ def test_errors(rows):
             create_split(rows, "k", ["id"], **kwargs)
     with pytest.raises(ValueError, match="stratified"):
         create_split(rows, "id", ["id"], "stratified")
+
+
+def test_a_key_too_coarse_for_the_share_is_reported(spark):
+    rows = spark.range(400).select(
+        "id", F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("key"), (F.col("id") % 2).alias("k"))
+    with pytest.warns(UserWarning, match="one key holds"):
+        for seed in range(4):  # the large key lies at a cut of some fold
+            assign_folds(rows, ["key"], 5, seed, "k").count()
