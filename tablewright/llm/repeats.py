@@ -36,9 +36,9 @@ from tablewright.llm.common import slices, text_bytes
 
 #: Length of an anchor, text bytes of a block of texts, run bytes above which the runs of a bucket
 #: are split over several tasks, and run bytes of one suffix array (each takes some 80 bytes).
-ANCHOR, BLOCK_BYTES, BUCKET_BYTES, ARRAY_BYTES = 16, 12 << 20, 16 << 20, 1 << 20
+ANCHOR, BLOCK_BYTES, BUCKET_BYTES, ARRAY_BYTES = 16, 8 << 20, 16 << 20, 1 << 20
 #: Text bytes gathered in a task before they are dealt out.
-GATHER_BYTES = 12 << 20
+GATHER_BYTES = 8 << 20
 #: Text bytes hashed at once: each takes about a hundred bytes of arrays.
 HASHED_BYTES = 1 << 19
 #: Id of a text whose ids are all null: later than any other.
@@ -227,6 +227,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
                 held, size = {}, 0
     if held:
         yield list(held)
+    held.clear()
+    pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
 
 def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
