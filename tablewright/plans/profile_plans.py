@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from tablewright.core import local_rows, resolve_task
-from tablewright.operators import issues, profile
+from tablewright.operators import issues, profile, sketches
+from tablewright.operators.order_stats import exact_quantiles
+from tablewright.operators.profile import cardinalities
 from tablewright.plans.base import (
     LI,
     LI_NUMERIC,
@@ -117,6 +119,42 @@ def missing_percentages(spark, folder):
     return rounded(profile.missing_percentages(lineitem_nulls(spark, folder)), "missing_pct")
 
 
+_KEPT = ("l_quantity", "l_extendedprice", "l_discount", "l_partkey")
+
+
+@plan(
+    "profile_from_sketches", "B6 B11",
+    f"WITH {LI} " + _union(
+        f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count({c}) AS n, {r(f'avg({c})')} AS mean, "
+        f"{r(f'stddev_samp({c})')} AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, "
+        f"{r(f'avg(CASE WHEN {c} IS NULL THEN 1.0e0 ELSE 0 END) * 100')} AS missing_pct, "
+        "true AS n_unique_close, true AS median_close FROM li"
+        for c in _KEPT
+    ),
+)
+def profile_from_sketches(spark, folder):
+    """Three stored batches and new rows; the estimates are checked against exact figures."""
+    li = lineitem_nulls(spark, folder).select("l_linenumber", *_KEPT)
+    part = F.pmod("l_linenumber", F.lit(4))
+    path = f"{scratch(spark)}/sketches"
+    for k in range(3):
+        sketches.store_sketches(li.where(part == k).select(*_KEPT), path, str(k))
+    found = sketches.profile_with_stored(
+        li.where(part == 3).select(*_KEPT), sketches.load_sketches(spark, path), probabilities=(0.5,))
+    unique = cardinalities(li, _KEPT)
+    near = exact_quantiles(li, _KEPT, [0.5 - sketches.RANK_ERROR, 0.5 + sketches.RANK_ERROR])
+    bounds = local_rows(spark, [
+        (c, unique[c], near[c].quantile(0.5 - sketches.RANK_ERROR), near[c].quantile(0.5 + sketches.RANK_ERROR))
+        for c in _KEPT], "column string, exact long, low double, high double")
+    median = F.element_at("quantiles", 1)
+    judged = found.join(F.broadcast(bounds), "column").select(
+        "column", "n_rows", "n", "mean", "std", "min", "max", "missing_pct",
+        (F.abs(F.col("n_unique") - F.col("exact")) <= F.col("exact") * sketches.DISTINCT_ERROR)
+        .alias("n_unique_close"),
+        ((median >= F.col("low")) & (median <= F.col("high"))).alias("median_close"))
+    return rounded(judged, "mean", "std", "missing_pct")
+
+
 @plan(
     "column_cardinality", "B6",
     f"WITH {LI} " + _union(
