@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.core import (
     TaskSpec,
@@ -25,7 +26,6 @@ from tablewright.operators.ordering import column_prefixes
 
 COLUMNS_PER_JOB = 40
 MOMENTS_PER_JOB = 6
-DISTINCTS_PER_JOB = 10
 TOP_VALUES = 10
 QUARTILES = (0.25, 0.5, 0.75)
 NUMERIC_PROFILE = (
@@ -90,14 +90,36 @@ def missing_shares(df: DataFrame, columns: Sequence[str] | None = None) -> dict[
 def cardinalities(
     df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False
 ) -> dict[str, int]:
-    """Distinct non-null values per column; ``approximate`` needs no shuffle of values."""
+    """Distinct non-null values per column; ``approximate`` needs no shuffle of values.
+
+    The exact count reduces (column, value) rows in the tasks and shuffles each value once.
+    """
     names = list(columns or df.columns)
-    out: dict[str, int] = {}
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    for group in chunks(names, COLUMNS_PER_JOB if approximate else DISTINCTS_PER_JOB):
-        row = df.agg(*[count(col(c)).alias(f"d{i}") for i, c in enumerate(group)]).first()
-        out.update({c: row[f"d{i}"] for i, c in enumerate(group)})
-    return out
+    if approximate:
+        out: dict[str, int] = {}
+        for group in chunks(names, COLUMNS_PER_JOB):
+            row = df.agg(*[
+                F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(group)]).first()
+            out.update({c: row[f"d{i}"] for i, c in enumerate(group)})
+        return out
+    entries = [F.struct(F.lit(i).alias("c"), _as_text(df, c).alias("v")) for i, c in enumerate(names)]
+    values = df.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull())
+    found = values.groupBy("c", "v").agg(F.lit(1).alias("one")).groupBy("c").agg(
+        F.count(F.lit(1)).alias("n")).collect()
+    counts = {r["c"]: r["n"] for r in found}
+    return {c: counts.get(i, 0) for i, c in enumerate(names)}
+
+
+def _as_text(df: DataFrame, column: str) -> Column:
+    """A text that is equal for equal values; nested values by their JSON."""
+    kind, value = df.schema[column].dataType, col(column)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (value + F.lit(0.0).cast(kind)).cast("string")  # one zero
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.when(value.isNotNull(), F.to_json(F.struct(value.alias("v"))))
+    return value.cast("string")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

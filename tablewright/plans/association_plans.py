@@ -295,6 +295,27 @@ def variance_inflation_pair(spark, folder):
     return rounded(association.variance_inflation(li, "l_returnflag"), "vif")
 
 
+_THREE = ("l_quantity", "l_tax", "l_extendedprice")
+
+
+def _vif_of(a, b, c):
+    """From the correlations of three columns: 1 / (1 - R squared of ``a`` on the others)."""
+    explained = (f"(pow(corr({a}, {b}), 2) + pow(corr({a}, {c}), 2) - 2 * corr({a}, {b}) * corr({a}, {c}) "
+                 f"* corr({b}, {c})) / (1 - pow(corr({b}, {c}), 2))")
+    return f"SELECT '{a}' AS feature, 1 / (1 - least({explained}, 0.9999e0)) AS v FROM f"
+
+
+@plan(
+    "variance_inflation_triple", "D7",
+    f"WITH {LI}, {_filled(_THREE, 'l_returnflag')}, w AS ("
+    + _union(_vif_of(*(_THREE[i:] + _THREE[:i])) for i in range(3))
+    + f") SELECT feature, {r('v')} AS vif, v > 10 AS high, v > 50 AS severe FROM w",
+)
+def variance_inflation_triple(spark, folder):
+    li = lineitem_nulls(spark, folder).select(*_THREE, "l_returnflag")
+    return rounded(association.variance_inflation(li, "l_returnflag"), "vif")
+
+
 @plan("variance_inflation", "D7")
 def variance_inflation(spark, folder):
     li = lineitem_nulls(spark, folder).withColumn(

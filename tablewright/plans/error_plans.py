@@ -128,7 +128,7 @@ def identify_segments_classes(spark, folder):
 
 
 _FOLDS = """f AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS run_id,
- o_orderpriority AS fold, avg(o_totalprice) AS score FROM orders WHERE o_orderstatus IN ('F', 'O')
+ o_orderpriority AS fold, avg(o_totalprice) AS score FROM orders
  GROUP BY 1, 2), d AS (SELECT b.score - a.score AS d FROM f a JOIN f b USING (fold)
  WHERE a.run_id = 'a' AND b.run_id = 'b')"""
 
@@ -153,7 +153,6 @@ def fold_score_significance(spark, folder):
 def _fold_test(spark, folder):
     scores = (
         table(spark, folder, "orders")
-        .where(F.col("o_orderstatus").isin("F", "O"))
         .groupBy(
             F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("run_id"),
             F.col("o_orderpriority").alias("fold"),

@@ -415,7 +415,7 @@ def nearest(spark, folder):
     )
     queries = e.where(F.col("vec_id") % 3 == 0).select(F.col("vec_id").alias("qid"), "x")
     train = e.where(F.col("vec_id") % 3 != 0).select(F.col("vec_id").alias("tid"), "x", "y")
-    found = knn.nearest_neighbours(queries, train, 5, pivots=6)
+    found = knn.nearest_neighbours(queries, train, 5)
     return rounded(found.select("qid", "tid", "place", "dist"), "dist", digits=6)
 
 
