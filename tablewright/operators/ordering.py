@@ -19,7 +19,7 @@ from tablewright.core import (
 )
 from tablewright.operators.lookup import HOT_SHARE, Lookup, attach
 
-ROWS_PER_BUCKET = 250_000
+ROWS_PER_BUCKET = 1_000_000
 #: Ranges of the first cut of a column, ranges of each of them in the second cut, edges of a group
 #: of those, and ranges whose offsets are added up together.
 COARSE, FINE, EDGE_GROUP, BLOCK = 256, 1_024, 32, 1_024
@@ -39,7 +39,10 @@ class PrefixTable:
 
 
 def _first_cuts(wide: DataFrame, k: int, rows_per_bucket: int) -> tuple[list[int], list[list[float]]]:
-    """Values per column, and the borders of at most COARSE ranges of about that many rows."""
+    """Values per column (or a bound), and borders of at most COARSE ranges of about that many rows."""
+    rows = wide.count()
+    if rows <= rows_per_bucket:
+        return [rows] * k, [[] for _ in range(k)]
     probes = [i / COARSE for i in range(1, COARSE)]
     parts = []
     for i in range(k):
