@@ -26,6 +26,8 @@ GROUP_ROWS, TEST_COST = 65_536, 0.02
 #: Runs of equal keys above the first length are linked without listing their near pairs, above
 #: the second (radius 2 at most) without comparing all of them; rows compared with a run at once.
 LONG_RUN, HUGE_RUN, ROWS_AT_ONCE = 256, 200_000, 64
+#: Rows of a probed value above which it is cut into blocks; crowded values broadcast at most.
+BLOCK_ROWS, BROADCAST_KEYS = 16_384, 200_000
 #: Shingle hashes whose bits are counted at once.
 HASHES_AT_ONCE = 16_384
 
@@ -293,7 +295,7 @@ def near_links(
     parallel = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = max(parallel, rows * variants // GROUP_ROWS)
     out = T.StructType([
-        T.StructField("grp", T.LongType()), T.StructField("key", T.LongType()),
+        T.StructField("key", T.LongType()),
         T.StructField("own", T.LongType()), T.StructField("node", T.LongType()),
         T.StructField("fingerprint", T.BinaryType())])
 
@@ -305,22 +307,33 @@ def near_links(
             own_bits = np.frombuffer(
                 b"".join(prints.to_pylist()), dtype=np.uint8).reshape(len(node), -1)
             for key, own in probe_keys(own_bits, probing):
-                mixed = (key ^ (key >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15)
-                grp = ((mixed >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grp), pa.array(key.astype(np.int64)),
+                    [pa.array(key.astype(np.int64)),
                      pa.array(np.full(len(key), own, np.int64)), node, prints], names=out.names)
 
     def link(table: pa.Table) -> pa.Table:
         prints = b"".join(table.column("fingerprint").to_pylist())
         words = np.frombuffer(prints, dtype=np.uint64).reshape(table.num_rows, -1)
-        key, own, node = (table.column(c).to_numpy() for c in ("key", "own", "node"))
-        pairs = node[find_links(key, own, words, radius)]
+        run, own, node = (table.column(c).to_numpy() for c in ("run", "own", "node"))
+        pairs = node[find_links(run, own, words, radius)]
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()),
                          "b": pa.array(pairs[:, 1], pa.int64())})
 
     probes = distinct.select("node", "fingerprint").mapInArrow(spread, out)
-    return probes.groupBy("grp").applyInArrow(link, "a long, b long").distinct()
+    # a crowded value is cut into blocks, and every two blocks meet in a run of their own
+    crowded = cut_lineage(
+        probes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS)
+        .select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
+    if crowded.count() <= BROADCAST_KEYS:
+        crowded = F.broadcast(crowded)
+    count = F.coalesce(F.col("blocks"), F.lit(1))
+    side, other = F.pmod(F.xxhash64("node"), count).cast("int"), F.col("other")
+    dealt = probes.join(crowded, "key", "left").withColumn("side", side).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), count - 1)))
+    run = F.xxhash64("key", F.least("side", other), F.greatest("side", other))
+    tagged = dealt.select(run.alias("run"), "own", "node", "fingerprint",
+                          F.pmod(run, F.lit(groups)).alias("grp"))
+    return tagged.groupBy("grp").applyInArrow(link, "a long, b long").distinct()
 
 
 def near_components(

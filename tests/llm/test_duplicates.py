@@ -35,7 +35,10 @@ def near_texts():
     return rows
 
 
-def test_simhash_components(spark):
+@pytest.mark.parametrize("block", [simhash.BLOCK_ROWS, 6])
+def test_simhash_components(spark, monkeypatch, block):
+    """With blocks of six rows the values that near copies share are cut into pairs of blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
     rows = near_texts()
     prints = [plain_fingerprint(t) for _, t in rows]
     links = [(a, b) for a in range(len(rows)) for b in range(a)
