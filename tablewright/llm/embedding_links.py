@@ -18,9 +18,9 @@ SEED = 20_190_501
 #: Counted projections, and the window in standard deviations of a pair at the threshold.
 PROJECTIONS, WINDOW = 32, 2.5
 #: Share of pairs at the threshold that cells and counting may each miss.
-MISS = 1e-7
+MISS = 1e-6
 #: Rows wanted in a cell, rows above which a cell is cut into blocks, rows of a task's group.
-CELL_ROWS, BLOCK_ROWS, GROUP_ROWS = 64, 2_048, 32_768
+CELL_ROWS, BLOCK_ROWS, GROUP_ROWS = 256, 2_048, 32_768
 #: Crowded cells up to this number are broadcast (some 40 bytes each).
 BROADCAST_CELLS = 200_000
 #: Pairs counted at once.
@@ -177,26 +177,27 @@ def near_vectors(
     signs, turns = cell_plan(largest or 1, cosine)
     probe = T.StructType([
         T.StructField("node", T.LongType()), T.StructField("copies", T.LongType()),
-        T.StructField("vector", T.BinaryType()), T.StructField("codes", T.BinaryType()),
+        T.StructField("vector", T.BinaryType()),
         T.StructField("turn", T.IntegerType()), T.StructField("code", T.IntegerType()),
         T.StructField("width", T.IntegerType()), T.StructField("label", T.LongType())])
 
+    def codes_of(units: np.ndarray) -> np.ndarray:
+        """The code of each vector in each turn; a task makes them again rather than be sent them."""
+        _, normals = directions(units.shape[1], signs * turns)
+        bits = (units @ normals > 0).reshape(len(units), turns, signs)
+        return (bits * (1 << np.arange(signs))).sum(axis=2).astype("<i4")
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(signs)
         for batch in batches:
             packed = batch.column(2).to_pylist()
             widths = np.array([len(p) for p in packed])
             for width in np.unique(widths):
                 at = np.flatnonzero(widths == width)
-                units = _units([packed[i] for i in at], kind)
-                _, normals = directions(units.shape[1], signs * turns)
-                bits = (units @ normals > 0).reshape(len(at), turns, signs)
-                codes = (bits * weights).sum(axis=2).astype("<i4")
+                codes = codes_of(_units([packed[i] for i in at], kind))
                 rows = batch.take(pa.array(at))
                 for t in range(turns):
                     yield pa.RecordBatch.from_arrays(
                         [rows.column(0), rows.column(1), rows.column(2),
-                         pa.array([c.tobytes() for c in codes], pa.binary()),
                          pa.array(np.full(len(at), t, np.int32)), pa.array(codes[:, t]),
                          pa.array(np.full(len(at), width, np.int32)), rows.column(3)],
                         names=probe.names)
@@ -220,7 +221,7 @@ def near_vectors(
     parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = max(parallel, nodes.count() * turns // GROUP_ROWS)
     tagged = dealt.select(
-        "node", "copies", "vector", "codes", "turn", "side",
+        "node", "copies", "vector", "turn", "side",
         (F.col("pair.i") == F.col("pair.k")).alias("whole"),
         F.xxhash64(*cell, "pair").alias("run"),
         F.pmod(F.xxhash64(*cell, "pair"), F.lit(groups)).alias("grp"))
@@ -232,7 +233,7 @@ def near_vectors(
         node, copies, turn, side = (
             table.column(c).to_numpy() for c in ("node", "copies", "turn", "side"))
         whole = table.column("whole").to_numpy(zero_copy_only=False)
-        vector, codes = table.column("vector").to_pylist(), table.column("codes").to_pylist()
+        vector = table.column("vector").to_pylist()
         degree = np.zeros(len(node), dtype=np.int64)
         pairs = []
         for s, e in zip(starts, np.r_[starts[1:], len(order)]):
@@ -240,10 +241,9 @@ def near_vectors(
             if len(at) < 2:
                 continue
             units = _units([vector[i] for i in at], kind)
-            own = np.frombuffer(b"".join(codes[i] for i in at), "<i4").reshape(len(at), -1)
             width = units.shape[1]
             a, b = links_in_run(
-                units, side[at], bool(whole[at[0]]), own, int(turn[at[0]]), cosine,
+                units, side[at], bool(whole[at[0]]), codes_of(units), int(turn[at[0]]), cosine,
                 count_needed(min(PROJECTIONS, width), width, cosine))
             np.add.at(degree, at[a], copies[at[b]])
             np.add.at(degree, at[b], copies[at[a]])
