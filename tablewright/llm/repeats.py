@@ -37,6 +37,8 @@ from tablewright.llm.common import slices, text_bytes
 #: Length of an anchor, text bytes of a block of texts, run bytes above which the runs of a bucket
 #: are split over several tasks, and run bytes of one suffix array (each takes some 80 bytes).
 ANCHOR, BLOCK_BYTES, BUCKET_BYTES, ARRAY_BYTES = 16, 8 << 20, 16 << 20, 1 << 20
+#: Ranges of anchors for each block of texts: the runs of a range are held as objects by a task.
+RANGES = 4
 #: Text bytes gathered in a task before they are dealt out.
 GATHER_BYTES = 8 << 20
 #: Text bytes hashed at once: each takes about a hundred bytes of arrays.
@@ -425,7 +427,7 @@ def collect_runs(
                       np.array(again_length, dtype=np.int64), parts)
         keep = np.array(keep, dtype=np.int64)
         keep = keep[np.argsort(anchor[keep], kind="stable")]
-        for p, at in _deal(_bucket(anchor[keep], parts, bits), parts):
+        for p, at in _deal(_bucket(anchor[keep], RANGES * parts, bits), RANGES * parts):
             mine = keep[at]
             few, again = _few(keys, text[mine])
             used = np.unique(text[mine])
