@@ -24,6 +24,8 @@ BUCKETS, SMOOTHING, THRESHOLD = 65_536, 5.0, -0.4
 #: Base rules: words needed, and the percentage of words in repeated windows that is too much.
 LEAST_WORDS, MOST_REPEATED = 20, 30
 WINDOW = 8
+#: Bytes of a long text whose n-grams are hashed at a time.
+PIECE_BYTES = 1 << 19
 #: Ids up to this number are broadcast (some 30 MB), more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -47,14 +49,35 @@ def grams(words: list[list[bytes]], buckets: int) -> tuple[np.ndarray, np.ndarra
     counts = np.maximum(lengths - 3, 0)
     if len(data) < 4:
         return np.zeros(0, dtype=np.int64), counts
-    value = data[:-3] << np.uint64(24) | data[1:-2] << np.uint64(16)
-    value |= data[2:-1] << np.uint64(8) | data[3:]
-    hashed = (value * np.uint64(MULTIPLIER)) & np.uint64(0xFFFFFFFF)
     starts = np.cumsum(lengths) - lengths
     inside = np.ones(len(data), dtype=bool)
     for back in (1, 2, 3):  # an n-gram does not run into the next text
         inside[starts + lengths - np.minimum(back, lengths)] = False
-    return (hashed[inside[:-3]] * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), counts
+    return _bucket(data, buckets)[inside[:-3]], counts
+
+
+def gram_pieces(
+    words: list[list[bytes]], buckets: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`grams` of a run of texts at once, or of one long text piece by piece.
+
+    Pieces overlap by three bytes, so every n-gram of the text lies in one of them.
+    """
+    if len(words) != 1 or sum(map(len, words[0])) <= PIECE_BYTES:
+        yield grams(words, buckets)
+        return
+    joined = b" " + b" ".join(words[0]) + b" "
+    for at in range(0, len(joined) - 3, PIECE_BYTES):
+        data = np.frombuffer(joined[at : at + PIECE_BYTES + 3], dtype=np.uint8).astype(np.uint64)
+        found = _bucket(data, buckets)
+        yield found, np.array([len(found)])
+
+
+def _bucket(data: np.ndarray, buckets: int) -> np.ndarray:
+    value = data[:-3] << np.uint64(24) | data[1:-2] << np.uint64(16)
+    value |= data[2:-1] << np.uint64(8) | data[3:]
+    hashed = (value * np.uint64(MULTIPLIER)) & np.uint64(0xFFFFFFFF)
+    return (hashed * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def repeated_words(words: list[list[bytes]], window: int = WINDOW) -> np.ndarray:
@@ -114,9 +137,10 @@ def gram_counts(df: DataFrame, trusted: DataFrame, id_column: str, text_column:
             texts = text_bytes(batch.column(0))
             marks = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             for part in slices([len(t) for t in texts]):
-                found, counts = grams([t.split() for t in texts[part]], buckets)
-                raw += np.bincount(found, minlength=buckets)
-                target += np.bincount(found[np.repeat(marks[part], counts)], minlength=buckets)
+                for found, counts in gram_pieces([t.split() for t in texts[part]], buckets):
+                    raw += np.bincount(found, minlength=buckets)
+                    target += np.bincount(
+                        found[np.repeat(marks[part], counts)], minlength=buckets)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays(
             [pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])],
@@ -175,11 +199,13 @@ def judge(
         texts = text_bytes(columns[0])
         for part in slices([len(t) for t in texts]):
             words = [t.split() for t in texts[part]]
-            found, counts = grams(words, buckets)
-            edges = np.r_[0, np.cumsum(counts)]
-            value = np.r_[0.0, ratio[found], 0.0]
-            sums = np.add.reduceat(value, edges[:-1] + 1) if len(words) else np.zeros(0)
-            sums[counts == 0] = 0
+            sums, counts = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64)
+            for found, own in gram_pieces(words, buckets):
+                edges = np.r_[0, np.cumsum(own)]
+                value = np.r_[0.0, ratio[found], 0.0]
+                added = np.add.reduceat(value, edges[:-1] + 1) if len(words) else np.zeros(0)
+                added[own == 0] = 0
+                sums, counts = sums + added, counts + own
             repeats = repeated_words(words).tolist()
             score = np.round(sums / np.maximum(counts, 1), 6) + 0.0
             for t, w, again, own in zip(texts[part], words, repeats, score.tolist()):

@@ -152,3 +152,47 @@ def test_score_is_the_density_difference():
     want = density(x, means[1], cov[1]) - density(x, means[0], cov[0])
     got = np.log(model.score(x) / (1 - model.score(x))) / quality_classifier.TEMPER
     assert np.allclose(got, want)
+
+
+@pytest.mark.parametrize("piece", [1, 5, 64, 1_000])
+def test_ngrams_of_a_long_text_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(quality_rules, "PIECE_BYTES", piece)
+    for text in (b"", b"a", b"abc", b"a longer text of some words", prose(4, 700).encode()):
+        whole, counts = quality_rules.grams([text.split()], 65_536)
+        parts = list(quality_rules.gram_pieces([text.split()], 65_536))
+        assert np.concatenate([f for f, _ in parts]).tolist() == whole.tolist()
+        assert sum(int(n.sum()) for _, n in parts) == counts[0]
+        assert all(len(f) <= max(piece, len(text) + 2) for f, _ in parts)
+    both = [t.encode().split() for t in (prose(1, 50), prose(2, 60))]
+    assert len(list(quality_rules.gram_pieces(both, 64))) == 1
+
+
+def test_classifier_equals_a_plain_one(spark, data):
+    """Statistics, clipping, moments, shrinkage and densities over all rows held in one matrix."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    known = [(r.doc_id, r.quality) for r in labels.collect()
+             if r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    x = np.array([quality_classifier.statistics(raw(text[i])) for i, _ in known])
+    y = np.array([q for _, q in known])
+    centre, scale = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-6))
+    standard = lambda v: np.clip((v - centre) / scale, -6, 6)
+    z = standard(x)
+    pooled = np.cov(z.T, bias=True)
+    classes = []
+    for c in (0, 1):
+        cov = 0.7 * np.cov(z[y == c].T, bias=True) + 0.3 * pooled
+        cov = 0.95 * cov + 0.05 * np.trace(cov) / len(cov) * np.eye(len(cov))
+        classes.append((z[y == c].mean(axis=0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]))
+    prior = math.log((sum(y == 1) + 1) / (sum(y == 0) + 1))
+    want = {}
+    for i, t in text.items():
+        v = standard(np.array(quality_classifier.statistics(raw(t))))
+        far = [0.5 * ((v - m) @ inverse @ (v - m)) + 0.5 * log for m, inverse, log in classes]
+        want[i] = 1 / (1 + math.exp(-max(-500, min(500, 0.2 * (far[0] - far[1] + prior)))))
+    scored = quality_classifier.classify(
+        docs, labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")))
+    for r in scored.collect():
+        assert math.isclose(r.score, want[r.doc_id], abs_tol=1e-6)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
