@@ -44,9 +44,14 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def mentions(text: Column, patterns: Patterns = MODEL_PATTERNS) -> Column:
-    """Array of the families found in a text, each once, in pattern order."""
+    """Array of the families found in a text, each once, in pattern order.
+
+    One search for any of the patterns comes first: most texts have none and need no other.
+    """
     hits = [F.when(matches(text, p), F.lit(name)) for name, p in patterns]
-    return F.array_compact(F.array(*hits))
+    some = matches(text, "|".join(f"(?:{p})" for _, p in patterns))
+    return F.when(some, F.array_compact(F.array(*hits))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def combined_text() -> Column:
