@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tablewright.core import as_double
 
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 2_000
 LIST_LIMIT = 500_000
 SMALL_COLUMN = 10_000
 
