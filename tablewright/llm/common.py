@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,6 +19,14 @@ SLICE_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system; workers live on through many stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -71,7 +80,7 @@ def map_rows(
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=t)
                            for x, t in zip(found, types)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
+        release()
 
     return source.mapInArrow(run, schema)
 
