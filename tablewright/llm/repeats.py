@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.core import cut_lineage
-from tablewright.llm.common import slices, text_bytes
+from tablewright.llm.common import release, slices, text_bytes
 
 #: Length of an anchor, text bytes of a block of texts, run bytes above which the runs of a bucket
 #: are split over several tasks, and run bytes of one suffix array (each takes some 80 bytes).
 ANCHOR, BLOCK_BYTES, BUCKET_BYTES, ARRAY_BYTES = 16, 8 << 20, 16 << 20, 1 << 20
 #: Ranges of anchors for each block of texts: the runs of a range are held as objects by a task.
-RANGES = 4
+RANGES = 2
 #: Text bytes gathered in a task before they are dealt out.
 GATHER_BYTES = 8 << 20
 #: Text bytes hashed at once: each takes about a hundred bytes of arrays.
@@ -230,7 +230,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     if held:
         yield list(held)
     held.clear()
-    pa.default_memory_pool().release_unused()  # the worker goes on to other stages
+    release()
 
 
 def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -384,6 +384,7 @@ def collect_runs(
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         found = _block_texts(left)
         names, own = list(found), list(found.values())
         number = {k: i for i, k in enumerate(names)}
@@ -648,6 +649,7 @@ def compare(runs: DataFrame, least: int, parts: int) -> DataFrame:
     """Blocks of repeated spans, found by the suffix array of each bucket."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         keys, text, start, length = repeated_spans(table.column("block").to_pylist(), least)
         return pa.Table.from_batches(
             [_rows(_spans(keys, text, start, length, parts), BLOCK_NAMES, BLOCK_KINDS)])
@@ -669,6 +671,7 @@ def cut_texts(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         found = _block_texts(left)
         by_text: dict[bytes, list] = {}
         for block in right.column("block").to_pylist():
