@@ -1,21 +1,24 @@
-"""Normality tests: Shapiro-Wilk for small tables, Anderson-Darling over distinct values else."""
+"""Normality tests: Shapiro-Wilk and Anderson-Darling, in one group or over distinct values."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.core import as_double, col, local_rows, numeric_columns, require_columns
+from tablewright.core import as_double, col, cut_lineage, local_rows, numeric_columns, require_columns
 from tablewright.functions.special import normal_cdf, normal_quantile
 from tablewright.operators.ordering import value_prefix
 from tablewright.operators.profile import numeric_moments
 
 SMALL_TABLE = 5_000
+#: Places of equal values whose scores a task adds up at once.
+PLACES = 256
 SCHEMA = (
     "column string, test string, statistic double, p_value double, critical_value_5pct double, "
     "is_normal boolean, n_valid long"
@@ -23,29 +26,39 @@ SCHEMA = (
 
 
 def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """W and its p-value with Royston's polynomial approximations (3 <= n <= 5000)."""
+    """W and its p-value with Royston's polynomial approximations (at least 3 values)."""
     x = np.sort(values.astype(float))
     n = len(x)
     if x[0] == x[-1]:
         return 1.0, 1.0
     m = np.array([normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    ssq = float(m @ m)
+    return _royston(n, float(m @ m), float(m @ (x - x.mean())), m[-2:], x[:2], x[-2:],
+                    float(((x - x.mean()) ** 2).sum()))
+
+
+def _royston(
+    n: int, ssq: float, product: float, m: np.ndarray, low: np.ndarray, high: np.ndarray,
+    squares: float,
+) -> tuple[float, float]:
+    """W and its p-value from sums over the sorted values.
+
+    ``ssq`` and ``product`` are the sums of squared normal scores and of scores times values,
+    ``m`` the last two scores, ``low`` and ``high`` the first and last two values, ``squares`` the
+    squared deviations. All but the outer one or two scores are divided by one number.
+    """
     root = 1.0 / math.sqrt(n)
-    a = np.empty(n)
     # fixed values: published coefficients of the approximation
     tail1 = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], root)
     tail2 = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], root)
-    a[-1] = m[-1] / math.sqrt(ssq) + tail1
+    outer, inner = m[1] / math.sqrt(ssq) + tail1, m[0] / math.sqrt(ssq) + tail2
+    wide, narrow = high[1] - low[0], high[0] - low[1]
     if n > 5:
-        a[-2] = m[-2] / math.sqrt(ssq) + tail2
-        phi = (ssq - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * a[-1] ** 2 - 2 * a[-2] ** 2)
-        a[2:-2] = m[2:-2] / math.sqrt(phi)
-        a[1] = -a[-2]
+        phi = (ssq - 2 * m[1] ** 2 - 2 * m[0] ** 2) / (1 - 2 * outer**2 - 2 * inner**2)
+        total = (product - m[1] * wide - m[0] * narrow) / math.sqrt(phi) + outer * wide + inner * narrow
     else:
-        phi = (ssq - 2 * m[-1] ** 2) / (1 - 2 * a[-1] ** 2)
-        a[1:-1] = m[1:-1] / math.sqrt(phi)
-    a[0] = -a[-1]
-    w = min(float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()), 1.0)
+        phi = (ssq - 2 * m[1] ** 2) / (1 - 2 * outer**2)
+        total = (product - m[1] * wide) / math.sqrt(phi) + outer * wide
+    w = min(float(total**2 / squares), 1.0)
     if n == 3:
         p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
         return w, max(p, 0.0)
@@ -64,6 +77,42 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     return w, 1.0 - normal_cdf((y - mean) / sd)
 
 
+def shapiro_wilk_of_column(df: DataFrame, column: str, mean: float) -> tuple[float, float]:
+    """The same for a column of any length (at least 8 values).
+
+    Works on distinct values with their counts and prefix counts: a value occupying the sorted
+    positions b+1 .. b+c counts with the sum of their scores, added up PLACES at a time.
+    """
+    prefix = value_prefix(df, col(column))
+    n, last = prefix.n, F.col("before_n") + F.col("n") - 1
+    table = cut_lineage(prefix.table.select(
+        (F.col("value") - F.lit(mean)).alias("v"), "before_n", "n"))
+    low, high = (
+        [v for r in table.orderBy(order).limit(2).collect() for v in [r["v"]] * min(2, r["n"])][:2]
+        for order in (F.asc("v"), F.desc("v")))
+    if low[0] == high[0]:
+        return 1.0, 1.0
+    places = table.select("v", last.alias("last"), F.explode(
+        F.sequence("before_n", last, F.lit(PLACES).cast("long"))).alias("first"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = NormalDist().inv_cdf
+        for batch in batches:
+            found = []
+            for v, first, last in zip(batch["v"], batch["first"], batch["last"]):
+                m = np.array([score((i + 0.625) / (n + 0.25))
+                              for i in range(first, min(last + 1, first + PLACES))])
+                found.append((m @ m, v * m.sum(), v * v * len(m)))
+            yield pd.DataFrame(found, columns=["ssq", "product", "squares"])
+
+    sums = places.repartition(parts, "first").mapInPandas(
+        add, "ssq double, product double, squares double").agg(
+            *[F.sum(c).alias(c) for c in ("ssq", "product", "squares")]).first()
+    m = np.array([normal_quantile((n - 1 - 0.375) / (n + 0.25)), normal_quantile((n - 0.375) / (n + 0.25))])
+    return _royston(n, sums["ssq"], sums["product"], m, np.array(low), np.array(high[::-1]), sums["squares"])
+
+
 def _small_table(df: DataFrame, names: Sequence[str]) -> list[tuple]:
     """The whole table has fewer than SMALL_TABLE rows; one bounded group per column."""
     entries = F.array(
@@ -136,8 +185,9 @@ def test_normality(
 ) -> DataFrame:
     """One row per numeric column.
 
-    ``method`` is ``shapiro_wilk``, which is defined for fewer than 5,000 rows,
-    ``anderson_darling``, or ``auto``: the first below that size, else the second.
+    ``method`` is ``shapiro_wilk``, ``anderson_darling``, or ``auto``: the first below 5,000 rows,
+    else the second. The p-value of the first was fitted to fewer than 5,000 rows; above, it is
+    the same formula carried on.
     """
     if method not in ("auto", "shapiro_wilk", "anderson_darling"):
         raise ValueError(f"unknown normality test '{method}'")
@@ -148,8 +198,6 @@ def test_normality(
         return local_rows(df.sparkSession, [], SCHEMA)
     moments = numeric_moments(df, names, shape=False)
     small = next(iter(moments.values()))["rows"] < SMALL_TABLE
-    if method == "shapiro_wilk" and not small:
-        raise ValueError(f"shapiro_wilk needs fewer than {SMALL_TABLE} rows")
     if small and method != "anderson_darling":
         return local_rows(df.sparkSession, _small_table(df, names), SCHEMA)
     rows = []
@@ -158,6 +206,9 @@ def test_normality(
         n = m["n"]
         if n < 8:
             rows.append((c, "insufficient_data", None, None, None, None, n))
+        elif method == "shapiro_wilk":
+            w, p = shapiro_wilk_of_column(df, c, m["mean"])
+            rows.append((c, "shapiro_wilk", w, p, None, p > 0.05, n))
         elif not m["std"]:
             rows.append((c, "error", None, None, None, None, n))
         else:

@@ -112,6 +112,18 @@ def test_anderson_darling_matches_definition(spark):
     assert math.isclose(row["statistic"], expected, rel_tol=1e-6)
 
 
+def test_shapiro_wilk_of_many_rows(spark):
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.normal(10, 2, 5_200).round(1), np.full(1_300, 11.0)]  # one value fills many blocks
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "one": 3.0}))
+    found = {r["column"]: r for r in normality.test_normality(df, method="shapiro_wilk").collect()}
+    w, p = normality.shapiro_wilk(x)
+    assert found["x"]["test"] == "shapiro_wilk" and found["x"]["n_valid"] == 6_500
+    assert math.isclose(found["x"]["statistic"], w, rel_tol=1e-10)
+    assert math.isclose(found["x"]["p_value"], p, abs_tol=1e-9)
+    assert found["one"]["statistic"] == 1.0 and found["one"]["is_normal"]
+
+
 def test_few_dates(spark):
     df = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2)], "d string, v int")
     assert temporal.temporal_patterns(df, "d").first()["status"] == "insufficient_valid_dates"
