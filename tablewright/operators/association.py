@@ -31,7 +31,7 @@ from tablewright.operators.ordering import attach_ranks, average_rank, column_pr
 
 MI_BINS = 16
 INFORMATIVE = 0.01
-#: Classes that meet another block of classes in one task.
+#: Classes up to which all pairs are visited, in one task.
 CLASS_BLOCK = 1_000
 
 Pair = tuple[str, str]
@@ -550,19 +550,19 @@ def variance_inflation(df: DataFrame, target: str, top_n: int | None = None) ->
     return local_rows(df.sparkSession, rows, schema)
 
 
-def _ratio_sums(left: tuple, right: tuple, same: bool) -> tuple[float, int]:
-    """Sum and number of Fisher ratios between two blocks of classes (or within one).
+def _ratio_sums(moments: tuple) -> tuple[float, int]:
+    """Sum and number of Fisher ratios between all pairs of classes.
 
-    A block is (count, mean, variance) by class; pairs without two rows each or without variance
-    do not count.
+    The classes are given as (count, mean, variance); pairs without two rows each or without
+    variance do not count.
     """
-    (n1, m1, v1), (n2, m2, v2) = left, right
+    n, m, v = moments
     total, pairs = 0.0, 0
-    for i in range(len(n1)):
-        rest = slice(i + 1, None) if same else slice(None)
-        spread = v1[i] + v2[rest]
-        usable = (n1[i] >= 2) & (n2[rest] >= 2) & (spread > 0)
-        gap = (m1[i] - m2[rest]) ** 2
+    for i in range(len(n)):
+        rest = slice(i + 1, None)
+        spread = v[i] + v[rest]
+        usable = (n[i] >= 2) & (n[rest] >= 2) & (spread > 0)
+        gap = (m[i] - m[rest]) ** 2
         total += float((gap[usable] / spread[usable]).sum())
         pairs += int(usable.sum())
     return total, pairs
@@ -571,9 +571,9 @@ def _ratio_sums(left: tuple, right: tuple, same: bool) -> tuple[float, int]:
 def separability(df: DataFrame, target: str, block: int = CLASS_BLOCK) -> DataFrame:
     """Fisher ratio per feature, averaged over class pairs.
 
-    The class moments stay a table. Classes are dealt into blocks of about ``block``, every two
-    blocks meet in one task, and only sums per feature come back; the number of classes has no
-    limit.
+    The class moments stay a table. Up to ``block`` classes meet pair by pair in one task; above,
+    the sums over all pairs come from sums over the classes (:func:`_pair_sums`), so the work grows
+    with the classes and not with their pairs, and the number of classes has no limit.
     """
     require_columns(df, [target])
     names = numeric_columns(df, exclude=[target])
@@ -588,36 +588,116 @@ def separability(df: DataFrame, target: str, block: int = CLASS_BLOCK) -> DataFr
             *[F.avg(as_double(c)).alias(f"m{i}") for i, c in enumerate(names)],
             *[F.var_samp(as_double(c)).alias(f"v{i}") for i, c in enumerate(names)],
         )
-        .withColumn("b", F.xxhash64("_class"))
         .drop("_class")
     )
-    blocks = -(-per_class.count() // block) or 1
-    own, other = F.pmod("b", F.lit(blocks)).cast("int"), F.col("other")
-    dealt = per_class.withColumn("b", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    ).withColumn("i", F.least("b", other)).withColumn("k", F.greatest("b", other)).drop("other")
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        i, k = int(rows["i"].iloc[0]), int(rows["k"].iloc[0])
-
-        def moments(part: pd.DataFrame, f: int) -> tuple:
-            return (part[f"n{f}"].to_numpy(), part[f"m{f}"].to_numpy(dtype=float),
-                    part[f"v{f}"].to_numpy(dtype=float))
-
-        left, right = rows[rows["b"] == i], rows[rows["b"] == k]
-        found = [(f, *_ratio_sums(moments(left, f), moments(right, f), i == k))
-                 for f in range(len(names))]
+        moments = [
+            (rows[f"n{f}"].to_numpy(), rows[f"m{f}"].to_numpy(dtype=float),
+             rows[f"v{f}"].to_numpy(dtype=float)) for f in range(len(names))]
+        found = [(f, *_ratio_sums(m)) for f, m in enumerate(moments)]
         return pd.DataFrame(found, columns=["f", "total", "pairs"])
 
-    sums = (
-        dealt.groupBy("i", "k").applyInPandas(meet, "f int, total double, pairs long")
-        .groupBy("f").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs")).collect()
-    )
-    rows = [(names[r["f"]], r["total"] / r["pairs"]) for r in sums if r["pairs"]]
+    if per_class.count() <= block:
+        sums = per_class.groupBy().applyInPandas(meet, "f int, total double, pairs long").collect()
+        rows = [(names[r["f"]], r["total"] / r["pairs"]) for r in sums if r["pairs"]]
+    else:
+        sums = _pair_sums(per_class, len(names))
+        rows = [(names[f], total / pairs) for f, (total, pairs) in sums.items() if pairs]
     rows.sort(key=lambda r: (-r[1], r[0]))
     return local_rows(df.sparkSession, rows, schema)
 
 
+def _rates(low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights c and rates t with sum(c exp(-t s)) = 1 / s for s from ``low`` to ``high``.
+
+    1 / s is the integral of exp(u - s exp(u)) over u. The trapezoid rule with step h is off by
+    about exp(-pi^2 / h), which is 1e-16 here; what is left of the first point, where the inner
+    exponential is 1 to within 1e-14, is a geometric series and one term of rate zero.
+    """
+    h = 0.25
+    first, last = math.log(1e-7) - math.log(high), math.log(40.0) - math.log(low)
+    u = first + h * np.arange(math.ceil((last - first) / h) + 1)
+    return np.r_[h * math.exp(first) / math.expm1(h), h * np.exp(u)], np.r_[0.0, np.exp(u)]
+
+
+def _pair_sums(per_class: DataFrame, features: int) -> dict[int, tuple[float, int]]:
+    """By feature: sum and number of the Fisher ratios of all class pairs.
+
+    A ratio is (m - m')^2 / (v + v'). With 1 / (v + v') as a sum of c exp(-t v) exp(-t v'), the
+    pairs of one rate t add up to (sum of weights) x (weighted squared deviations of the means),
+    the weights being exp(-t v). Classes without variance are kept apart, as their pairs with each
+    other do not count; a task returns a row per feature and rate.
+    """
+    usable = [(F.col(f"n{f}") >= 2) & F.col(f"v{f}").isNotNull() & ~F.isnan(f"v{f}")
+              for f in range(features)]
+    flat = F.array(*[
+        F.struct(F.lit(f).alias("f"), F.col(f"m{f}").alias("m"), F.col(f"v{f}").alias("v"))
+        for f in range(features)])
+    rows = per_class.select(F.inline(F.filter(F.transform(
+        F.arrays_zip(flat.alias("x"), F.array(*usable).alias("y")),
+        lambda z: F.when(z["y"], z["x"])), lambda z: z.isNotNull())))
+    moving = F.when(F.col("v") > 0, F.col("v"))
+    ranges = {r["f"]: r for r in rows.groupBy("f").agg(
+        F.min(moving).alias("low"), F.max(moving).alias("high"),
+        F.count(moving).alias("some"), F.count(F.lit(1)).alias("n")).collect()}
+    rates = {f: _rates(r["low"], 2 * r["high"]) for f, r in ranges.items() if r["some"]}
+
+    def merge(a: list, w: np.ndarray, m: np.ndarray, d: np.ndarray) -> list:
+        """Weights, weighted means and squared deviations of two sets of classes together."""
+        total = a[0] + w
+        part = np.divide(w, total, out=np.zeros_like(total), where=total > 0)
+        gap = m - a[1]
+        return [total, a[1] + gap * part, a[2] + d + gap * gap * a[0] * part]
+
+    def moments(weights: np.ndarray, m: np.ndarray) -> tuple:
+        w = weights.sum(1)
+        mean = np.divide(weights @ m, w, out=np.zeros_like(w), where=w > 0)
+        return w, mean, (weights * (m[None, :] - mean[:, None]) ** 2).sum(1)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for f, own in batch.groupby("f"):
+                if f not in rates:
+                    continue
+                t = rates[f][1]
+                m, v = own["m"].to_numpy(dtype=float), own["v"].to_numpy(dtype=float)
+                state = held.setdefault(f, [np.zeros(len(t) + 1) for _ in range(3)])
+                step = max(1, (1 << 20) // len(t))
+                for i in range(0, len(v), step):
+                    x, y = v[i : i + step], m[i : i + step]
+                    still = (x == 0).astype(float)[None, :]  # the last row: classes without variance
+                    weights = np.r_[np.exp(-t[:, None] * x[None, :]) * (1 - still), still]
+                    state = merge(state, *moments(weights, y))
+                held[f] = state
+        for f, (w, m, d) in held.items():
+            yield pd.DataFrame({"f": f, "j": np.arange(len(w)), "w": w, "m": m, "d": d})
+
+    parts = rows.mapInPandas(add, "f int, j int, w double, m double, d double")
+    both = cut_lineage(parts)
+    means = both.groupBy("f", "j").agg(
+        F.sum("w").alias("total"), F.sum(F.col("w") * F.col("m")).alias("wm"))
+    centred = both.join(means.withColumn("mean", F.when(
+        F.col("total") > 0, F.col("wm") / F.col("total")).otherwise(0.0)), ["f", "j"])
+    whole = centred.groupBy("f", "j").agg(
+        F.first("total").alias("w"), F.first("mean").alias("m"),
+        F.sum(F.col("d") + F.col("w") * (F.col("m") - F.col("mean")) ** 2).alias("d"),
+    ).orderBy("f", "j").toPandas()
+    found = {}
+    for f, r in ranges.items():
+        some, still = r["some"], r["n"] - r["some"]
+        pairs = some * (some - 1) // 2 + some * still
+        total = 0.0
+        if f in rates:
+            own = whole[whole["f"] == f]
+            w, m, d = (own[x].to_numpy() for x in ("w", "m", "d"))
+            moved = w[:-1] * w[-1] * (m[:-1] - m[-1]) ** 2 + w[-1] * d[:-1] + w[:-1] * d[-1]
+            total = float((rates[f][0] * (w[:-1] * d[:-1] + moved)).sum())
+        found[f] = (total, pairs)
+    return found
+
+
 def separability_summary(df: DataFrame, target: str) -> DataFrame:
     """Mean separability and the difficulty it stands for."""
     scores = separability(df, target)

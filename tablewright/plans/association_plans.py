@@ -499,7 +499,7 @@ def separability(spark, folder):
  UNION ALL SELECT 'o_orderkey', avg(pow(a.m2 - b.m2, 2) / (a.v2 + b.v2)) FROM k a JOIN k b ON a.c < b.c)""",
 )
 def separability_many_classes(spark, folder):
-    """Customers as classes of their orders: blocks of a hundred classes meet in tasks."""
+    """Customers as classes of their orders: more classes than are compared pair by pair."""
     orders = table(spark, folder, "orders").select("o_custkey", "o_totalprice", "o_orderkey")
     named = orders.withColumn("o_custkey", F.col("o_custkey").cast("string"))
     return rounded(association.separability(named, "o_custkey", block=100), "separability", digits=6)

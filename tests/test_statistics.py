@@ -176,3 +176,27 @@ def test_class_pairs_in_blocks(spark):
         m = m[m["size"] > 1].to_numpy()
         want = np.mean([(a[1] - b[1]) ** 2 / (a[2] + b[2]) for a, b in combinations(m, 2)])
         assert math.isclose(one[c], want, rel_tol=1e-9) and math.isclose(many[c], want, rel_tol=1e-9)
+
+
+def test_class_pairs_from_sums(spark, monkeypatch):
+    """Variances over many magnitudes, and classes without any; no pair is visited."""
+    rng = np.random.default_rng(9)
+    rows = [(f"c{k}", float(1e6 + rng.normal(k % 5, 1) + s * w))
+            for k in range(300) for w in [0.0 if k % 10 == 0 else 10.0 ** rng.uniform(-4, 5)]
+            for s in rng.normal(size=3).tolist()]
+    rows += [(f"z{k}", float(k)) for k in range(5) for _ in range(2)] + [("alone", 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    want, pairs = 0.0, 0
+    m = pd.DataFrame(rows, columns=["k", "x"]).groupby("k")["x"].agg(["size", "mean", "var"])
+    for a, b in combinations(m[m["size"] > 1].to_numpy(), 2):
+        if a[2] + b[2] > 0:
+            want, pairs = want + (a[1] - b[1]) ** 2 / (a[2] + b[2]), pairs + 1
+    monkeypatch.setattr(association, "_ratio_sums", lambda *_: 1 / 0)
+    found = association.separability(df, "k", 20).first().separability
+    assert math.isclose(found, want / pairs, rel_tol=1e-8)
+
+
+def test_rates_give_the_reciprocal():
+    s = np.geomspace(1e-9, 1e9, 500)
+    c, t = association._rates(1e-9, 1e9)
+    assert np.allclose((c * np.exp(-t * s[:, None])).sum(1) * s, 1, rtol=1e-13, atol=0)
