@@ -172,3 +172,28 @@ def test_dense_matrix_has_a_bound(spark):
     with pytest.raises(ValueError, match="more than 20 labels"):
         evaluation.confusion_matrix(df, most_labels=20)
     assert evaluation.confusion_matrix(df, dense=False, most_labels=20).count() == 50
+
+
+@pytest.mark.parametrize("power, dims", [(2.0, 3), (np.inf, 2), (1.0, 1), (3.0, 2), (2.0, 12)])
+def test_neighbours_by_boxes_and_pivots(spark, monkeypatch, power, dims):
+    """Gaps, copies, far queries and cells of fewer than k rows; few cells are searched for a query."""
+    rng = np.random.default_rng(2)
+    points = np.r_[rng.normal(size=(900, dims)), np.full((60, dims), 5.0),
+                   100 + rng.normal(size=(40, dims)) * 1e-7].round(6)
+    asked = np.r_[points[::7], rng.normal(size=(40, dims)) * 30]
+    train = spark.createDataFrame(pd.DataFrame(
+        {"tid": range(1_000), "x": points.tolist(), "y": points[:, 0]}), "tid long, x array<double>, y double")
+    queries = spark.createDataFrame(pd.DataFrame(
+        {"qid": range(len(asked)), "x": asked.tolist()}), "qid long, x array<double>")
+    seen, pairs = [], knn.pair_chunks
+    monkeypatch.setattr(knn, "pair_chunks", lambda q, t, *a: seen.append(q.count()) or pairs(q, t, *a))
+    found = knn.nearest_neighbours(queries, train, 7, power, pivots=150).toPandas()
+    gaps = np.abs(points[None] - asked[:, None])
+    d = gaps.max(2) if np.isinf(power) else (gaps**power).sum(2) ** (1 / power)
+    for q in range(len(asked)):
+        mine = found[found["qid"] == q].sort_values("place")
+        order = np.lexsort((np.arange(1_000), d[q].round(9)))[:7]
+        assert np.allclose(mine["dist"], d[q][order], atol=1e-9)
+        assert set(mine["tid"]) <= set(np.flatnonzero(d[q] <= d[q][order[-1]] + 1e-9))
+    if dims <= 2:  # pivots bound these worse
+        assert sum(seen) < 30 * len(asked)
