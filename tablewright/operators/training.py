@@ -34,6 +34,10 @@ from tablewright.operators.models import TREES, make_learner
 from tablewright.operators.splits import assign_folds, row_key
 
 MAX_CLASSES = 1_000
+#: Rows of a partition of a training set; iterative learners run a job over all of them per step.
+PART_ROWS = 100_000
+#: Rows up to which all fits of a model run at once: there a step takes longer to start than to run.
+SMALL_ROWS = 2_000_000
 
 
 @dataclass
@@ -139,11 +143,12 @@ def training_set(
         df = df.where(~any_missing(features))
     classes = target_classes(df, task.target) if task.is_classification else []
     labelled = encode_label(df, task, classes).where(F.col("label").isNotNull())
-    if missing == "error":
-        gaps = labelled.where(any_missing(features)).count()
-        if gaps:
-            raise ValueError(
-                f"{gaps} rows lack a feature; impute them first or pass missing='drop' or 'learn'")
+    seen = labelled.groupBy(F.col("label") if task.is_classification else F.lit(0).alias("label")).agg(
+        F.count(F.lit(1)).alias("count"), F.count_if(any_missing(features)).alias("gaps")).collect()
+    gaps = sum(r["gaps"] for r in seen)
+    if missing == "error" and gaps:
+        raise ValueError(
+            f"{gaps} rows lack a feature; impute them first or pass missing='drop' or 'learn'")
     assigned = assign_folds(
         labelled, key, folds, seed, task.target if task.is_classification else None
     )
@@ -155,7 +160,7 @@ def training_set(
     rows = assemble(keyed, features)
     balance = F.lit(1.0)
     if task.is_classification:
-        counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+        counts = {r["label"]: r["count"] for r in seen}
         total = sum(counts.values())
         weights = None
         for c, n in counts.items():
@@ -163,11 +168,10 @@ def training_set(
             same = F.col("label") == F.lit(c)
             weights = F.when(same, w) if weights is None else weights.when(same, w)
         balance = weights if weights is not None else balance
-    # every fit scans these rows many times: spread them evenly by key before writing them
-    spark = df.sparkSession
+    # every fit scans these rows many times: spread them evenly by key before writing them, in no
+    # more parts than the cores or the rows need, as each step of a fit pays for each part
     parts = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
+        df.sparkSession.sparkContext.defaultParallelism, -(-sum(r["count"] for r in seen) // PART_ROWS))
     rows = cut_lineage(
         rows.select(
             "row_key", "features", "label", "fold", balance.alias("weight")
@@ -262,6 +266,17 @@ def cross_validate(
     parallelism: int = 2, keep_predictions: bool = False,
 ) -> tuple[list[float], DataFrame | None]:
     """Score per fold; optionally the out-of-fold predictions of all rows."""
+    scores, predictions, _ = _fits(data, model, params, seed, parallelism, keep_predictions, False)
+    return scores, predictions
+
+
+def _fits(
+    data: TrainingSet, model: str, params: dict[str, Any] | None, seed: int, parallelism: int,
+    keep_predictions: bool, whole: bool,
+) -> tuple[list[float], DataFrame | None, Any]:
+    """The folds of ``cross_validate`` and, if ``whole``, a fit on all rows beside them."""
+    if data.n <= SMALL_ROWS:
+        parallelism = data.folds + 1
 
     def one(fold: int):
         train = data.rows.where(F.col("fold") != fold)
@@ -270,7 +285,11 @@ def cross_validate(
         predicted = apply_model(fitted, held_out)
         return score(predicted, data.task), predicted
 
-    results = _parallel([lambda f=f: one(f) for f in range(data.folds)], parallelism)
+    work = [lambda f=f: one(f) for f in range(data.folds)]
+    if whole:
+        work.append(lambda: data.fit(model, params, seed))
+    results = _parallel(work, parallelism)
+    fitted = results.pop() if whole else None
     predictions = None
     if keep_predictions:
         columns = [c for c in ("row_key", "fold", "label", "prediction", "probability")
@@ -278,7 +297,7 @@ def cross_validate(
         predictions = results[0][1].select(*columns)
         for _, p in results[1:]:
             predictions = predictions.unionByName(p.select(*columns))
-    return [s for s, _ in results], predictions
+    return [s for s, _ in results], predictions, fitted
 
 
 def train_model(
@@ -287,8 +306,8 @@ def train_model(
 ) -> Run:
     """k-fold scores, then a final fit on all rows."""
     start = time.time()
-    scores, predictions = cross_validate(data, model, params, seed, parallelism, keep_predictions)
-    fitted = data.fit(model, params, seed)
+    scores, predictions, fitted = _fits(
+        data, model, params, seed, parallelism, keep_predictions, True)
     metric = "accuracy" if data.task.is_classification else "r2"
     return Run(
         run_id or f"run_{uuid.uuid4().hex[:8]}_{model}", model, params or {}, metric, scores,

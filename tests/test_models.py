@@ -1,5 +1,7 @@
 """Training, ensembles, nearest neighbours, evaluation and error analysis of fitted models."""
 
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -197,3 +199,20 @@ def test_neighbours_by_boxes_and_pivots(spark, monkeypatch, power, dims):
         assert set(mine["tid"]) <= set(np.flatnonzero(d[q] <= d[q][order[-1]] + 1e-9))
     if dims <= 2:  # pivots bound these worse
         assert sum(seen) < 30 * len(asked)
+
+
+def test_training_set_has_parts_for_its_rows(spark, monkeypatch):
+    """Not one for each shuffle partition; and folds do not wait for each other on few rows."""
+    monkeypatch.setattr(training, "PART_ROWS", 20)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    rows = spark.range(300).selectExpr("id", "double(id % 7) x", "id % 2 c", "id * 2.0 y")
+    try:
+        for task, parts in ((TaskSpec("c", BINARY), 15), (TaskSpec("y", REGRESSION), 15)):
+            data = training.training_set(rows, ["x"], task, ["id"], 3)
+            assert data.rows.rdd.getNumPartitions() == parts and data.n == 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    waiting, fit = threading.Barrier(4, timeout=60), training.TrainingSet.fit
+    monkeypatch.setattr(training.TrainingSet, "fit", lambda *a: (waiting.wait(), fit(*a))[1])
+    run = training.train_model(data, "linear_regression", parallelism=1)
+    assert len(run.cv_scores) == 3 and run.model is not None
