@@ -95,22 +95,20 @@ def classification_report(
 
 def confusion_matrix(
     df: DataFrame, label: str = "label", prediction: str = "prediction", dense: bool = True,
-    most_labels: int = 2_000,
+    most_labels: int | None = None,
 ) -> DataFrame:
     """All label pairs with their counts, zeros included; only occupied ones if not ``dense``.
 
-    The dense form has the square of the number of labels as its rows, by its definition, and is
-    refused above ``most_labels``; the other form takes any number.
+    The dense form has the square of the number of labels as its rows, by its definition; with
+    ``most_labels`` it is refused above that number. The other form takes any number.
     """
     cells = confusion_cells(df, label, prediction)
     if not dense:
         return cells
     labels = cells.select(F.explode(F.array("label", "prediction")).alias("label")).distinct()
-    found = [r[0] for r in labels.limit(most_labels + 1).collect()]
-    if len(found) > most_labels:
+    if most_labels is not None and labels.limit(most_labels + 1).count() > most_labels:
         raise ValueError(f"more than {most_labels} labels: pass dense=False or a larger most_labels")
-    every = F.array(*[F.lit(v) for v in found])
-    grid = labels.select("label", F.explode(every).alias("prediction"))
+    grid = labels.crossJoin(labels.withColumnRenamed("label", "prediction"))
     return grid.join(cells, ["label", "prediction"], "left").select(
         "label", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
