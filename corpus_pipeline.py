@@ -7,15 +7,15 @@ reads them again, so a lost executor costs tasks of one stage only.
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.core import ensure_checkpoint_dir
+from tablewright.core import cut_lineage, ensure_checkpoint_dir
 from tablewright.llm import near_sets, packing, quality_classifier, quality_rules, repeats
+from tablewright.llm.common import free_disk
 
 #: Near-duplicates: Jaccard similarity of the sets of five-word shingles.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -50,17 +50,17 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group, that of the smallest id.
 
+    SimHash fingerprints meet by the generalised pigeonhole probing of op8 first; see ``near_sets``.
     A row is named by its id, null last, and its place in the table; so rows with equal or null
     ids are told apart, and of identical rows one stays. The places are written once and read
-    from there, as another scan may split the files otherwise and number the rows anew.
+    from there, as another scan may split the files otherwise and number the rows anew. They go
+    with the checkpoints of this stage and take no disk in later ones.
     """
     _begin(spark)
-    folder = f"{ensure_checkpoint_dir(spark)}/placed-{uuid.uuid4().hex}"
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # whatever the columns are called
-    docs.select(
+    placed = cut_lineage(docs.select(
         *[F.col(f"`{c}`").alias(n) for c, n in own.items()],
-        F.monotonically_increasing_id().alias("row")).write.parquet(folder)
-    placed = spark.read.parquet(folder)
+        F.monotonically_increasing_id().alias("row")))
     doc_id = F.col(own["doc_id"])
     key = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.col("row"))
     groups = near_sets.near_components(
@@ -94,8 +94,7 @@ def _begin(spark: SparkSession) -> None:
     worker take more memory than its work. What earlier stages left goes with their objects.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    free_disk(spark)
 
 
 def _own(docs: DataFrame) -> list:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,6 +29,18 @@ def release() -> None:
         trim(0)
 
 
+def free_disk(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove shuffles and checkpoints that nothing refers to any more.
+
+    It learns of them when the driver collects its garbage, which may be long after. The events of
+    a job that just ended still hold its plan for a moment, so a second collection follows.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,4 +1,8 @@
-"""Near-duplicates at a Jaccard similarity: SimHash cells of stated recall, verified on shingles."""
+"""Near-duplicates at a Jaccard similarity: SimHash with generalised pigeonhole, verified on shingles.
+
+Pigeonhole probing joins what is close first. Its reach is a number of differing bits, far fewer than
+sets at the threshold may have, so what it leaves apart meets in cells of sampled bits, of stated recall.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,14 @@ from pyspark.sql import types as T
 from tablewright.core import cut_lineage, fits_broadcast
 from tablewright.llm.common import map_rows, release, text_bytes
 from tablewright.llm.components import components
-from tablewright.llm.simhash import Probing, _distance, majority, probe_keys, shingle_hashes
+from tablewright.llm.simhash import (
+    Probing,
+    _distance,
+    majority,
+    near_links,
+    probe_keys,
+    shingle_hashes,
+)
 from tablewright.operators.lookup import HOT_SHARE, Lookup, attach
 
 BITS, SEED = 512, 20_260_301
@@ -26,6 +37,8 @@ MISS = 1e-3
 SHORT = 6
 #: Bits carried by a probe; differing bits allowed in them and, before verifying, in all.
 SKETCH, SKETCH_RADIUS, RADIUS = 128, 40, 116
+#: Differing bits of a sketch that pigeonhole parts are certain to find, and those at which they link.
+GUARANTEE, JOIN_RADIUS = 7, 20
 #: Probes wanted in a task's group, rows above which a cell is cut into blocks, rows compared with a
 #: block at once, and cost of comparing two rows against writing one.
 GROUP_ROWS, BLOCK_ROWS, ROWS_AT_ONCE, TEST_COST = 65_536, 2_048, 256, 0.002
@@ -164,6 +177,12 @@ def pair_run(
     return found
 
 
+def _ordered(links: DataFrame) -> DataFrame:
+    """Each link once, the later node first, so that many links end in few nodes."""
+    return cut_lineage(links.select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
 class NearSets:
     """The sets of one table, their cells and the verification of links between them."""
 
@@ -240,6 +259,12 @@ class NearSets:
         n = found.count()
         return (F.broadcast(found) if n <= BROADCAST_ROWS else found), n
 
+    def pigeonholed(self) -> DataFrame:
+        """Candidate links by generalised pigeonhole: all within GUARANTEE bits of a sketch are joined."""
+        sketches = self.nodes.select(
+            "node", F.substring("fingerprint", 1, SKETCH // 8).alias("fingerprint"))
+        return _ordered(near_links(sketches, JOIN_RADIUS, GUARANTEE, SKETCH))
+
     def stars(self, nodes: DataFrame, parts: int) -> tuple[DataFrame, int]:
         """Candidate links within the blocks of each cell, and the number of cells cut into blocks."""
         crowded, n = self.crowded(nodes, parts)
@@ -297,9 +322,7 @@ class NearSets:
         tagged = dealt.select("run", "node", "label", "size", "sketch", F.pmod(
             F.xxhash64("run"), F.lit(groups)).alias("grp"))
         found = tagged.groupBy("grp").applyInArrow(link, "a long, b long").where("a <> b")
-        # the later node first, so that many links end in few nodes
-        return cut_lineage(found.select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        return _ordered(found)
 
     def verified(self, pairs: DataFrame, nearest: bool = False) -> DataFrame:
         """The links whose texts have the similarity, after a look at the whole fingerprints.
@@ -382,21 +405,22 @@ class NearSets:
     def components(self) -> DataFrame:
         """Row, key and component (its smallest key) of every row.
 
-        Star links are verified first, then those between the representatives of what they joined,
-        until no cell of representatives is crowded, PASSES times at most; a hot group is one label
-        by then. Last, every near pair of different labels is verified, whatever is left.
+        Links of the pigeonhole parts are verified first, then star links between the representatives
+        of what was joined, until no cell of representatives is crowded, PASSES times at most; a hot
+        group is one label by then. Last, every near pair of different labels is verified, whatever
+        is left.
         """
         parts = len(self.probing.parts)
         few = -(-parts // 4)
-        alive, links = self.nodes.withColumn("label", F.col("node")), None
+        links = self.verified(self.pigeonholed(), nearest=True)
+        nodes = self.labelled(links)
         for _ in range(PASSES):
-            candidates, blocks = self.stars(alive, few)
+            candidates, blocks = self.stars(nodes.where("label = node"), few)
             found = self.verified(candidates, nearest=True)
-            links = found if links is None else links.union(found)
+            links = links.union(found)
             nodes = self.labelled(links)
             if not blocks or found.isEmpty():
                 break
-            alive = nodes.where("label = node")
         links = links.union(self.verified(self.pairs(nodes, parts)))
         nodes = self.labelled(links)
         lowest = nodes.groupBy("label").agg(F.min("low").alias("component"))

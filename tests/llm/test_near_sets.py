@@ -1,6 +1,7 @@
 """The near-dedup stage of the pipeline against brute-force Jaccard similarities."""
 
 import math
+import pathlib
 import random
 from math import comb
 
@@ -10,6 +11,7 @@ import zstandard
 from helpers import awkward_texts, components_of, documents, raw
 
 import corpus_pipeline
+from tablewright.core import ensure_checkpoint_dir
 from tablewright.llm import near_sets, simhash
 
 
@@ -145,3 +147,44 @@ def test_held_sets_are_bounded_by_bytes(monkeypatch):
             assert sets.size <= 3_000 and sets.size == sum(len(k) + v.nbytes for k, v in sets.held.items())
     long = pack(" ".join(map(str, range(1_000))).encode())
     assert len(sets.get(long)) == 996 and list(sets.held) == [long]
+
+
+def test_pigeonhole_parts_find_what_they_guarantee(spark):
+    """The first step finds close texts by itself; all within the guaranteed bits are joined."""
+    r, rows = random.Random(11), []
+    for _ in range(12):
+        base = [f"w{r.randrange(10**6)}" for _ in range(600)]
+        rows += [[*base[:k], f"x{k}", *base[k + 1 :]] for k in range(50, 600, 100)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    table = spark.createDataFrame([(i, i, t) for i, t in rows], "row long, key long, text string")
+    sets = near_sets.NearSets(table, 5, 0.8)
+    nodes = sets.nodes.collect()
+    place = {r.node: i for i, r in enumerate(nodes)}
+    links = {(place[r.a], place[r.b]) for r in sets.pigeonholed().collect()}
+    assert all(nodes[a].node > nodes[b].node for a, b in links)
+    words = np.frombuffer(b"".join(r.fingerprint[:16] for r in nodes), np.uint64).reshape(-1, 2)
+    apart = simhash._distance(words[:, None, :], words[None, :, :])
+    close = np.argwhere(np.triu(apart <= near_sets.GUARANTEE, 1)).tolist()
+    joined = components_of(len(nodes), links)
+    assert len(close) > 20 and all(joined[a] == joined[b] for a, b in close)
+    assert sets.verified(sets.pigeonholed(), nearest=True).count() > 20
+
+
+def test_stage_joins_by_pigeonhole_parts(spark, monkeypatch):
+    """Close copies are one label before any cell is looked at."""
+    asked, stars = [], near_sets.NearSets.stars
+    monkeypatch.setattr(near_sets.NearSets, "stars", lambda self, nodes, parts: (
+        asked.append((self.count, nodes.count())), stars(self, nodes, parts))[1])
+    base = [f"w{i}" for i in range(600)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 600, 20)]
+    found = corpus_pipeline.simhash_stage(spark, documents(spark, list(enumerate(texts))), "")
+    assert [r.doc_id for r in found.collect()] == [0]
+    assert asked[0][0] == 30 and asked[0][1] < 15
+
+
+def test_stage_leaves_no_copy_of_the_texts(spark):
+    """The numbered rows are a checkpoint, which is cleaned, not a folder that stays."""
+    folder = pathlib.Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    docs = documents(spark, list(enumerate(edited_texts(2, 3))))
+    corpus_pipeline.simhash_stage(spark, docs, "").count()
+    assert not list(folder.glob("placed-*"))
