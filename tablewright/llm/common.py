@@ -33,12 +33,12 @@ def free_disk(spark: SparkSession) -> None:
     """Have Spark's cleaner remove shuffles and checkpoints that nothing refers to any more.
 
     It learns of them when the driver collects its garbage, which may be long after. The events of
-    a job that just ended still hold its plan for a moment, so a second collection follows.
+    a job that just ended still hold its plan for some seconds, so further collections follow.
     """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
-    spark.sparkContext._jvm.System.gc()
+    for wait in (0, 1, 3):
+        time.sleep(wait)
+        spark.sparkContext._jvm.System.gc()
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.core import cut_lineage
-from tablewright.llm.common import release, slices, text_bytes
+from tablewright.llm.common import free_disk, release, slices, text_bytes
 
 #: Length of an anchor, text bytes of a block of texts, run bytes above which the runs of a bucket
 #: are split over several tasks, and run bytes of one suffix array (each takes some 80 bytes).
@@ -41,8 +41,10 @@ ANCHOR, BLOCK_BYTES, BUCKET_BYTES, ARRAY_BYTES = 16, 8 << 20, 16 << 20, 1 << 20
 RANGES = 2
 #: Text bytes gathered in a task before they are dealt out.
 GATHER_BYTES = 8 << 20
-#: Text bytes hashed at once: each takes about a hundred bytes of arrays.
-HASHED_BYTES = 1 << 19
+#: Text bytes hashed at once: each takes about a hundred bytes of arrays, which stay in the cache.
+HASHED_BYTES = 1 << 16
+#: Text bytes from which shuffles that are done with are freed between steps, which takes seconds.
+FREED_BYTES = 64 << 20
 #: Id of a text whose ids are all null: later than any other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -52,7 +54,7 @@ _BASE = 0x9E3779B97F4A7C15
 
 
 def _pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
 
 def _unpack(block: bytes) -> tuple:
@@ -729,8 +731,13 @@ def _found(df: DataFrame, least: int, id_column: str, text_column: str) -> tuple
         F.lit(None).cast("long").alias("id")).unionByName(known)
     blocks = text_blocks(texts, parts)
     runs = cut_lineage(collect_runs(blocks, notes, least, parts, bits))
-    spans = runs.where(F.col("kind") == SPANS).select("part", "block").unionByName(
-        compare(runs.where(F.col("kind") == RUNS), least, parts).select("part", "block"))
+    if total >= FREED_BYTES:
+        free_disk(df.sparkSession)  # marks and texts were shuffled for the runs only
+    spans = cut_lineage(runs.where(F.col("kind") == SPANS).select("part", "block").unionByName(
+        compare(runs.where(F.col("kind") == RUNS), least, parts).select("part", "block")))
+    del runs
+    if total >= FREED_BYTES:
+        free_disk(df.sparkSession)  # the spans are all that is left of the runs
     return narrow, first, blocks, spans
 
 
@@ -745,7 +752,7 @@ def remove_repeats(
     id has, later rows lose everything if they are long enough. Rows of equal id and different
     text do not take from each other. A null id is later than any other, and null ids do not take
     from each other; a null text is empty. An empty table gives no rows. Other columns are not
-    read. A task holds a few texts at a time, whole, and hashes them half a megabyte at a time; a
+    read. A task holds a few texts at a time, whole, and hashes them 64 KB at a time; a
     longer text is hashed in overlapping parts.
     """
     narrow, first, blocks, spans = _found(df, least, id_column, text_column)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ import xxhash
 from helpers import awkward_texts, components_of, documents, prose, raw
 
 from tablewright.llm import components, embedding_links, repeats, simhash
+from tablewright.llm.common import free_disk
 
 
 def plain_fingerprint(text):
@@ -313,3 +315,34 @@ def test_planes_round_trip():
         values = np.sort(r.integers(0, 1 << 62, n, dtype=np.uint64))
         assert (repeats._from_planes(repeats._planes(values)) == values).all()
         assert (repeats._from_steps(repeats._steps(values)) == values).all()
+
+
+def test_runs_leave_no_shuffles_behind(spark, monkeypatch):
+    """What was shuffled to find the runs is gone before the texts are shuffled again."""
+    monkeypatch.setattr(repeats, "FREED_BYTES", 0)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(200)) for _ in range(200)]
+    docs = documents(spark, [(i, t + texts[i // 2]) for i, t in enumerate(texts)]).cache()
+    docs.count()
+    free_disk(spark)
+    time.sleep(2)
+    before = disk.getAllFiles().size()
+    kept = repeats._found(docs, 50, "doc_id", "text")
+    for _ in range(20):
+        time.sleep(0.5)
+        if disk.getAllFiles().size() <= before:
+            break
+    assert kept and disk.getAllFiles().size() <= before
+
+
+def test_hashing_slices_change_no_runs(monkeypatch):
+    """Arrays of a slice stay small; the slice's size does not show in the runs."""
+    assert repeats.HASHED_BYTES <= 1 << 17
+    r = random.Random(6)
+    texts = [bytes(r.choices(b"abcdefgh ", k=r.randrange(60, 900))) for _ in range(300)]
+    found = []
+    for size in (1 << 19, repeats.HASHED_BYTES, 1 << 12):
+        monkeypatch.setattr(repeats, "HASHED_BYTES", size)
+        found.append(sorted(zip(*(x.tolist() for x in repeats._all_runs(texts, 50)))))
+    assert found[0] == found[1] == found[2]
