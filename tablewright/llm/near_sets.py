@@ -7,7 +7,7 @@ sets at the threshold may have, so what it leaves apart meets in cells of sample
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -157,26 +157,121 @@ def star_run(words: np.ndarray, size: np.ndarray, threshold: float) -> list[tupl
 
 
 def pair_run(
-    words: np.ndarray, size: np.ndarray, label: np.ndarray, threshold: float
-) -> list[tuple]:
-    """Candidate links between all near rows of different labels.
-
-    One side of each is a row that does not have the run's most common label.
+    words: np.ndarray, size: np.ndarray, label: np.ndarray, threshold: float, part: int,
+    probing: Probing,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of a run that are near by their whole fingerprints and differ in label.
+
+    One side of each is a row that does not have the run's most common label. A pair that also
+    meets in the cell of an earlier part is left to it, so cells share out the work; where sets
+    meet by a hash (``part`` beyond the parts) nothing is left out.
     """
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     values, at, counts = np.unique(label, return_inverse=True, return_counts=True)
-    if len(values) < 2:
-        return []
     common = at == counts.argmax()
-    rest, found = np.flatnonzero(~common), []
+    rest, earlier = np.flatnonzero(~common), None
     for i in range(0, len(rest), ROWS_AT_ONCE):
-        left = rest[i : i + ROWS_AT_ONCE]
-        near = _near(words, size, left, threshold) & (at[left, None] != at[None, :])
-        near &= common[None, :] | (np.arange(len(words))[None, :] < left[:, None])
+        own = rest[i : i + ROWS_AT_ONCE]
+        low, high = (f(size[own, None], size[None, :]) for f in (np.minimum, np.maximum))
+        near = (_distance(words[own, None, :], words[None, :, :]) <= RADIUS) | (low <= SHORT)
+        near &= (low >= threshold * high - 1e-9) & (at[own, None] != at[None, :])
+        near &= common[None, :] | (np.arange(len(words))[None, :] < own[:, None])
         a, b = np.nonzero(near)
-        found.append((left[a], b))
+        a = own[a]
+        if len(a) and 0 < part < len(probing.parts):
+            if earlier is None:
+                before = Probing(probing.parts[:part], probing.radii[:part])
+                packed = words.view(np.uint8).reshape(len(words), -1)
+                earlier = [key for key, _ in probe_keys(packed, before)]
+            for key in earlier:
+                first = key[a] != key[b]
+                a, b = a[first], b[first]
+        left.append(a)
+        right.append(b)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _chunks(size: np.ndarray, most: int) -> list[np.ndarray]:
+    """Rows in runs of at most ``most`` bytes of hashes; a larger set is a run of its own."""
+    cuts, total = [0], 0
+    for i, n in enumerate(size.tolist()):
+        if total and total + 8 * n > most:
+            cuts.append(i)
+            total = 0
+        total += 8 * n
+    return [np.arange(s, e) for s, e in zip(cuts, [*cuts[1:], len(size)])]
+
+
+def joined_run(
+    sets: Callable[[int], np.ndarray], size: np.ndarray, label: np.ndarray, left: np.ndarray,
+    right: np.ndarray, threshold: float,
+) -> list[tuple[int, int]]:
+    """Links that join all rows of a run which candidate pairs of the threshold connect.
+
+    ``sets`` gives a row's distinct hashes. Every pair is decided by its sets, unless links found
+    before connect it already. Two chunks of sets are held at a time.
+    """
+    if not len(left):
+        return []
+    chunks, found = _chunks(size, HELD_BYTES), []
+    home = np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])
+    label = label.copy()
+    low, high = np.minimum(left, right), np.maximum(left, right)
+    order = np.lexsort((high, low, home[high], home[low]))
+    low, high = low[order], high[order]
+    meet = home[low] * len(chunks) + home[high]
+    held: dict[int, dict[int, np.ndarray]] = {}
+    for at in np.split(np.arange(len(low)), np.flatnonzero(meet[1:] != meet[:-1]) + 1):
+        held = {c: held.get(c, {}) for c in {home[low[at[0]]], home[high[at[0]]]}}
+        used = np.unique(np.r_[low[at], high[at]]).tolist()
+        for i in used:
+            if i not in held[home[i]]:
+                held[home[i]][i] = sets(i)
+        ids = np.unique(np.concatenate([held[home[i]][i] for i in used]), return_inverse=True)[1]
+        number = dict(zip(used, np.split(ids, np.cumsum([len(held[home[i]][i]) for i in used])[:-1])))
+        mark = np.zeros(ids.max(initial=0) + 1, bool)
+        starts = np.flatnonzero(np.r_[True, low[at][1:] != low[at][:-1]])
+        for s, e in zip(starts, np.r_[starts[1:], len(at)]):
+            a, others = int(low[at[s]]), high[at[s:e]]
+            others = others[label[others] != label[a]]
+            if not len(others):
+                continue
+            mark[number[a]] = True
+            for i in range(0, len(others), TEXTS_AT_ONCE):
+                b = others[i : i + TEXTS_AT_ONCE]
+                own_sizes = np.array([len(number[j]) for j in b.tolist()])
+                if not own_sizes.all():  # an empty set is near none but itself
+                    b, own_sizes = b[own_sizes > 0], own_sizes[own_sizes > 0]
+                    if not len(b):
+                        continue
+                hits = mark[np.concatenate([number[j] for j in b.tolist()])]
+                both = np.add.reduceat(hits.astype(np.int64), np.cumsum(own_sizes) - own_sizes)
+                total = len(number[a]) + own_sizes - both
+                for j in b[both >= threshold * total - 1e-9].tolist():
+                    if label[j] != label[a]:
+                        found.append((a, j))
+                        label[label == label[j]] = label[a]
+            mark[number[a]] = False
     return found
 
 
+def _runs_across(table: pa.Table, threshold: float, probing: Probing) -> Iterator[tuple]:
+    """Rows of each run with a near pair of different labels, by node; their columns and pairs."""
+    run, part, node, label, size = (
+        table.column(c).to_numpy() for c in ("run", "part", "node", "label", "size"))
+    words = np.frombuffer(
+        b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(run), -1)
+    order = np.lexsort((node, run))
+    starts = np.flatnonzero(np.r_[True, run[order][1:] != run[order][:-1]])
+    for s, e in zip(starts, np.r_[starts[1:], len(order)]):
+        at = order[s:e]
+        if e - s < 2 or (label[at] == label[at[0]]).all():
+            continue
+        left, right = pair_run(words[at], size[at], label[at], threshold, part[at[0]], probing)
+        if len(left):
+            yield at, (node[at], label[at], size[at]), left, right
+
+
 def _ordered(links: DataFrame) -> DataFrame:
     """Each link once, the later node first, so that many links end in few nodes."""
     return cut_lineage(links.select(
@@ -212,8 +307,11 @@ class NearSets:
         self.probing = cell_parts(self.count, threshold)
         self.parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def probes(self, nodes: DataFrame, parts: int) -> DataFrame:
-        """One row for each node, of the columns given and ``label``, in each of its cells."""
+    def probes(self, nodes: DataFrame, parts: int, bits: int = SKETCH) -> DataFrame:
+        """One row for each node, of the columns given and ``label``, in each of its cells.
+
+        The sketch of a row is the first ``bits`` of its fingerprint.
+        """
         probing = Probing(self.probing.parts[:parts], self.probing.radii[:parts])
         out = T.StructType([
             T.StructField("cell", T.LongType()), T.StructField("node", T.LongType()),
@@ -225,10 +323,10 @@ class NearSets:
                 if not batch.num_rows:
                     continue
                 prints = batch.column(4).to_pylist()
-                sketch = pa.array([p[: SKETCH // 8] for p in prints], pa.binary())
+                sketch = pa.array([p[: bits // 8] for p in prints], pa.binary())
                 own = [*(batch.column(i) for i in range(3)), sketch]
-                bits = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
-                for cell, _ in probe_keys(bits, probing):
+                packed = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
+                for cell, _ in probe_keys(packed, probing):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(cell.astype(np.int64)), *own], names=out.names)
                 short = [np.frombuffer(x, np.uint64) >> np.uint64(2) for x in
@@ -271,12 +369,14 @@ class NearSets:
         side = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))
         dealt = self.probes(nodes, parts).join(crowded, "cell", "left").withColumn(
             "run", F.xxhash64("cell", side))
-        return self._candidates(dealt, parts, False), n
+        return self._candidates(dealt, parts), n
 
-    def pairs(self, nodes: DataFrame, parts: int) -> DataFrame:
-        """All candidate links between nodes of different labels.
+    def across(self, nodes: DataFrame, parts: int) -> DataFrame:
+        """Verified links that join what near pairs of different labels connect.
 
-        In a crowded cell, blocks of the commonest label meet the blocks of the rest only.
+        In a crowded cell, blocks of the commonest label meet the blocks of the rest only. No pairs
+        are written: a run of nodes that meet returns those with a near pair, which are brought
+        together again with their texts and return links without cycles.
         """
         crowded, _ = self.crowded(nodes, parts)
         of = F.xxhash64("node", F.lit(1))
@@ -291,17 +391,49 @@ class NearSets:
                 F.lit("r"), F.least(own, j.cast("long")), F.greatest(own, j.cast("long")))))
         runs = F.when(F.col("blocks").isNull(), F.array(F.xxhash64("cell"))).when(
             F.col("label") == F.col("top"), top).otherwise(rest)
-        dealt = self.probes(nodes, parts).join(crowded, "cell", "left").withColumn(
-            "run", F.explode(runs))
-        return self._candidates(dealt, parts, True)
-
-    def _candidates(self, dealt: DataFrame, parts: int, across: bool) -> DataFrame:
+        dealt = self.probes(nodes, parts, BITS).join(crowded, "cell", "left").withColumn(
+            "run", F.explode(runs)).withColumn("part", F.shiftright("cell", 40).cast("int"))
+        threshold, probing, shingle = self.threshold, self.probing, self.words
+        columns = ["run", "part", "node", "label", "size", "sketch"]
+
+        def near_rows(table: pa.Table) -> pa.Table:
+            kept = [np.zeros(0, np.int64)]
+            for at, _, left, right in _runs_across(table, threshold, probing):
+                kept.append(at[np.unique(np.r_[left, right])])
+            return table.select(columns).take(pa.array(np.concatenate(kept)))
+
+        def join(table: pa.Table) -> pa.Table:
+            coder, texts, found = zstandard.ZstdDecompressor(), table.column("text"), []
+            for at, (node, label, size), left, right in _runs_across(table, threshold, probing):
+                links = joined_run(
+                    lambda i: np.unique(shingle_hashes(  # noqa: B023
+                        coder.decompress(texts[int(at[i])].as_py()), shingle)),  # noqa: B023
+                    size, label, left, right, threshold)
+                found += [(node[i], node[j]) for i, j in links]
+            release()
+            return pa.table({c: pa.array([x[k] for x in found], pa.int64())
+                             for k, c in enumerate(("a", "b"))})
+
+        shape = "run long, part int, node long, label long, size int, sketch binary"
+        groups = F.lit(max(self.parallel, self.count * parts // GROUP_ROWS))
+        met = cut_lineage(
+            dealt.select(*columns, F.pmod(F.xxhash64("run"), groups).alias("grp"))
+            .groupBy("grp").applyInArrow(near_rows, shape))
+        packed, count, size = self._packed(met.select("node").distinct())
+        text = F.broadcast(packed) if fits_broadcast(count, 32 * count + SMALL_TEXTS * size) else packed
+        rows, size = met.join(packed.select("node", F.octet_length("text").alias("n")), "node").agg(
+            F.count(F.lit(1)), F.sum("n")).first()
+        groups = F.lit(max(self.parallel, (size or 0) // HELD_BYTES, rows // GROUP_ROWS))
+        found = met.join(text, "node").select(
+            *columns, "text", F.pmod(F.xxhash64("run"), groups).alias("grp"))
+        return _ordered(found.groupBy("grp").applyInArrow(join, "a long, b long"))
+
+    def _candidates(self, dealt: DataFrame, parts: int) -> DataFrame:
         threshold = self.threshold
         groups = max(self.parallel, self.count * parts // GROUP_ROWS)
 
         def link(table: pa.Table) -> pa.Table:
-            run, node, label, size = (
-                table.column(c).to_numpy() for c in ("run", "node", "label", "size"))
+            run, node, size = (table.column(c).to_numpy() for c in ("run", "node", "size"))
             words = np.frombuffer(
                 b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(run), -1)
             order = np.lexsort((node, run))
@@ -311,19 +443,37 @@ class NearSets:
                 if e - s < 2:
                     continue
                 at = order[s:e]
-                found = (pair_run(words[at], size[at], label[at], threshold) if across
-                         else star_run(words[at], size[at], threshold))
-                for a, b in found:
+                for a, b in star_run(words[at], size[at], threshold):
                     left.append(node[at[a]])
                     right.append(node[at[b]])
             return pa.table({"a": pa.array(np.concatenate(left), pa.int64()),
                              "b": pa.array(np.concatenate(right), pa.int64())})
 
-        tagged = dealt.select("run", "node", "label", "size", "sketch", F.pmod(
+        tagged = dealt.select("run", "node", "size", "sketch", F.pmod(
             F.xxhash64("run"), F.lit(groups)).alias("grp"))
         found = tagged.groupBy("grp").applyInArrow(link, "a long, b long").where("a <> b")
         return _ordered(found)
 
+    def _packed(self, nodes: DataFrame) -> tuple[DataFrame, int, int]:
+        """Compressed texts of distinct nodes, their number and bytes."""
+        ends = cut_lineage(nodes.join(self.nodes.select("node", "row"), "node").select("node", "row"))
+        if ends.count() <= BROADCAST_ROWS:
+            ends = F.broadcast(ends)
+        texts = self.rows.select("row", "text").join(ends, "row").select("node", "text")
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coder = zstandard.ZstdCompressor(level=1)
+            for batch in batches:
+                for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                    part = batch.slice(i, TEXTS_AT_ONCE)
+                    own = [coder.compress(t) for t in text_bytes(part.column(1))]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(own, pa.binary())], names=["node", "text"])
+
+        packed = cut_lineage(texts.mapInArrow(pack, "node long, text binary"))
+        count, size = packed.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+        return packed, count, size or 0
+
     def verified(self, pairs: DataFrame, nearest: bool = False) -> DataFrame:
         """The links whose texts have the similarity, after a look at the whole fingerprints.
 
@@ -355,24 +505,9 @@ class NearSets:
             near = near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
         wanted = cut_lineage(near.select("a", "b"))
         total = wanted.count()
-        ends = cut_lineage(wanted.select(F.col("a").alias("node")).union(wanted.select("b"))
-                           .distinct().join(self.nodes.select("node", "row"), "node"))
-        if ends.count() <= BROADCAST_ROWS:
-            ends = F.broadcast(ends)
-        texts = self.rows.select("row", "text").join(ends, "row").select("node", "text")
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coder = zstandard.ZstdCompressor(level=1)
-            for batch in batches:
-                for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                    part = batch.slice(i, TEXTS_AT_ONCE)
-                    own = [coder.compress(t) for t in text_bytes(part.column(1))]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array(own, pa.binary())], names=["node", "text"])
-
-        packed = cut_lineage(texts.mapInArrow(pack, "node long, text binary"))
-        count, size = packed.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-        small = fits_broadcast(count, 32 * count + SMALL_TEXTS * (size or 0))
+        packed, count, size = self._packed(
+            wanted.select(F.col("a").alias("node")).union(wanted.select("b")).distinct())
+        small = fits_broadcast(count, 32 * count + SMALL_TEXTS * size)
 
         def texts_of(end: str) -> Lookup:
             """Texts by node; the nodes at that end of many links are dealt out by ``attach``."""
@@ -421,7 +556,7 @@ class NearSets:
             nodes = self.labelled(links)
             if not blocks or found.isEmpty():
                 break
-        links = links.union(self.verified(self.pairs(nodes, parts)))
+        links = links.union(self.across(nodes, parts))
         nodes = self.labelled(links)
         lowest = nodes.groupBy("label").agg(F.min("low").alias("component"))
         named = nodes.join(lowest, "label").select("digest", "component")

@@ -188,3 +188,64 @@ def test_stage_leaves_no_copy_of_the_texts(spark):
     docs = documents(spark, list(enumerate(edited_texts(2, 3))))
     corpus_pipeline.simhash_stage(spark, docs, "").count()
     assert not list(folder.glob("placed-*"))
+
+
+def unlinked_group(r, n, words=200):
+    """Texts near one that is not there: by their bits all are near each other, by their sets few link."""
+    base = [f"v{r.randrange(10**6)}" for _ in range(words)]
+    texts = []
+    for _ in range(n):
+        own = list(base)
+        for at in r.sample(range(words), r.randrange(3, 7)):
+            own[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def all_groups(texts):
+    """The same as ``stage_groups`` where most texts have shingles in common."""
+    sets = [grams(t) for t in texts]
+    near = {(a, b) for a in range(len(sets)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8 - 1e-9}
+    return near, components_of(len(sets), near)
+
+
+def test_last_pass_writes_no_pairs(spark, monkeypatch):
+    """A group that does not link gives rows and links in proportion to its nodes, none is missed."""
+    texts = unlinked_group(random.Random(21), 250)
+    rows = list(enumerate(texts))
+    near, joined = all_groups(texts)
+    table = spark.createDataFrame([(i, i, t) for i, t in rows], "row long, key long, text string")
+    sets = near_sets.NearSets(table, 5, 0.8)
+    parts = len(sets.probing.parts)
+    made, cut = [], near_sets.cut_lineage
+    monkeypatch.setattr(near_sets, "cut_lineage", lambda df: (
+        made.append((df.columns, (kept := cut(df)).count())), kept)[1])
+    place = {r.node: r.row for r in sets.nodes.collect()}
+    links = [(place[r.a], place[r.b]) for r in sets.across(
+        sets.nodes.withColumn("label", near_sets.F.col("node")), parts).collect()]
+    assert components_of(len(rows), set(links)) == joined
+    assert {(max(x), min(x)) for x in links} <= near
+    assert max(n for _, n in made) <= (parts + 1) * len(rows) < 250 * 249 // 2
+
+
+@pytest.mark.parametrize("held", [2_000, 8 << 20])
+def test_runs_of_all_parts_find_each_near_pair_once(monkeypatch, held):
+    monkeypatch.setattr(near_sets, "HELD_BYTES", held)
+    texts = unlinked_group(random.Random(4), 120) + edited_texts(9, 20)
+    hashes = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    prints = np.frombuffer(b"".join(simhash.majority(x, 512) for x in hashes), np.uint8)
+    prints = prints.reshape(len(texts), -1)
+    words, size, label = prints.view(np.uint64), np.array([len(x) for x in hashes]), np.arange(len(texts))
+    probing, seen, links = near_sets.cell_parts(1_000, 0.8), [], []
+    for k in range(len(probing.parts)):
+        own = simhash.Probing(probing.parts[k : k + 1], (0,))
+        (keys, _), = simhash.probe_keys(prints, own)
+        for key in np.unique(keys):
+            at = np.flatnonzero(keys == key)
+            a, b = near_sets.pair_run(words[at], size[at], label[at], 0.8, k, probing)
+            seen += [tuple(sorted(x)) for x in zip(at[a].tolist(), at[b].tolist())]
+            links += [(int(at[i]), int(at[j])) for i, j in near_sets.joined_run(
+                lambda i: hashes[at[i]], size[at], label[at], a, b, 0.8)]  # noqa: B023
+    assert len(seen) == len(set(seen)) > 3_000
+    _, joined = all_groups(texts)
+    assert components_of(len(texts), set(links)) == joined and len(links) < len(seen) / 3
