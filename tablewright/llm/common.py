@@ -29,14 +29,14 @@ def release() -> None:
         trim(0)
 
 
-def free_disk(spark: SparkSession) -> None:
+def free_disk(spark: SparkSession, waits: tuple[int, ...] = (0, 1, 3)) -> None:
     """Have Spark's cleaner remove shuffles and checkpoints that nothing refers to any more.
 
     It learns of them when the driver collects its garbage, which may be long after. The events of
     a job that just ended still hold its plan for some seconds, so further collections follow.
     """
     gc.collect()
-    for wait in (0, 1, 3):
+    for wait in waits:
         time.sleep(wait)
         spark.sparkContext._jvm.System.gc()
 

@@ -249,3 +249,19 @@ def test_runs_of_all_parts_find_each_near_pair_once(monkeypatch, held):
     assert len(seen) == len(set(seen)) > 3_000
     _, joined = all_groups(texts)
     assert components_of(len(texts), set(links)) == joined and len(links) < len(seen) / 3
+
+
+def test_finished_passes_leave_no_shuffles_on_disk(spark):
+    """Shuffles of earlier passes go while the stage runs, not when the driver happens to collect garbage."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    places = [pathlib.Path(d.getPath()) for d in disk.localDirs()]
+
+    def shuffles():
+        return {f.name.split("_")[1] for d in places for f in d.rglob("shuffle_*")}
+
+    before = shuffles()
+    rows = list(enumerate(edited_texts(11, 60)))
+    docs = documents(spark, rows)
+    keyed = docs.selectExpr("doc_id AS row", "doc_id AS key", "text")
+    assert near_sets.near_components(keyed, 5, 0.8).count() == len(rows)
+    assert len(shuffles() - before) < 12
