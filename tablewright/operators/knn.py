@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from tablewright.core import cut_lineage, local_rows
 
-CHUNK_ROWS = 20_000
-QUERY_ROWS = 20_000
+#: Training rows and queries of a group, which a task holds whole: two megabytes each at 64 numbers.
+CHUNK_ROWS = 4_096
+QUERY_ROWS = 4_096
 #: Distances held at once; rows of (query, cell) handed on at once.
-BLOCK_PAIRS, PAIRS_AT_ONCE = 2_000_000, 20_000
+BLOCK_PAIRS, PAIRS_AT_ONCE = 250_000, 4_096
 MAX_PIVOTS = 1_024
 #: Dimensions up to which cells are boxes; rows wanted in a box, boxes at most, sample rows for each.
 BOX_DIMENSIONS, BOX_ROWS, MAX_BOXES, BOX_SAMPLE = 8, 1_500, 16_384, 16

@@ -216,3 +216,23 @@ def test_training_set_has_parts_for_its_rows(spark, monkeypatch):
     monkeypatch.setattr(training.TrainingSet, "fit", lambda *a: (waiting.wait(), fit(*a))[1])
     run = training.train_model(data, "linear_regression", parallelism=1)
     assert len(run.cv_scores) == 3 and run.model is not None
+
+
+def test_groups_of_neighbours_stay_small(spark, monkeypatch):
+    """A crowded cell and its queries are cut into groups of a few megabytes, which a worker holds whole."""
+    sizes = []
+
+    def watch(asked, placed, k, power):
+        for rows in (asked, placed):
+            sizes.append(rows.groupBy("cell", "chunk", "slice").count().agg({"count": "max"}).first()[0])
+        return search(asked, placed, k, power)
+
+    search = knn.pair_chunks
+    monkeypatch.setattr(knn, "pair_chunks", watch)
+    rows = spark.range(12_000).select(
+        F.col("id"), F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1.0 for i in range(64)]).alias("x"))
+    queries, train = rows.select(F.col("id").alias("qid"), "x"), rows.select(
+        F.col("id").alias("tid"), "x", F.lit(0.0).alias("y"))
+    found = knn.nearest_neighbours(queries, train, 1, pivots=1)
+    assert found.where("qid = tid AND dist = 0").count() == 12_000
+    assert max(sizes) * 64 * 8 < 4 << 20
