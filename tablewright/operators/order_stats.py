@@ -12,6 +12,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ class OrderStatistics:
 def _merge(targets: Sequence[_Target]) -> list[tuple[float, float]]:
     merged: list[list[float]] = []
     for lo, hi in sorted((t.lo, t.hi) for t in targets if t.value is None):
-        if merged and lo <= merged[-1][1]:
+        if merged and lo <= math.nextafter(merged[-1][1], math.inf):
             merged[-1][1] = max(merged[-1][1], hi)
         else:
             merged.append([lo, hi])
@@ -71,19 +72,37 @@ def _zone(value: Column, intervals: Sequence[tuple[float, float]]) -> Column:
 def _zoned_rows(
     df: DataFrame, columns: dict[str, Column], intervals: dict[str, list[tuple[float, float]]]
 ) -> DataFrame:
+    """(c, z, v) of every value that is not NULL: its column, its zone, and itself inside an interval.
+
+    Zones are found by bisection; a comparison with each border in turn would take most of the time
+    of a scan. Infinite borders, of which there are few, are compared.
+    """
     names = list(intervals)
+    # -0.0 equals 0.0, but bisection would put it below
+    wide = df.select(*[(columns[name] + F.lit(0.0)).alias(f"v{i}") for i, name in enumerate(names)])
+    cuts = {i: _splits(intervals[name]) for i, name in enumerate(names)}
+    cut = [i for i, splits in cuts.items() if splits]
+    if cut:
+        wide = Bucketizer(
+            splitsArray=[cuts[i] for i in cut], inputCols=[f"v{i}" for i in cut],
+            outputCols=[f"z{i}" for i in cut], handleInvalid="keep").transform(wide)
     entries = []
     for i, name in enumerate(names):
-        value = columns[name]
+        value = F.col(f"v{i}")
         zone = _zone(value, intervals[name])
-        entries.append(
-            F.struct(
-                F.lit(i).alias("c"),
-                F.when(value.isNotNull(), zone).alias("z"),
-                F.when(F.pmod(zone, F.lit(2)) == 1, value).alias("v"),
-            )
-        )
-    return df.select(F.inline(F.array(*entries))).where(F.col("z").isNotNull())
+        if i in cut:
+            above = F.lit(2 * len(intervals[name]))  # NaN is above all numbers
+            zone = F.when(F.isnan(value), above).otherwise(F.col(f"z{i}").cast("int"))
+        entries.append(F.struct(
+            F.lit(i).alias("c"), F.when(value.isNotNull(), zone).alias("z"), value.alias("v")))
+    return wide.select(F.inline(F.array(*entries))).where(F.col("z").isNotNull()).withColumn(
+        "v", F.when(F.col("z") % 2 == 1, F.col("v")))
+
+
+def _splits(intervals: Sequence[tuple[float, float]]) -> list[float]:
+    """Borders of the zones as half-open ranges; none if an interval ends at infinity."""
+    ends = [e for lo, hi in intervals for e in (lo + 0.0, math.nextafter(hi, math.inf))]
+    return [-math.inf, *ends, math.inf] if all(map(math.isfinite, ends)) else []
 
 
 def order_statistics(

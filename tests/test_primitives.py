@@ -1,11 +1,13 @@
 """Order statistics, ranks, indexes and lookups: independent of partitioning and skew."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import ordering
+from tablewright.operators import order_stats, ordering
 from tablewright.operators.lookup import attach, build_lookup
 from tablewright.operators.order_stats import exact_quantiles
 from tablewright.operators.ordering import (
@@ -118,3 +120,27 @@ def test_window_sorts_no_single_partition(spark):
     df = spark.range(5_000).select((F.col("id") * 7919 % 5_003).cast("double").alias("x"))
     plan = average_ranks(df, "x", "r", 500)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_zones_are_found_by_bisection(spark):
+    """Thirty intervals are no thirty comparisons for each value; borders, signed zeros and NaN fall right."""
+    finite = [(10.0 * i, 10.0 * i + 3.0) for i in range(30)]
+    odd = [-math.inf, math.inf, math.nan, None, -0.0, 0.0, 3.0, math.nextafter(3.0, 9.0), -5e-324, 293.0, 294.0]
+    values = odd + [k / 2 for k in range(-5, 620)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for intervals in (finite, [(-math.inf, -1.0), (4.0, 7.0)], [(7.0, math.inf)]):
+        found = order_stats._zoned_rows(df, {"x": F.col("x")}, {"x": intervals})
+
+        def zone(v):
+            for i, (lo, hi) in enumerate(intervals):
+                if v < lo:
+                    return 2 * i
+                if v <= hi:
+                    return 2 * i + 1
+            return 2 * len(intervals)
+
+        wanted = sorted((zone(v), v + 0.0 if zone(v) % 2 else None) for v in values if v is not None)
+        got = sorted((r["z"], r["v"]) for r in found.collect())
+        assert repr(got) == repr(wanted)
+        if intervals is finite:
+            assert found._jdf.queryExecution().optimizedPlan().toString().count("<=") < 10
