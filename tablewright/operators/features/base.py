@@ -66,8 +66,29 @@ def operation_names() -> list[str]:
     return sorted(_OPERATIONS)
 
 
+def _joint(configs: list[dict[str, Any]]) -> list[dict[str, Any]]:
+    """The operations, with successive statistics of one group as one, so rows are shuffled once.
+
+    One that reads or replaces what an earlier one makes stays on its own.
+    """
+    out: list[dict[str, Any]] = []
+    made: set[str] = set()
+    for c in configs:
+        group, value = c.get("group_column", ""), c.get("agg_column", "")
+        name = c.get("new_name", f"{group}_{c.get('agg_func', 'mean')}_{value}")
+        same = c.get("type") == "groupby_aggregate" and "more" not in c
+        if (same and made and out[-1]["group_column"] == group
+                and not made & {group, value, name} and name not in (group, value)):
+            out[-1] = {**out[-1], "more": [*out[-1].get("more", []), c]}
+            made.add(name)
+        else:
+            out.append(c)
+            made = {name} if same and group else set()
+    return out
+
+
 def feature_pipeline(configs: list[dict[str, Any]]) -> Pipeline:
-    return Pipeline(stages=[operation(c) for c in configs])
+    return Pipeline(stages=[operation(c) for c in _joint(configs)])
 
 
 def engineer_features(

@@ -234,26 +234,34 @@ _AGGREGATES = {
 
 @feature_operation("groupby_aggregate")
 def groupby_aggregate(params: dict[str, Any]) -> FeatureOperation:
-    group, value = params.get("group_column", ""), params.get("agg_column", "")
-    func = params.get("agg_func", "mean")
-    name = params.get("new_name", f"{group}_{func}_{value}")
-    if func not in _AGGREGATES:
-        raise ValueError(
-            f"groupby_aggregate: unknown agg_func '{func}'. Use one of {sorted(_AGGREGATES)}."
-        )
+    """A statistic of a group; ``more`` lists further ones of the same group, all joined at once."""
+    group, wanted = params.get("group_column", ""), []
+    for own in [params, *params.get("more", [])]:
+        value, func = own.get("agg_column", ""), own.get("agg_func", "mean")
+        if func not in _AGGREGATES:
+            raise ValueError(
+                f"groupby_aggregate: unknown agg_func '{func}'. Use one of {sorted(_AGGREGATES)}."
+            )
+        wanted.append((value, func, own.get("new_name", f"{group}_{func}_{value}")))
 
     def learn(df: DataFrame):
         stats = (
             df.where(col(group).isNotNull())
             .groupBy(col(group).alias("key"))
-            .agg(_AGGREGATES[func](col(value)).alias("_stat"), F.count(F.lit(1)).alias("_w"))
+            .agg(*[_AGGREGATES[func](col(value)).alias(f"_stat{i}")
+                   for i, (value, func, _) in enumerate(wanted)], F.count(F.lit(1)).alias("_w"))
         )
         table = build_lookup(stats, ["key"], weight="_w")
-        return lambda d: (
-            attach(d, table, [group]).drop("_w").withColumnRenamed("_stat", name)
-        )
 
-    return FeatureOperation("groupby_aggregate", learn, [group, value])
+        def apply(d: DataFrame) -> DataFrame:
+            d = attach(d, table, [group]).drop("_w")
+            for i, (_, _, name) in enumerate(wanted):
+                d = d.withColumnRenamed(f"_stat{i}", name)
+            return d
+
+        return apply
+
+    return FeatureOperation("groupby_aggregate", learn, [group, *[v for v, _, _ in wanted]])
 
 
 @feature_operation("rank_transform")

@@ -131,3 +131,16 @@ def test_summary_and_auto(people):
         "one_hot_encode",
     ]
     assert df.where("x is null or y is null").isEmpty() and "same" not in df.columns
+
+
+def test_statistics_of_one_group_share_a_join(spark):
+    """Five statistics of a group are one lookup; one that reads an earlier result is a lookup of its own."""
+    df = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 5.0), (None, 7.0)], "g int, x double")
+    base = {"type": "groupby_aggregate", "group_column": "g", "agg_column": "x"}
+    configs = [{**base, "agg_func": f} for f in ("mean", "std", "count", "min", "max")]
+    out, model = engineer_features(df, [*configs, {**base, "agg_column": "g_max_x", "agg_func": "min"}])
+    assert len(model.stages) == 2
+    assert out.columns == ["g", "x", "g_mean_x", "g_std_x", "g_count_x", "g_min_x", "g_max_x", "g_min_g_max_x"]
+    assert sorted(out.collect(), key=lambda r: r.x) == [
+        (1, 2.0, 3.0, 2.0**0.5, 2, 2.0, 4.0, 4.0), (1, 4.0, 3.0, 2.0**0.5, 2, 2.0, 4.0, 4.0),
+        (2, 5.0, 5.0, None, 1, 5.0, 5.0, 5.0), (None, 7.0, None, None, None, None, None, None)]
