@@ -41,16 +41,22 @@ def safe_corr(a: Column, b: Column) -> Column:
 def interpolated_bucket(value: Column, edges: Sequence[float], closed: str) -> Column:
     """Index of the bin of ``value`` between inner ``edges``; NULL stays NULL.
 
-    ``closed="right"`` puts a value equal to an edge below it, ``closed="left"`` above it.
+    ``closed="right"`` puts a value equal to an edge below it, ``closed="left"`` above it. The edges
+    are bisected: a value is compared with the logarithm of their number.
     """
     if not edges:
         return F.when(value.isNotNull(), F.lit(0))
-    hits = [
-        F.when(value > F.lit(float(e)) if closed == "right" else value >= F.lit(float(e)), 1)
-        .otherwise(0)
-        for e in edges
-    ]
-    return F.when(value.isNotNull(), functools.reduce(operator.add, hits))
+    edges = sorted(float(e) for e in edges)
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        edge = F.lit(edges[middle])
+        above = value > edge if closed == "right" else value >= edge
+        return F.when(above, among(middle + 1, high)).otherwise(among(low, middle))
+
+    return F.when(value.isNotNull(), among(0, len(edges)))
 
 
 def majority_vote(votes: Sequence[Column]) -> Column:

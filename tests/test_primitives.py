@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.functions.expressions import interpolated_bucket
 from tablewright.operators import order_stats, ordering
 from tablewright.operators.lookup import attach, build_lookup
 from tablewright.operators.order_stats import exact_quantiles
@@ -144,3 +145,15 @@ def test_zones_are_found_by_bisection(spark):
         assert repr(got) == repr(wanted)
         if intervals is finite:
             assert found._jdf.queryExecution().optimizedPlan().toString().count("<=") < 10
+
+
+def test_buckets_are_found_by_bisection(spark):
+    edges = [float(e) for e in range(15)]
+    values = [-1.0, -0.0, 0.0, 0.5, 7.0, 13.5, 14.0, 15.0, math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for closed in ("left", "right"):
+        bucket = interpolated_bucket(F.col("x"), edges, closed)
+        wanted = [None if v is None else 15 if v != v else
+                  sum(v > e if closed == "right" else v >= e for e in edges) for v in values]
+        assert [r[0] for r in df.select(bucket).collect()] == wanted
+        assert " + " not in df.select(bucket)._jdf.queryExecution().optimizedPlan().toString()
