@@ -29,6 +29,7 @@ from tablewright.core import (
     require_columns,
 )
 from tablewright.functions.expressions import majority_vote, mean_vote
+from tablewright.operators import linear_fits
 from tablewright.operators.gaps import GapDirections, learn_directions
 from tablewright.operators.models import TREES, make_learner
 from tablewright.operators.splits import assign_folds, row_key
@@ -64,6 +65,17 @@ class TrainingSet:
         fitted = self.learner(model, params, seed).fit(self.rows if rows is None else rows)
         return fitted if self.gaps is None else GapModel(fitted, self.gaps)
 
+    def fit_folds(
+        self, model: str, params: dict[str, Any] | None, seed: int, whole: bool
+    ) -> list | None:
+        """The model of each fold's other rows and, if ``whole``, of all rows; None if only ``fit`` can."""
+        learner = self.learner(model, params, seed)
+        if self.gaps is not None or not linear_fits.takes(
+                learner, len(self.classes), len(self.features)):
+            return None
+        return linear_fits.fit_together(
+            self, learner, [*range(self.folds), *([None] if whole else [])])
+
 
 @dataclass
 class GapModel:
@@ -277,17 +289,18 @@ def _fits(
     """The folds of ``cross_validate`` and, if ``whole``, a fit on all rows beside them."""
     if data.n <= SMALL_ROWS:
         parallelism = data.folds + 1
+    together = data.fit_folds(model, params, seed, whole)
 
     def one(fold: int):
-        train = data.rows.where(F.col("fold") != fold)
         held_out = data.rows.where(F.col("fold") == fold)
-        fitted = data.fit(model, params, seed, train)
+        fitted = together[fold] if together else data.fit(
+            model, params, seed, data.rows.where(F.col("fold") != fold))
         predicted = apply_model(fitted, held_out)
         return score(predicted, data.task), predicted
 
     work = [lambda f=f: one(f) for f in range(data.folds)]
     if whole:
-        work.append(lambda: data.fit(model, params, seed))
+        work.append(lambda: together[-1] if together else data.fit(model, params, seed))
     results = _parallel(work, parallelism)
     fitted = results.pop() if whole else None
     predictions = None
@@ -320,19 +333,17 @@ def tune(
     stop_when: Callable[[list[Run]], bool] | None = None,
 ) -> list[Run]:
     """Train candidate configurations on the same folds, a few at a time, best first."""
+
+    def one(at: int) -> Run:
+        c = configs[at]
+        return train_model(data, c["model_type"], c.get("hyperparameters"), seed, 1,
+                           f"run_{at + 1:03d}_{c['model_type']}")
+
     done: list[Run] = []
-    for start in range(0, len(configs), max(parallelism, 1)):
-        batch = configs[start : start + max(parallelism, 1)]
-        done += _parallel(
-            [
-                lambda c=c, i=i: train_model(
-                    data, c["model_type"], c.get("hyperparameters"), seed, 1,
-                    f"run_{start + i + 1:03d}_{c['model_type']}",
-                )
-                for i, c in enumerate(batch)
-            ],
-            parallelism,
-        )
+    size = max(parallelism, 1) if stop_when else max(len(configs), 1)
+    for start in range(0, len(configs), size):
+        batch = range(start, min(start + size, len(configs)))
+        done += _parallel([lambda at=at: one(at) for at in batch], parallelism)
         if stop_when and stop_when(done):
             break
     return sorted(done, key=lambda r: (-r.mean_score, r.run_id))
